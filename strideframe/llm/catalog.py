@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strideframe.llm import bpe, decontaminate, language, quality, url_filter
+from strideframe.llm import bpe, chat, decontaminate, language, line_dedup, quality, sharding, url_filter, warc
 from strideframe.llm.common import table
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -17,6 +17,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.length("text").cast("long").alias("left_chars"), F.sha2("text", 256).alias("left_sha256"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leak = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -26,11 +35,36 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    log = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    made = chat.render(chat.reconstruct(log)).select("conv_id", "formatted", "loss_spans")
+    read = made.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said_again = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_again, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica in which the first byte of some records has changed and others are gone, by a rule on the id."""
+    records = warc.to_records(table(spark, sf_dir, "pages"))
+    places = warc.manifest(records)
+    damaged = F.when(F.col("page_id") % 50 == 7, F.overlay("record", F.lit("X"), 1)).otherwise(F.col("record"))
+    replica = warc.catalogued(records.filter("page_id IS NULL OR page_id % 50 <> 8").withColumn("record", damaged), places)
+    found = warc.audit(places, replica)
+    joined = places.join(found, ["file", "ord"], "left")
+    return joined.select("page_id", "file", "ord", "start", "stop", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,8 +82,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
+        "op5_chat_format": op5_chat_format,
         "op7_quality_rules": op7_quality_rules,
+        "op8_warc_fixity": op8_warc_fixity,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_language_id": op10_language_id,
     }
@@ -113,5 +151,52 @@ FROM f
 """
 
 
+_OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, s - 1 AS n, ls[s] AS line FROM d, LATERAL unnest(generate_series(1, len(ls))) AS t(s)),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+f AS (SELECT line, min((doc_id, n)) AS pos, list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '') AS ws FROM w GROUP BY line),
+v AS (SELECT line, pos, ws, len(ws) AS m FROM f WHERE len(ws) >= {line_dedup.MIN_WORDS}),
+x AS (SELECT line, pos, m, i, array_to_string(list_slice(ws, 1, i - 1) || list_slice(ws, i + 1, m), ' ') AS k
+      FROM v, LATERAL unnest(generate_series(1, m)) AS t(i)),
+sub AS (SELECT line FROM (SELECT line, pos, min(pos) OVER (PARTITION BY m, i, k) AS p FROM x) WHERE p < pos),
+whole AS (SELECT line, pos, m, array_to_string(ws, ' ') AS k FROM v),
+gone AS (SELECT line FROM sub UNION
+         SELECT a.line FROM whole a JOIN x b ON b.m = a.m + 1 AND b.k = a.k AND b.pos < a.pos UNION
+         SELECT b.line FROM whole a JOIN x b ON b.m = a.m + 1 AND b.k = a.k AND a.pos < b.pos),
+stay AS (SELECT w.rid, w.n, w.line FROM w JOIN f ON f.line = w.line AND f.pos = (w.doc_id, w.n) WHERE w.line NOT IN (SELECT line FROM gone)
+         UNION ALL SELECT rid, n, line FROM l WHERE NOT regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+t AS (SELECT rid, string_agg(line, chr(10) ORDER BY n) AS left_text FROM stay GROUP BY rid)
+SELECT doc_id, length(r) AS left_chars, sha256(r) AS left_sha256
+FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_text, '') END AS r FROM d LEFT JOIN t USING (rid))
+"""
+
+_ESC = r"replace(replace(replace({}, '\', '\b'), '#', '\h'), '<', '\l')".replace("\\\\", "\\")
+_OP5 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(4 + length(replace({_ESC.format("role")}, chr(10), 'nn')) + 1 + length({_ESC.format("text")}) + 8) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+_OP8 = r"""
+WITH r AS (
+  SELECT page_id, url, CAST(floor(page_id / 256) AS BIGINT) AS file,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+m AS (SELECT page_id, file, row_number() OVER o - 1 AS ord, CAST(sum(strlen(record)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+             strlen(record) AS n, sha256(record) AS digest FROM r WINDOW o AS (PARTITION BY file ORDER BY page_id, url))
+SELECT page_id, file, ord, stop - n AS start, stop, digest,
+       CASE page_id % 50 WHEN 7 THEN 'corrupt' WHEN 8 THEN 'missing' ELSE 'ok' END AS status FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}
+    return {"op1_url_filter": _OP1, "op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op8_warc_fixity": _OP8, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}

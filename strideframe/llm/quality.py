@@ -11,11 +11,11 @@ windows, takes n log n steps and is entered only by texts in which two windows a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.llm.common import without
+from strideframe.llm.common import let, without
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -40,11 +40,6 @@ RULES = (
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once per row, however often the body names it and the optimiser moves it."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
