@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strideframe.llm import bpe, chat, decontaminate, language, line_dedup, quality, sharding, url_filter, warc
+from strideframe.llm import bpe, chat, decontaminate, language, line_dedup, minhash, quality, sharding, url_filter, warc
 from strideframe.llm.common import table
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -49,6 +49,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
         "op5_chat_format": op5_chat_format,
+        "op6_minhash": op6_minhash,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_fixity": op8_warc_fixity,
         "op9_byte_bpe": op9_byte_bpe,
@@ -184,6 +189,18 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
+# Pairs by shared shingles with exact counts, then the components by walking to the smallest id.
+_OP6 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM d, LATERAL unnest(generate_series(1, greatest(1, len(ws) - 4))) AS t(i) WHERE len(ws) > 0),
+k AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+e AS (SELECT a.rid AS x, b.rid AS y FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid JOIN k p ON p.rid = a.rid JOIN k q ON q.rid = b.rid
+      GROUP BY a.rid, b.rid, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT r.x, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON c.x = d.rid LEFT JOIN k USING (rid)
+"""
+
 _OP8 = r"""
 WITH r AS (
   SELECT page_id, url, CAST(floor(page_id / 256) AS BIGINT) AS file,
@@ -199,4 +216,4 @@ SELECT page_id, file, ord, stop - n AS start, stop, digest,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op8_warc_fixity": _OP8, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}
+    return {"op1_url_filter": _OP1, "op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_minhash": _OP6, "op8_warc_fixity": _OP8, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}
