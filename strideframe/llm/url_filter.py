@@ -40,7 +40,8 @@ def url_path(url: Column) -> Column:
 def host_suffixes(host: Column) -> Column:
     """The host and what follows each of its dots."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.filter(suffixes, lambda s: s != "")
 
 
 def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
