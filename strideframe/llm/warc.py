@@ -129,7 +129,8 @@ def audit(kept: DataFrame, copy: DataFrame, per_file: int = PER_FILE, fanout: in
 def write_warc(records: DataFrame, path: str) -> None:
     """One folder per file with the records in order, byte for byte, through Spark's text writer."""
     ordered = records.repartition("file").sortWithinPartitions("file", "page_id", "url")
-    ordered.select("file", "record").write.partitionBy("file").option("lineSep", "").text(path)
+    # A record ends with a newline; the writer sets it as the line's end.
+    ordered.select("file", F.expr("left(record, length(record) - 1)").alias("record")).write.partitionBy("file").option("lineSep", "\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
