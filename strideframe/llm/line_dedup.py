@@ -130,7 +130,9 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
     own = found.select("pos", "h1", "h2", F.col("words").alias("own_words"))
     theirs = found.select(F.col("pos").alias("partner"), F.col("words").alias("their_words"))
     checked = pairs.join(own, ["pos", "h1", "h2"]).join(theirs, "partner")
-    return checked.filter(within_one_edit(F.col("own_words"), F.col("their_words"))).select("pos", "h1", "h2").distinct()
+    near = scratch.keep(checked.filter(within_one_edit(F.col("own_words"), F.col("their_words"))).select("pos", "h1", "h2").distinct())
+    scratch.drop(chosen, found, emitted)
+    return near
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
