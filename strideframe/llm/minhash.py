@@ -8,11 +8,13 @@ A pair at similarity s is missed with a chance of at most 2 * (1 - s ** rows) **
 
 Texts with equal sets are one class from the start, so copies are never paired. Links are found in rounds:
 
-* The diagonal tables come first: in each bucket one class, the leader, is compared with all others. Most groups are
-  connected components after that.
+* The diagonal tables come first: in each bucket one class, the leader, is compared with all others. The leader is the
+  class whose half keys most others share, likely what the others were copied from. Most groups are connected after that.
 * Then only half keys matter that classes of different components share; their pairs give the keys of all tables. In
-  each bucket that still joins different components, one leader of each component but the largest is compared with the
-  classes of other components, then leaves the bucket. This goes on until no bucket joins different components.
+  each bucket that still joins different components, a class of each is compared with one of the largest component,
+  other ones each time, while that connects components: one link is enough for all their classes.
+* Where it no longer does, one leader of each component but the largest is compared with all classes of other components
+  in the bucket, then leaves it. This goes on until no bucket joins different components.
 
 So every pair of classes with a key in common is compared or already connected, without listing pairs of a group.
 
@@ -195,43 +197,48 @@ def find_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, scra
 
     def shared(side: str, rows: DataFrame) -> DataFrame:
         listed = rows.select("cls", F.explode(side).alias("k"))
-        again = listed.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
-        return scratch.keep(listed.join(again, "k").select("cls", "k"))
+        again = listed.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1")
+        return scratch.keep(listed.join(again, "k").select("cls", "k", "c"))
 
     halves = scratch.keep(halves)
     in_a = shared("a", halves)
     near = scratch.keep(halves.join(in_a.select("cls").distinct(), "cls", "left_semi"))
     in_b = shared("b", near)
-    near = near.join(in_b.select("cls").distinct(), "cls", "left_semi")
+    # How many others share a class's half keys: the text that a group was copied from shares most, and links most.
+    popular = in_a.union(in_b).groupBy("cls").agg(F.sum("c").alias("p"))
+    popular = scratch.keep(popular.join(in_b.select("cls").distinct(), "cls", "left_semi"))
+    near = near.join(popular, "cls")
     scratch.drop(halves)
 
     links: list[DataFrame] = []
     seen: list[DataFrame] = []
+    tested: list[int] = []
+    empty = docs.sparkSession.createDataFrame([], "x binary, y binary")
 
-    def compare(pairs: DataFrame) -> bool:
-        """Confirm pairs (x, y) and keep the links; whether there were new pairs."""
+    def compare(pairs: DataFrame) -> None:
+        """Confirm the new ones of the pairs (x, y), x being the leader, and keep the links."""
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("x").alias("leader")).filter("x <> y")
         pairs = pairs.groupBy("x", "y").agg(F.min("leader").alias("leader"))
-        for old in seen:
-            pairs = pairs.join(old, ["x", "y"], "left_anti")
+        if seen:
+            pairs = pairs.join(reduce(DataFrame.union, seen), ["x", "y"], "left_anti")
         sized = pairs.join(reps.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").join(reps.select(F.col("cls").alias("y"), F.col("n").alias("ny")), "y")
         # J >= p needs sizes within p of each other.
         sized = scratch.keep(sized.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y", "leader"))
         seen.append(sized.select("x", "y"))
-        if sized.isEmpty():
-            return False
+        tested.append(sized.count())
+        if not tested[-1]:
+            links.append(empty)
+            return
         used = sized.select(F.col("x").alias("cls")).union(sized.select("y")).distinct()
         sets = scratch.keep(_sets_of(docs, reps.join(used, "cls", "left_semi"), id_col, text_col, broadcast_bytes).dropDuplicates(["cls"]))
         turned = sized.select("leader", F.when(F.col("x") == F.col("leader"), F.col("y")).otherwise(F.col("x")).alias("member"))
         found = _confirmed(turned.select(F.col("leader").alias("x"), F.col("member").alias("y")), sets, percent)
         links.append(scratch.keep(found))
         scratch.drop(sets)
-        return True
 
-    diagonal = near.select("cls", F.explode(F.zip_with("a", "b", lambda x, y: F.xxhash64(x, y))).alias("key"))
-    leaders = diagonal.groupBy("key").agg(F.min("cls").alias("x"), F.count("*").alias("c")).filter("c > 1").select("key", "x")
+    diagonal = near.select("cls", "p", F.explode(F.zip_with("a", "b", lambda x, y: F.xxhash64(x, y))).alias("key"))
+    leaders = diagonal.groupBy("key").agg(F.max(F.struct("p", "cls")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("m.cls").alias("x"))
     compare(diagonal.join(leaders, "key").select("x", F.col("cls").alias("y")))
-    empty = docs.sparkSession.createDataFrame([], "x binary, y binary")
     comps = scratch.keep(components(reduce(DataFrame.union, links, empty), scratch))
 
     left = []
@@ -240,18 +247,38 @@ def find_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, scra
         left.append(rooted.join(_differing(rooted, "k"), "k", "left_semi").groupBy("cls").agg(F.collect_list("k").alias("ks")))
     keyed = left[0].join(left[1].withColumnRenamed("ks", "kb"), "cls").select("cls", F.explode("ks").alias("ka"), "kb").select("cls", "ka", F.explode("kb").alias("kb"))
     keyed = _rooted(scratch.keep(keyed.select("cls", F.xxhash64("ka", "kb").alias("key"))), comps)
-    buckets = scratch.keep(keyed.join(_differing(keyed, "key"), "key", "left_semi").select("key", "cls", "root"))
+    keyed = keyed.join(popular, "cls")
+    buckets = scratch.keep(keyed.join(_differing(keyed, "key"), "key", "left_semi").select("key", "cls", "p", "root"))
+    def refresh(rows: DataFrame) -> DataFrame:
+        """The bucket rows (key, cls, p) that still stand under more than one component."""
+        rooted = _rooted(rows, comps)
+        return scratch.keep(rooted.join(_differing(rooted, "key"), "key", "left_semi").select("key", "cls", "p", "root"))
+
+    # One class of each component in a bucket against one of the largest, others each time, while that connects many.
+    turn, fruitful = 0, True
+    while (fruitful or turn < 2) and not buckets.isEmpty():
+        parts = buckets.groupBy("key", "root").agg(F.count("*").alias("c"), (F.max_by("cls", F.struct("p", "cls")) if turn == 0 else F.min_by("cls", F.xxhash64("key", "cls", F.lit(turn)))).alias("x"))
+        centre = parts.groupBy("key").agg(F.max(F.struct("c", "root", "x")).alias("m")).select("key", "m.root", F.col("m.x").alias("y"))
+        compare(parts.join(centre.withColumnRenamed("root", "other"), "key").filter("root <> other").select("y", "x").toDF("x", "y"))
+        connected = links[-1].count()
+        fruitful = connected * 20 >= tested[-1] and connected > 0
+        if connected:
+            comps = scratch.keep(components(reduce(DataFrame.union, links, empty), scratch))
+            new = refresh(buckets.select("key", "cls", "p"))
+            scratch.drop(buckets)
+            buckets = new
+        turn += 1
+
+    # What is left is compared in full: leaders of all components but the largest, a growing number at a time.
     most = 16
     while not buckets.isEmpty():
-        parts = buckets.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("cls").alias("x"))
+        parts = buckets.groupBy("key", "root").agg(F.count("*").alias("c"), F.max_by("cls", F.struct("p", "cls")).alias("x"))
         order = Window.partitionBy("key").orderBy("c", "x")
-        ranked = parts.withColumns({"r": F.row_number().over(order), "last": F.max("c").over(Window.partitionBy("key")), "parts": F.count("*").over(Window.partitionBy("key"))})
+        ranked = parts.withColumns({"r": F.row_number().over(order), "parts": F.count("*").over(Window.partitionBy("key"))})
         leaders = scratch.keep(ranked.filter((F.col("r") < F.col("parts")) & (F.col("r") <= most)).select("key", "x", F.col("root").alias("own")))
         compare(buckets.join(leaders, "key").filter("root <> own").select("x", F.col("cls").alias("y")))
         comps = scratch.keep(components(reduce(DataFrame.union, links, empty), scratch))
-        rest = buckets.select("key", "cls").join(leaders.select("key", F.col("x").alias("cls")), ["key", "cls"], "left_anti")
-        rest = _rooted(rest, comps)
-        new = scratch.keep(rest.join(_differing(rest, "key"), "key", "left_semi").select("key", "cls", "root"))
+        new = refresh(buckets.select("key", "cls", "p").join(leaders.select("key", F.col("x").alias("cls")), ["key", "cls"], "left_anti"))
         scratch.drop(buckets, leaders)
         buckets, most = new, most * 4
     return reps, comps
