@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -311,7 +312,8 @@ def _numbered(samples: DataFrame, order: Sequence[str]) -> DataFrame:
 def _from_groups(groups: list[dict]) -> Mixture:
     n = np.array([g["n"] for g in groups], float)
     means = np.array([g["s1"] / g["n"] for g in groups])
-    covs = np.array([np.maximum(np.diag(g["s2"]) / g["n"] - m**2, PLAIN_FLOOR) for g, m in zip(groups, means, strict=True)])
+    squares = [g["s2"] if np.ndim(g["s2"]) == 1 else np.diag(g["s2"]) for g in groups]
+    covs = np.array([np.maximum(q / g["n"] - m**2, PLAIN_FLOOR) for g, q, m in zip(groups, squares, means, strict=True)])
     return Mixture(n / n.sum(), means, covs)
 
 
@@ -321,29 +323,47 @@ def nearest(x: Column, means: Sequence[Sequence[float]]) -> Column:
     return V.let(squares, V.argmin)
 
 
+def _closest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Places of the nearest means, the first of equals."""
+    return np.stack([((x - m) ** 2).sum(1) for m in means], 1).argmin(1)
+
+
+def _cluster_sums(samples: DataFrame, label: Callable[[np.ndarray], np.ndarray], d: int) -> dict[int, dict]:
+    """n, the sum of x and of its squares by label: one partial per partition and label, merged by one small exchange."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                c = label(x)
+                for k in np.unique(c):
+                    mine = x[c == k]
+                    n, s1, s2 = sums.get(k, (0, 0.0, 0.0))
+                    sums[k] = (n + len(mine), s1 + mine.sum(0), s2 + (mine * mine).sum(0))
+        yield pd.DataFrame([[int(k), n, np.concatenate([s1, s2])] for k, (n, s1, s2) in sums.items()], columns=["c", "n", "s"])
+
+    parts = samples.select("x").mapInPandas(run, "c int, n long, s array<double>")
+    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(2 * d)]).alias("s")).collect()
+    return {r["c"]: {"n": r["n"], "s1": np.array(r["s"][:d]), "s2": np.array(r["s"][d:])} for r in rows}
+
+
 def kmeans(samples: DataFrame, start: Mixture, most: int = 100, eps: float = 1e-5) -> Mixture:
     """Lloyd's algorithm; an empty cluster restarts beside the largest one. Only sums per cluster reach the driver."""
     model = start
     for _ in range(most):
         means = model.means
-
-        def assign(batches: Iterator[pd.DataFrame], means=means) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["x"].to_numpy())
-                    c = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
-                    yield pd.DataFrame({"c": c.astype(np.int32), "x": batch["x"]})
-
-        stats = second_order(samples.select("x").mapInPandas(assign, "c int, x array<double>"), "c")
+        stats = _cluster_sums(samples, lambda x, means=means: _closest(x, means), means.shape[1])
+        if not stats:
+            raise TrainingError("no samples")
         largest = max(stats, key=lambda c: stats[c]["n"])
         groups = []
         for c in range(len(means)):
-            if (c,) in stats:
-                groups.append(stats[(c,)])
+            if c in stats:
+                groups.append(stats[c])
             else:
                 g = stats[largest]
                 moved = g["s1"] * (1 + 1e-3)
-                groups.append({"n": 1, "s1": moved / g["n"], "s2": np.outer(moved, moved) / g["n"] ** 2})
+                groups.append({"n": 1, "s1": moved / g["n"], "s2": (moved / g["n"]) ** 2})
         model = _from_groups(groups)
         if np.linalg.norm(model.means - means, axis=1).sum() <= eps:
             break
@@ -426,18 +446,20 @@ def hierarchical(samples: DataFrame, most: int, ranking: str = "EV", least: int
 
         return {k[0]: v for k, v in second_order(samples.select("x").mapInPandas(run, "c int, x array<double>"), "c").items()}
 
-    now = stats_now()
+    now, normality = stats_now(), {}
     while len(leaves) < most:
         scores = {}
         for leaf in leaves - closed:
-            _, axis, values = _split_axis(now[leaf])
+            m, axis, values = _split_axis(now[leaf])
+            if ranking == "AD_STATISTIC" and leaf not in normality:
+                normality[leaf] = projected_ad(samples, tree, leaf, m, axis)
             scores[leaf] = {"COVARIANCE": float(np.abs(values).prod()), "SUM_EIGENVALUE": float(values.sum()), "EV_DIFFERENCE": float(values[-1] - values[0]),
-                            "EV": float(values[-1]), "NUM_SAMPLES": float(now[leaf]["n"]), "AD_STATISTIC": float(values[-1])}[ranking]
+                            "EV": float(values[-1]), "NUM_SAMPLES": float(now[leaf]["n"]), "AD_STATISTIC": normality.get(leaf)}[ranking]
         if not scores:
             break
         leaf = max(sorted(scores), key=scores.get)
         m, axis, _ = _split_axis(now[leaf])
-        if ranking == "AD_STATISTIC" and projected_ad(samples, tree, leaf, m, axis) <= ad_limit:
+        if ranking == "AD_STATISTIC" and normality[leaf] <= ad_limit:
             closed.add(leaf)
             continue
         tree.append((leaf, m, axis, fresh, fresh + 1))
@@ -463,13 +485,116 @@ def projected_ad(samples: DataFrame, tree: list, leaf: int, point: np.ndarray, a
                     node[mine] = np.where((x[mine] - at) @ way <= 0, left, right)
                 yield pd.DataFrame({"v": (x[node == leaf] - point) @ axis})
 
-    row = anderson_darling(samples.select("x").mapInPandas(run, "v double"), "v").first()
-    return float(row["a2"]) if row is not None else 0.0
+    return normality_statistic(samples.select("x").mapInPandas(run, "v double"))
+
+
+def normality_statistic(values: DataFrame) -> float:
+    """As anderson_darling for one group (v) of any size: ranked by range partitions, a few sums of each on the driver; 0 for constants."""
+    values = values.persist()
+    try:
+        n, mean, dev = values.agg(F.count("v"), F.avg("v"), F.stddev_pop("v")).first()
+        if n < 2 or not dev > 0:
+            return 0.0
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Row j of a partition has rank offset + j; what depends on the offset is kept apart.
+            count, fixed, slope, low = 0, 0.0, 0.0, None
+            for batch in batches:
+                if len(batch):
+                    v = batch["v"].to_numpy()
+                    low = v[0] if low is None else low
+                    f = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in (v - mean) / dev])
+                    f = np.clip(f, 1e-15, 1 - 1e-15)
+                    a, b, j = np.log(f), np.log1p(-f), count + np.arange(1, len(v) + 1)
+                    fixed += float(((2 * j - 1) * a + (2 * (n - j) + 1) * b).sum())
+                    slope += float((2 * (a - b)).sum())
+                    count += len(v)
+            if count:
+                yield pd.DataFrame([[low, count, fixed, slope]], columns=["low", "count", "fixed", "slope"])
+
+        parts = values.repartitionByRange("v").sortWithinPartitions("v").mapInPandas(run, "low double, count long, fixed double, slope double")
+        total, offset = 0.0, 0
+        for row in sorted(parts.collect(), key=lambda r: r["low"]):
+            total += row["fixed"] + offset * row["slope"]
+            offset += row["count"]
+        return (-n - total / n) * (1 + 4 / n - 25 / n**2)
+    finally:
+        values.unpersist()
+
+
+def gmeans(samples: DataFrame, alpha: float, most: int) -> Mixture:
+    """K-means over all centroids, then every cluster that isn't normal gives way to two, until all are normal or there are ``most``.
+
+    A split starts at mean +- axis * sqrt(2 ev / pi) of the first axis and is refined by 2-means; the test is along the
+    line between the two refined centres. Clusters are tested in order, and those without room to split keep their centre.
+    """
+    model = kmeans(samples, gaussian(samples), sys.maxsize, 1e-10)
+    while len(model.weights) < most:
+        means = model.means
+
+        def assign(batches: Iterator[pd.DataFrame], means=means) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield pd.DataFrame({"c": _closest(np.stack(batch["x"].to_numpy()), means).astype(np.int32), "x": batch["x"]})
+
+        stats = second_order(samples.select("x").mapInPandas(assign, "c int, x array<double>"), "c")
+        pairs = _two_means(samples, means, {c: _split_start(s) for (c,), s in stats.items()})
+        centres: list[np.ndarray] = []
+        for c in range(len(means)):
+            split = c in pairs and len(centres) + 2 + len(means) - c - 1 <= most
+            split = split and _line_ad(samples, means, c, *pairs[c]) >= AD_CRITICAL[alpha]
+            centres += list(pairs[c]) if split else [means[c]]
+        if len(centres) == len(means):
+            break
+        model = kmeans(samples, Mixture(np.full(len(centres), 1 / len(centres)), centres, np.ones_like(centres)), sys.maxsize, 1e-10)
+    return model
+
+
+def _split_start(stats: dict) -> tuple[np.ndarray, np.ndarray]:
+    m, axis, values = _split_axis(stats)
+    axis = axis * (-1 if axis[np.abs(axis).argmax()] < 0 else 1)
+    step = axis * math.sqrt(2 * max(values[-1], 0.0) / math.pi)
+    return m + step, m - step
+
+
+def _two_means(samples: DataFrame, means: np.ndarray, pairs: dict[int, tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """2-means within each cluster, all clusters in one pass a step; clusters that don't fall into two have no pair."""
+    pairs, moving = dict(pairs), set(pairs)
+    while moving:
+        now = {c: pairs[c] for c in moving}
+
+        def label(x: np.ndarray, now=now) -> np.ndarray:
+            c = _closest(x, means)
+            side = np.full(len(x), -1)
+            for k, (a, b) in now.items():
+                mine = c == k
+                side[mine] = 2 * k + 1 - (((x[mine] - a) ** 2).sum(1) < ((x[mine] - b) ** 2).sum(1))
+            return side
+
+        sums = _cluster_sums(samples, label, means.shape[1])
+        for c in now:
+            if 2 * c not in sums or 2 * c + 1 not in sums:
+                del pairs[c]
+                moving.discard(c)
+                continue
+            new = tuple(sums[k]["s1"] / sums[k]["n"] for k in (2 * c, 2 * c + 1))
+            if sum(np.abs(p - q).sum() for p, q in zip(new, now[c], strict=True)) <= 1e-10:
+                moving.discard(c)
+            pairs[c] = new
+    return pairs
+
+
+def _line_ad(samples: DataFrame, means: np.ndarray, c: int, a: np.ndarray, b: np.ndarray) -> float:
+    """The normality statistic of cluster c along the line through a and b."""
+    way = (a - b) / np.linalg.norm(a - b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                yield pd.DataFrame({"v": x[_closest(x, means) == c] @ way})
 
-def gmeans(samples: DataFrame, alpha: float, most: int, least: int = 50) -> Mixture:
-    """Split clusters that aren't normal along their first axis at the given level."""
-    return hierarchical(samples, most, "AD_STATISTIC", least, AD_CRITICAL[alpha])
+    return normality_statistic(samples.select("x").mapInPandas(run, "v double"))
 
 
 # ---- discriminative update

@@ -160,6 +160,62 @@ def test_em_never_gets_worse(spark):
     assert all(np.allclose(acc[k], halves[k]) for k in acc)
 
 
+def _gmeans_loops(x, limit, most):
+    nearest = lambda cs: np.array([[((r - c) ** 2).sum() for c in cs] for r in x]).argmin(1)
+
+    def lloyd(cs):
+        while True:
+            k = nearest(cs)
+            new = np.array([x[k == i].mean(0) for i in range(len(cs))])
+            if np.linalg.norm(new - cs, axis=1).sum() <= 1e-10:
+                return new
+            cs = new
+
+    def normality(v):
+        n, z = len(v), np.sort((v - v.mean()) / v.std())
+        f = [0.5 * math.erfc(-q / math.sqrt(2)) for q in z]
+        return (-n - sum((2 * i + 1) * (math.log(f[i]) + math.log1p(-f[n - 1 - i])) for i in range(n)) / n) * (1 + 4 / n - 25 / n**2)
+
+    cs = lloyd(x.mean(0)[None])
+    while len(cs) < most:
+        k, out = nearest(cs), []
+        for i, c in enumerate(cs):
+            own = x[k == i]
+            values, axes = np.linalg.eigh(np.cov(own.T, bias=True))
+            step = axes[:, -1] * math.sqrt(2 * values[-1] / math.pi)
+            a, b, last = c + step, c - step, None
+            while last is None or np.abs(a - last).sum() > 1e-10:
+                left, last = ((own - a) ** 2).sum(1) < ((own - b) ** 2).sum(1), a
+                a, b = own[left].mean(0), own[~left].mean(0)
+            fits = len(out) + 2 + len(cs) - i - 1 <= most
+            out += [a, b] if fits and normality(own @ (a - b) / np.linalg.norm(a - b)) >= limit else [c]
+        if len(out) == len(cs):
+            break
+        cs = lloyd(np.array(out))
+    return cs
+
+
+def test_gmeans_against_loops(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(m, 0.6, (n, 2)) for m, n in (((0, 0), 260), ((4, 0), 60), ((2, 3), 90))])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    for most in (3, 6):
+        found, expected = gm.gmeans(df, 0.05, most), _gmeans_loops(x, gm.AD_CRITICAL[0.05], most)
+        assert len(found.means) == len(expected)
+        assert np.allclose(found.means[np.lexsort(found.means.T)], expected[np.lexsort(expected.T)])
+
+
+def test_ad_ranking_splits_the_least_normal(spark):
+    rng = np.random.default_rng(9)
+    wide, twin = rng.normal((0, 40), (6, 0.1), (200, 2)), np.concatenate([rng.normal((c, 0), 0.3, (100, 2)) for c in (-3, 3)])
+    df = spark.createDataFrame([(r.tolist(),) for r in np.concatenate([wide, twin])], "x array<double>")
+    v = spark.createDataFrame([(float(q),) for q in wide[:, 0]], "v double")
+    assert abs(gm.normality_statistic(v.repartition(3)) - gm.anderson_darling(v, "v").first()["a2"]) < 1e-3
+    means = gm.hierarchical(df, 3, "AD_STATISTIC").means
+    assert sorted(np.round(means[:, 1] / 40).tolist()) == [0, 0, 1]
+    assert np.ptp(means[np.abs(means[:, 1]) < 20][:, 0]) > 5
+
+
 def test_transforms(spark):
     x = RNG.normal(size=(300, 3)) @ np.diag([3.0, 1.0, 0.2])
     df = spark.createDataFrame([(0, i, r.tolist(), i % 2) for i, r in enumerate(x)], "utt_id long, frame_idx long, x array<double>, c int")
