@@ -606,6 +606,45 @@ def mmie_stats(scored: dict[str, dict], truth: str, posterior: dict[str, float],
     return {m: (scaled(acc, weight * (m == truth)), scaled(acc, weight * posterior[m])) for m, acc in scored.items()}
 
 
+def mmie_accumulate(samples: DataFrame, models: dict[str, Mixture], truth: str = "c", c: float = 2.0) -> dict[str, tuple[dict, dict]]:
+    """(numerator, denominator) accumulators per model over all segments (utt_id); column ``truth`` names each segment's model.
+
+    A segment's posterior is the softmax over models of c times its mean log score. Diagonal mixtures of one shape.
+    """
+    k, d = next(iter(models.values())).means.shape
+    width = k * (1 + 2 * d)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for (utt, target), part in batch.groupby(["utt_id", "truth"], sort=False):
+                x = np.stack(part["x"].to_numpy())
+                for name, model in models.items():
+                    g = model.posteriors(x)
+                    rows.append([utt, target, name, len(x), float(model.score(x).sum()), np.concatenate([g.sum(0), np.ravel(g.T @ x), np.ravel(g.T @ (x * x))])])
+            yield pd.DataFrame(rows, columns=["utt_id", "truth", "model_id", "n", "llh", "acc"])
+
+    def weigh(segment: pd.DataFrame) -> pd.DataFrame:
+        names = segment["model_id"].tolist()
+        scores = c * segment["llh"].to_numpy() / segment["n"].to_numpy()
+        p = np.exp(scores - scores.max())
+        made = mmie_stats({m: {"acc": np.array(a)} for m, a in zip(names, segment["acc"], strict=True)}, segment["truth"].iloc[0], dict(zip(names, p / p.sum(), strict=True)))
+        return pd.DataFrame([[m, den, pair[den]["acc"]] for m, pair in made.items() for den in (0, 1)], columns=["model_id", "den", "acc"])
+
+    kind = samples.schema["utt_id"].dataType.simpleString()
+    summed = lambda rows, *by: rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in ("n", "llh") if n in rows.columns], F.array(*[F.sum(F.col("acc")[i]) for i in range(width)]).alias("acc"))
+    parts = samples.select("utt_id", F.col(truth).alias("truth"), "x").mapInPandas(run, f"utt_id {kind}, truth string, model_id string, n long, llh double, acc array<double>")
+    segments = summed(parts, "utt_id", "truth", "model_id")
+    sides = segments.groupBy("utt_id").applyInPandas(weigh, "model_id string, den int, acc array<double>")
+    out: dict = {}
+    for row in summed(sides, "model_id", "den").collect():
+        acc = np.array(row["acc"])
+        out.setdefault(row["model_id"], [None, None])[row["den"]] = {"occ": acc[:k], "s1": acc[k : k + k * d].reshape(k, d), "s2": acc[k + k * d :].reshape(k, d)}
+    if not out:
+        raise TrainingError("no samples")
+    return {m: tuple(pair) for m, pair in out.items()}
+
+
 def extended_update(model: Mixture, num: dict, den: dict, e: float = 2.0, tries: int = 100) -> Mixture:
     """Extended Baum-Welch for diagonal mixtures: D starts at E d / 2, grows by 1.1 until variances are positive, then doubles."""
     means, covs = model.means.copy(), model.covs.copy()

@@ -240,9 +240,12 @@ def gmeans(spark, d):
 
 @query()
 def mmie_step(spark, d):
-    x = _v3(spark, d)
-    num, den = gm.accumulate(x.filter("utt_id = 0"), MODEL), gm.accumulate(x.filter("utt_id = 1"), MODEL)
-    return _model_rows(spark, gm.extended_update(MODEL, num, {k: v * 0.5 for k, v in den.items()}))
+    """One update of both models by all segments; segments of even labels belong to the first, of odd ones to the other."""
+    models = {"ubm": MODEL, "spk": OTHER}
+    x = _v3(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
+    stats = gm.mmie_accumulate(x, models)
+    rows = [_model_rows(spark, gm.extended_update(m, *stats[name])).select(F.lit(name).alias("model_id"), "*") for name, m in models.items()]
+    return rows[0].union(rows[1])
 
 
 @query()

@@ -11,6 +11,7 @@ from strideframe.errors import AlignmentError, InvalidFormatError, LanguageModel
 from strideframe.functions import weights as W
 from strideframe.functions.vectors import pairwise_sum, parse_selection
 from strideframe.operators import decode as dc, dsp, gaussians as gm, hmm, lexicon as lx, spectral as sp, transforms as tr
+from strideframe.plans import catalog
 from strideframe.sources import binary, text
 
 RNG = np.random.default_rng(3)
@@ -216,6 +217,32 @@ def test_ad_ranking_splits_the_least_normal(spark):
     assert np.ptp(means[np.abs(means[:, 1]) < 20][:, 0]) > 5
 
 
+def test_mmie_takes_every_segment(spark):
+    rng = np.random.default_rng(11)
+    models = {m: gm.Mixture([0.6, 0.4], rng.normal(size=(2, 3)), rng.uniform(0.5, 2, (2, 3))) for m in "ab"}
+    segments = [(u, "ab"[u % 2], rng.normal(size=(4 + u, 3))) for u in range(5)]
+    df = spark.createDataFrame([(u, t, r.tolist()) for u, t, x in segments for r in x], "utt_id long, c string, x array<double>").repartition(3)
+    found = gm.mmie_accumulate(df, models)
+    for name, m in models.items():
+        num, den = {}, {}
+        for _, truth, x in segments:
+            scores = {n: math.exp(2 * q.score(x).mean()) for n, q in models.items()}
+            g = m.posteriors(x)
+            for key, v in (("occ", g.sum(0)), ("s1", g.T @ x), ("s2", g.T @ x**2)):
+                num[key] = num.get(key, 0) + v * (truth == name)
+                den[key] = den.get(key, 0) + v * scores[name] / sum(scores.values())
+        for side, expected in zip(found[name], (num, den), strict=True):
+            assert all(np.allclose(side[key], expected[key]) for key in expected)
+        assert np.allclose(gm.extended_update(m, *found[name]).means, gm.extended_update(m, num, den).means)
+
+
+def test_mmie_step_reads_all_labels(spark, sf_dir, tmp_path):
+    whole = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    whole.filter("label < 2").write.parquet(str(tmp_path / "embeddings.parquet"))
+    step = catalog.queries()["mmie_step"]
+    assert step(spark, sf_dir).collect() != step(spark, str(tmp_path)).collect()
+
+
 def test_transforms(spark):
     x = RNG.normal(size=(300, 3)) @ np.diag([3.0, 1.0, 0.2])
     df = spark.createDataFrame([(0, i, r.tolist(), i % 2) for i, r in enumerate(x)], "utt_id long, frame_idx long, x array<double>, c int")
