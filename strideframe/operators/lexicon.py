@@ -108,6 +108,30 @@ def estimate_ngrams(turns: DataFrame) -> DataFrame:
     return first.union(two.select(F.lit(2).alias("n"), F.array("a", "b").alias("words"), "p", F.lit(None).cast("double").alias("backoff")))
 
 
+def lexical_tree(lexicon: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """(i, token, word, f): the nodes of a LexicalTree over the words that have a probability, in depth-first order.
+
+    lexicon: (word, tokens), probabilities: (word, p). Nodes are the distinct token prefixes with summed masses; the root
+    and the ends of words have no token, only ends have a word. Siblings are in the order of
+    their tokens' code points, the end of a word before its longer ones.
+    """
+    words = lexicon.join(probabilities, "word").select("word", "tokens", "p")
+    prefixes = words.select("p", F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda k: F.slice("tokens", 1, k))).alias("path"))
+    nodes = prefixes.groupBy("path").agg(F.sum("p").alias("mass"))
+    inner = nodes.select("path", F.lit(None).cast("string").alias("word"), "mass", F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("above"))
+    ends = words.select(F.col("tokens").alias("path"), "word", F.col("p").alias("mass"), F.col("tokens").alias("above"))
+    rows = inner.union(ends).join(nodes.select(F.col("path").alias("above"), F.col("mass").alias("_m")), "above")
+    share = F.when((F.col("mass") > 0) & (F.col("_m") > 0), F.log("mass") - F.log("_m")).otherwise(F.lit(float("-inf")))
+    top = (F.size("path") == 0) & F.col("word").isNull()
+    # Numbers from prefix sums over the groups of the first three tokens, which follow each other in this order.
+    rows = rows.select("path", "word", F.when(top, F.lit(0.0)).otherwise(share).alias("f"), F.slice("path", 1, 3).alias("_g"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_g").orderBy("path", F.col("word").isNotNull(), "word")) - 1
+    token = F.when(F.col("word").isNull() & (F.size("path") > 0), F.element_at("path", -1))
+    return rows.withColumn("_r", inside).join(starts, "_g").select((F.col("_s") + F.col("_r")).cast("int").alias("i"), token.alias("token"), "word", "f")
+
+
 @dataclass
 class Node:
     """One token of the lexical tree; f is its language-model factor."""

@@ -197,6 +197,6 @@ def utterance_counts(spark, d):
 
 @query()
 def lexical_tree(spark, d):
-    words = {r["word"]: r["tokens"] for r in _lexicon(spark, d).filter(F.length("word") <= 4).orderBy("word").limit(200).collect()}
-    tree = lx.LexicalTree(words, {w: 1 / len(words) for w in words})
-    return spark.createDataFrame([(i, n.token or "", n.word or "", round(n.f, 6) + 0.0) for i, n in enumerate(tree.dfs())], "i int, token string, word string, f double")
+    words = _lexicon(spark, d)
+    tree = lx.lexical_tree(words, lx.zerogram(words, {}))
+    return tree.select("i", F.coalesce("token", F.lit("")).alias("token"), F.coalesce("word", F.lit("")).alias("word"), (F.round("f", 6) + F.lit(0.0)).alias("f"))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -141,6 +142,17 @@ def test_tree_factors_add_up():
     assert len(tree.leaves()) == 3 and len(tree.bfs()) == tree.size()
 
 
+def test_lexical_tree_holds_the_whole_lexicon(spark, sf_dir):
+    rows = sorted(catalog.queries()["lexical_tree"](spark, sf_dir).collect(), key=lambda r: r["i"])
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").select("text").collect()
+    words = {w for r in texts for w in re.split(r"[ \n]+", r["text"] or "") if w}
+    assert len(words) > 200 and max(map(len, words)) > 4
+    tree = lx.LexicalTree({w: list(w) for w in words}, dict.fromkeys(words, 1 / len(words)))
+    assert [r["i"] for r in rows] == list(range(tree.size()))
+    for r, n in zip(rows, tree.dfs(), strict=True):
+        assert (r["token"], r["word"]) == (n.token or "", n.word or "") and abs(r["f"] - n.f) < 2e-6
+
+
 def test_mixture_parts():
     m = gm.Mixture([0.4, 0.6], [[0, 1], [1, 0]], [[1, 2], [2, 1]])
     full = gm.Mixture([0.4, 0.6], m.means, np.array([np.diag(c) for c in m.covs]))
