@@ -77,11 +77,19 @@ def lda(samples: DataFrame, rank: int | None = None, priors: dict | None = None)
     return Projection(mean, canonical(axes / np.linalg.norm(axes, axis=1, keepdims=True)), values.real[order])
 
 
-def sparse_pca(samples: DataFrame, rank: int, most: int = 4096) -> Projection:
-    """For fewer samples than dimensions: eigenvectors through the samples' inner products. The sample count is checked."""
-    rows = samples.select("x").limit(most + 1).collect()
-    if len(rows) > most:
-        raise TrainingError(f"more than {most} samples: use pca")
+def sparse_pca(samples: DataFrame, rank: int) -> Projection:
+    """As pca, but the values are not divided by the sample count; fewer samples than dimensions go through their inner products."""
+    first = samples.select("x").first()
+    if first is None:
+        raise TrainingError("no samples")
+    d = len(first["x"])
+    rows = samples.select("x").limit(d).collect()
+    if len(rows) == d:
+        s = second_order(samples)
+        mean = s["s1"] / s["n"]
+        values, vectors = np.linalg.eigh(s["s2"] - s["n"] * np.outer(mean, mean))
+        order = np.argsort(-values)[: min(rank, d)]
+        return Projection(mean, canonical(vectors.T[order]), np.maximum(values[order], 0.0))
     x = np.array([r["x"] for r in rows])
     mean = x.mean(0)
     _, s, vt = np.linalg.svd(x - mean, full_matrices=False)

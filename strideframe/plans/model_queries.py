@@ -262,7 +262,7 @@ def lda(spark, d):
 
 @query()
 def sparse_pca(spark, d):
-    p = tr.sparse_pca(vectors(spark, d).filter("vec_id < 40"), 5)
+    p = tr.sparse_pca(vectors(spark, d), 5)
     return tr.axes_frame(spark, p).withColumn("v", F.round("v", 4) + F.lit(0.0))
 
 

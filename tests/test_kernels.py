@@ -270,6 +270,21 @@ def test_transforms(spark):
     assert len(tr.lda(df).axes) == 1
 
 
+@pytest.mark.parametrize("n", [5, 8, 4500])
+def test_sparse_pca_of_any_number_of_samples(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8)) * np.arange(1, 9)
+    p = tr.sparse_pca(spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>"), 3)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(p.mean, x.mean(0)) and np.allclose(p.values, s[:3] ** 2) and np.allclose(p.axes, tr.canonical(vt[:3]))
+
+
+def test_sparse_pca_query_takes_all_vectors(spark, sf_dir):
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()], float)
+    axes = tr.canonical(np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:5])
+    found = {(r["k"], r["dim"]): r["v"] for r in catalog.queries()["sparse_pca"](spark, sf_dir).collect()}
+    assert all(abs(found[k, i] - axes[k, i]) < 1e-4 for k in range(5) for i in range(64))
+
+
 def test_windows_and_selection():
     assert abs(W.hamming(5)[2] - 1) < 1e-12 and W.hann(5)[0] == 0 and W.rectangular(3) == [1, 1, 1]
     assert abs(sum(v * j for v, j in zip(W.regression(5, 1), range(-2, 3))) - 1) < 1e-12
