@@ -191,24 +191,25 @@ def anderson_darling(spark, d):
 
 @query()
 def em(spark, d):
-    x = _v3(spark, d).persist()
-    model, _ = gm.em(x, MODEL, 3)
+    x = vectors(spark, d).persist()
+    model, _ = gm.em(x, gm.partitioned_init(x, 3, "uniform"), 3)
     x.unpersist()
     return _model_rows(spark, model)
 
 
 @query()
 def em_full(spark, d):
-    x = _v3(spark, d).persist()
-    start = gm.Mixture(MODEL.weights, MODEL.means, np.array([np.diag(c) for c in MODEL.covs]))
-    model, _ = gm.em(x, start, 2)
+    x = vectors(spark, d).persist()
+    start = gm.partitioned_init(x, 3, "uniform")
+    model, _ = gm.em(x, gm.Mixture(start.weights, start.means, np.array([np.diag(c) for c in start.covs])), 2)
     x.unpersist()
-    return spark.createDataFrame([(k, i, j, round(float(model.covs[k, i, j]), 6)) for k in range(3) for i in range(3) for j in range(3)], "k int, i int, j int, cov double")
+    k, n = model.means.shape
+    return spark.createDataFrame([(c, i, j, round(float(model.covs[c, i, j]), 6)) for c in range(k) for i in range(n) for j in range(n)], "k int, i int, j int, cov double")
 
 
 @query()
 def kmeans(spark, d):
-    x = _v3(spark, d).persist()
+    x = vectors(spark, d).persist()
     model = gm.kmeans(x, gm.partitioned_init(x, 3, "uniform"), 10)
     x.unpersist()
     return _model_rows(spark, model)
@@ -216,7 +217,7 @@ def kmeans(spark, d):
 
 @query()
 def lbg(spark, d):
-    x = _v3(spark, d).persist()
+    x = vectors(spark, d).persist()
     model = gm.lbg(x, 4)
     x.unpersist()
     return _model_rows(spark, model)
@@ -224,7 +225,7 @@ def lbg(spark, d):
 
 @query()
 def hier_clustering(spark, d):
-    x = _v3(spark, d).persist()
+    x = vectors(spark, d).persist()
     model = gm.hierarchical(x, 4)
     x.unpersist()
     return _model_rows(spark, model)
@@ -232,7 +233,7 @@ def hier_clustering(spark, d):
 
 @query()
 def gmeans(spark, d):
-    x = _v3(spark, d).persist()
+    x = vectors(spark, d).persist()
     model = gm.gmeans(x, 0.05, 3)
     x.unpersist()
     return _model_rows(spark, model)

@@ -255,6 +255,23 @@ def test_mmie_step_reads_all_labels(spark, sf_dir, tmp_path):
     assert step(spark, sf_dir).collect() != step(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("name", ["kmeans", "lbg", "hier_clustering", "gmeans", "em", "em_full"])
+def test_clusters_see_all_dimensions(spark, tmp_path, name):
+    """Vectors of two groups that differ in the last dimension only."""
+    x = np.random.default_rng(12).normal(0, 0.1, (240, 64))
+    x[::2, -1] += 5
+    rows = [(i, r.tolist(), i // 2 % 3) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalog.queries()[name](spark, str(tmp_path)).collect()
+    if name == "em_full":
+        assert max(r["i"] for r in found) == max(r["j"] for r in found) == 63
+        return
+    assert max(r["dim"] for r in found) == 63
+    if name != "em":
+        means = [r["mu"] for r in found if r["dim"] == 63]
+        assert min(means) < 0.5 and max(means) > 4.5
+
+
 def test_transforms(spark):
     x = RNG.normal(size=(300, 3)) @ np.diag([3.0, 1.0, 0.2])
     df = spark.createDataFrame([(0, i, r.tolist(), i % 2) for i, r in enumerate(x)], "utt_id long, frame_idx long, x array<double>, c int")
