@@ -34,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strideframe.llm.common import BROADCAST_BYTES, LOWER_TABLE, Scratch
 
@@ -284,20 +284,53 @@ def find_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, scra
     return reps, comps
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_bytes: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, cls, component_id, lead) for every row; lead, the class that holds the smallest id, is null for rows without copies."""
     sig = scratch.keep(signatures(docs, id_col, text_col))
     reps, comps = find_links(docs, sig, id_col, text_col, scratch, percent, broadcast_bytes)
     rooted = _rooted(reps, comps)
-    grouped = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
-    named = scratch.keep(rooted.join(grouped, "root").select("cls", "component_id"))
-    out = sig.select("doc_id", "n", "cls").join(named, "cls", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "cls"))
+    grouped = rooted.groupBy("root").agg(first.alias("m"), F.sum("copies").alias("members")).filter("members > 1")
+    named = scratch.keep(rooted.join(grouped, "root").select("cls", F.col("m.rep").alias("component_id"), F.col("m.cls").alias("lead")))
+    return sig.select("doc_id", "n", "cls").join(named, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    out = _placed(docs, id_col, text_col, percent, broadcast_bytes, Scratch(docs.sparkSession, "minhash"))
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with _cls, the name of each row's set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            names = [_digest(shingle_set(t.as_py(), hashes)) for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, "_cls"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_cls", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, with its own columns only."""
-    found = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component, the one with the smallest id (a null only if there is no other), with its own columns only.
+
+    Rows whose id occurs once are told by it; those with a repeated or null id by id and set. Of rows equal in both, the
+    one with the smallest text stays. Rows with empty sets all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    placed = scratch.keep(_placed(docs, id_col, text_col, PERCENT, BROADCAST_BYTES, scratch))
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("lead"))
+    gone = placed.filter(F.col("lead").isNotNull() & ~leads).select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_set")).distinct()
+    again = scratch.keep(placed.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again")))
+    here = docs[id_col].eqNullSafe(F.col("_gone"))
+    if again.isEmpty():
+        return docs.join(gone, here, "left_anti")
+    repeated = docs[id_col].eqNullSafe(F.col("_again"))
+    once = docs.join(again, repeated, "left_anti").join(gone, here, "left_anti")
+    told = _with_class(docs.join(again, repeated, "left_semi"), text_col)
+    left = told.join(gone, told[id_col].eqNullSafe(F.col("_gone")) & (told["_cls"] == F.col("_set")), "left_anti")
+    void = F.lit(_digest(np.empty(0, np.uint64)))
+    one = left.filter(F.col("_cls") != void).groupBy(id_col, "_cls").agg(F.min_by(F.struct(*docs.columns), text_col).alias("_row")).select("_row.*")
+    return once.union(left.filter(F.col("_cls") == void).drop("_cls")).union(one)

@@ -200,6 +200,22 @@ def test_minhash(make, limit):
     assert minhash.near_duplicates(make().limit(0)).count() == 0
 
 
+def test_keep_one_decides_by_row(make):
+    copied, other = prose(200, 40), prose(201, 40)
+    rows = [(1, copied), (None, copied), (None, other), (None, ""), (None, None),  # a null id copies a document; other null ids stay
+            (5, prose(202, 40)), (6, prose(202, 40)), (6, prose(203, 40)),  # a unique text with the id of a rejected row
+            (7, prose(204, 40)), (7, prose(204, 40)), (7, prose(204, 40).upper()),  # one id, one set
+            (8, prose(205, 40)), (8, prose(206, 40)), (9, prose(206, 40)), (9, prose(205, 40)),  # two components with one smallest id
+            (10, ""), (10, ""), (None, prose(207, 40)), (None, prose(207, 40))]
+    expected = [(1, copied), (None, other), (None, ""), (None, None), (5, prose(202, 40)), (6, prose(203, 40)), (7, prose(204, 40).upper()),
+                (8, prose(205, 40)), (8, prose(206, 40)), (10, ""), (10, ""), (None, prose(207, 40))]
+    kept = minhash.keep_one(make(*rows))
+    assert kept.columns == make(*rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(expected)
+    plain = [(1, copied), (2, copied), (3, other)]
+    assert Counter(r["doc_id"] for r in minhash.keep_one(make(*plain)).collect()) == Counter([1, 3])
+
+
 # ---- quality
 
 def brute_measures(text):
