@@ -57,6 +57,27 @@ class Scratch:
                 place.getFileSystem(conf).delete(place, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it (columns are told without their case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df as they are, also those with dots or spaces in their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, not as a path into a struct."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -14,8 +14,10 @@ the second half as it was, so no near pair is lost, and most lines of a corpus s
 paired off: its earliest member by role is aggregated and joined back; each line that would go is then compared with
 the earlier line word by word, and goes only if the edit distance is at most one.
 
-Defined results: a null text has no lines and stays null. Documents of equal id count as one position: equal lines at
-an equal position all stay. A null id comes after all ids. Extra columns are kept as they are.
+Defined results: a null text has no lines and stays null. Ids may be of any type that has an order; a null id comes
+after all ids. Where ids repeat, lines are earlier by number, then by a hash of their text; so rows of one id and
+different texts are told apart, and rows equal in id and text keep the same lines. Extra columns of any name are kept
+as they are. An empty table stays empty.
 
 Scale: all keys are 64-bit; a key held by a third of all lines is pre-aggregated where it is read and meets its lines
 in a plain equi-join, which adaptive execution splits. Texts move once, to meet their list of lines that stay.
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.llm.common import BROADCAST_BYTES, Scratch, let
+from strideframe.llm.common import BROADCAST_BYTES, Scratch, fresh, let, quoted
 
 MIN_WORDS = 8
-_LINES = 1 << 31
+#: Powers of two that hold a line number and the hash of a text in a position: 64 bits of id, 31 and 30 bits below them.
+_LINES, _TEXTS = 1 << 31, 1 << 30
 
 
 def line_words(line: Column) -> Column:
@@ -36,9 +39,37 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _position(doc_id: Column, line_no: Column) -> Column:
-    """One ordered number for (doc_id, line number); null ids come last."""
-    return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(_LINES).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
+def _is_integral(df: DataFrame, id_col: str) -> bool:
+    return df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """Tells the texts of one id apart; equal keys of different texts do no harm, as lines are compared by hash as well."""
+    return F.pmod(F.xxhash64(doc_id, text), F.lit(_TEXTS)).cast("int")
+
+
+def _position(doc_id: Column, line_no: Column, text_key: Column, integral: bool) -> Column:
+    """One ordered value for (doc_id, line number, text key); null ids come last. A number for integral ids, else a struct."""
+    if not integral:
+        return F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), line_no.cast("long").alias("n"), text_key.cast("long").alias("t"))
+    low = line_no.cast("long") * _TEXTS + text_key
+    return (_document(doc_id, True) + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _document(doc_id: Column, integral: bool) -> Column:
+    """What positions of equal ids have in common; never null."""
+    if not integral:
+        return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("none"))
+    above = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return (above.cast("decimal(38,0)") * F.lit(str(_LINES * _TEXTS)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _parts(pos: Column, integral: bool) -> tuple[Column, Column, Column]:
+    """(document, line number, text key) of a position."""
+    if not integral:
+        return _document(pos["id"], False), pos["n"], pos["t"]
+    low = F.pmod(pos, F.lit(str(_LINES * _TEXTS)).cast("decimal(38,0)")).cast("long")
+    return (pos - low.cast("decimal(19,0)")).cast("decimal(38,0)"), F.shiftright(low, 30), low.bitwiseAND(F.lit(_TEXTS - 1))
 
 
 def _half_keys(words: Column) -> Column:
@@ -50,21 +81,15 @@ def _half_keys(words: Column) -> Column:
     return F.array_distinct(F.array(first(low), first(high), last(high), last(F.floor((n + 2) / 2).cast("int"))))
 
 
-def running_xor(values: Column, most: int = 1 << 22) -> Column:
-    """Element i is the XOR of all values up to i, in log2 steps of whole-array XORs."""
-    step = 1
-    while step < most:
-        values = let(values, lambda a, k=step: _shifted_xor(a, k))
-        step *= 2
+def running_xor(values: Column) -> Column:
+    """Element i is the XOR of all values up to i, by doubling; the steps reach beyond the longest array there can be."""
+    for step in range(31):
+        values = let(values, lambda a, k=1 << step: F.when(F.size(a) <= k, a).otherwise(
+            F.transform(a, lambda x, i: F.when(i < k, x).otherwise(x.bitwiseXOR(F.get(a, i - k))))
+        ))
     return values
 
 
-def _shifted_xor(a: Column, k: int) -> Column:
-    return F.when(F.size(a) <= k, a).otherwise(F.zip_with(
-        a, F.concat(F.array_repeat(F.lit(0).cast("long"), k), F.slice(a, F.lit(1), F.greatest(F.size(a) - k, F.lit(0)))), lambda x, y: x.bitwiseXOR(y)
-    ))
-
-
 def variants(words: Column) -> Column:
     """Structs (key, kind) of a line: kind 0 the whole, 1 a word left out, 2 a word left out at that place."""
     at = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("own"), F.xxhash64(w, i - 1).alias("moved")))
@@ -104,9 +129,10 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(pos, line, h1, h2) of every line that has a word."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    integral, doc_id, text = _is_integral(docs, id_col), F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = docs.select(doc_id.alias("doc_id"), _text_key(doc_id, text).alias("t"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        _position(F.col("doc_id"), F.col("line_no")).alias("pos"), "line",
+        _position(F.col("doc_id"), F.col("line_no"), F.col("t"), integral).alias("pos"), "line",
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"),
     )
 
@@ -126,7 +152,7 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
     ).filter("(whole IS NOT NULL AND less IS NOT NULL) OR place < last")
     earlier = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("place"))
     pairs = emitted.join(groups, "key").select("pos", "h1", "h2", earlier.alias("partner")).filter("partner < pos").distinct()
-    # Several lines may start at one place only where ids repeat; then any of them that is near counts.
+    # A place has two lines only where texts of one id have equal keys; then any of them that is near counts.
     own = found.select("pos", "h1", "h2", F.col("words").alias("own_words"))
     theirs = found.select(F.col("pos").alias("partner"), F.col("words").alias("their_words"))
     checked = pairs.join(own, ["pos", "h1", "h2"]).join(theirs, "partner")
@@ -136,7 +162,7 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with the text that is left and, before the other columns' order changes, nothing else changed."""
+    """docs with the text that is left; nothing else changes."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, id_col, text_col)
     halves = let(line_words(F.col("line")), lambda w: F.when(F.size(w) >= min_words, _half_keys(w)))
@@ -146,18 +172,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = scratch.keep(first.select("h1", "h2", "pos", F.when(F.col("k0").isNotNull(), F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("halves")))
     near = near_duplicates(first, lines, scratch, broadcast_bytes)
     stays = first.join(near.withColumn("gone", F.lit(True)), ["h1", "h2", "pos"], "left").filter("gone IS NULL")
-    numbers = stays.select(
-        F.floor(F.col("pos") / _LINES).cast("decimal(20,0)").alias("_id"), (F.col("pos") % _LINES).cast("int").alias("n"),
-    ).groupBy("_id").agg(F.array_sort(F.collect_set("n")).alias("_stay"))
-    numbers = numbers.withColumn("_stay", F.coalesce("_stay", F.array().cast("array<int>")))
-
-    text = F.col(text_col)
-    parts = F.split(text, "\n")
-    left = let(parts, lambda ps: let(
-        F.array_sort(F.concat(F.coalesce(F.col("_stay"), F.array().cast("array<int>")), F.filter(
-            F.transform(ps, lambda p, i: F.when(~p.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull(),
-        ))), lambda at: F.array_join(F.transform(at, lambda i: F.get(ps, i)), "\n"),
+    integral, doc_id, text = _is_integral(docs, id_col), F.col(quoted(id_col)), F.col(quoted(text_col))
+    of, which, stay, line, number = fresh(docs, "of", "which", "stay", "h1", "n")
+    document, n, t = _parts(F.col("pos"), integral)
+    kept = F.struct(n.cast("int").alias(number), F.col("h1").alias(line))
+    numbers = stays.select(document.alias(of), t.cast("int").alias(which), kept.alias(stay)).groupBy(of, which).agg(F.array_sort(F.collect_set(stay)).alias(stay))
+
+    left = let(F.split(text, "\n"), lambda ps: let(
+        F.array_sort(F.concat(
+            F.transform(F.filter(F.coalesce(F.col(stay), F.array().cast(f"array<struct<{number}:int,{line}:bigint>>")), lambda s: F.xxhash64(F.get(ps, s[number])) == s[line]), lambda s: s[number]),
+            F.filter(F.transform(ps, lambda p, i: F.when(~p.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()),
+        )), lambda at: F.array_join(F.transform(at, lambda i: F.get(ps, i)), "\n"),
     ))
-    key = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-    joined = docs.withColumn("_id", key).join(numbers, "_id", "left")
-    return joined.withColumn(text_col, F.when(text.isNotNull(), left)).select(*[f"`{c}`" for c in docs.columns])
+    joined = docs.withColumns({of: _document(doc_id, integral), which: _text_key(doc_id, text)}).join(numbers, [of, which], "left")
+    return joined.select(*[F.when(text.isNotNull(), left).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])

@@ -83,6 +83,38 @@ def test_line_dedup(make, limit):
     assert line_dedup.dedup_lines(make().limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_line_dedup_ids(spark, kind):
+    """Negative, repeated, null and text ids; columns named like those used inside."""
+    name = (lambda i: i) if kind == "long" else (lambda i: None if i is None else f"{i + (1 << 63):020d}")
+    rows = [(-1, "alpha one\nbeta two\ngamma three"), (-(1 << 63), "x first\nalpha one"), (1, "a b"), (5, "a b\nfoo bar"), (5, "foo bar\nzzz"), (5, "foo bar\nzzz"),
+            ((1 << 63) - 1, "zzz\nlast"), (None, "a b\nnull line"), (None, "other null\nnull line"), (None, None)]
+    clash = "_id long, _stay string, stay string, of string, which int, `a.b` string, pos int, h1 string"
+    docs = spark.createDataFrame([(name(i), t, 1, "s", "s", "o", 2, "d", 3, "h") for i, t in rows], f"doc_id {kind}, text string, {clash}")
+    left = line_dedup.dedup_lines(docs)
+    assert left.columns == docs.columns
+    found = left.collect()
+    assert {tuple(r)[2:] for r in found} == {(1, "s", "s", "o", 2, "d", 3, "h")}
+    texts = Counter((r["doc_id"], r["text"]) for r in found)
+    nulls = sorted((t for (i, t), _ in texts.items() if i is None and t is not None), key=len)
+    assert nulls in (["", "other null\nnull line"], ["null line", "other null"])
+    expected = [(-1, "beta two\ngamma three"), (-(1 << 63), "x first\nalpha one"), (1, "a b"), (5, ""), (5, "foo bar\nzzz"), (5, "foo bar\nzzz"), ((1 << 63) - 1, "last")]
+    assert Counter({k: v for k, v in texts.items() if k[0] is not None}) == Counter((name(i), t) for i, t in expected)
+    assert texts[(None, None)] == 1
+
+
+def test_line_variants_stay_short(spark):
+    """The plan holds no constant arrays, and running XORs are right at every length."""
+    df = spark.createDataFrame([([(i * 2654435761) % 1000003 for i in range(n)],) for n in (0, 1, 2, 7, 1000, 5000)], "a array<long>")
+    for r in df.select("a", line_dedup.running_xor(F.col("a")).alias("x")).collect():
+        acc = 0
+        for a, x in zip(r["a"], r["x"], strict=True):
+            acc ^= a
+            assert acc == x
+    plan = spark.createDataFrame([("a b",)], "t string").select(line_dedup.variants(line_dedup.line_words(F.col("t"))))
+    assert len(plan._jdf.queryExecution().toString()) < 200_000
+
+
 # ---- sharding
 
 def test_sharding(spark, make):
