@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strideframe.llm import bpe, decontaminate, line_dedup, minhash, quality
-from strideframe.llm.common import Scratch, table
+from strideframe.llm.common import Scratch, fresh, own_columns, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents that had words and have none left."""
     has_word = lambda c: F.coalesce(F.col(c).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = line_dedup.dedup_lines(docs.withColumn("_had", has_word("text"))).filter(~F.col("_had") | has_word("text")).drop("_had")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    (had,) = fresh(docs, "had")
+    left = line_dedup.dedup_lines(docs.withColumn(had, has_word("text"))).filter(~F.col(had) | has_word("text")).drop(had)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*own_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
