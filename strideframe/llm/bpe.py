@@ -8,8 +8,8 @@ until they repeat the former ones for as many positions as the longest token has
 
 Which pairs may follow each other is found once per pair by merging the two tokens' bytes by rank, and remembered.
 
-Defined results: a null text is encoded as an empty one (no tokens). Texts are cut into pieces by the vocabulary's
-pattern; no string is special. Repeated rows are encoded row by row; texts of any length are encoded whole. Extra
+Defined results: a null text is encoded as an empty one (no tokens). Texts are cut into pieces by the given pattern;
+what it doesn't match has no tokens, and no string is special. Repeated rows are encoded row by row; texts of any length are encoded whole. Extra
 columns are kept; a former column of the result's name is replaced.
 
 Scale: one pass of Arrow batches, no shuffle; the vocabulary (checked to be small) is broadcast. Each worker keeps one
@@ -28,13 +28,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from strideframe.llm.common import map_batches, quoted
 
 #: Entries of each memory of a worker: about 150 bytes each.
 MEMORY = 1 << 18
 #: A vocabulary file larger than this isn't broadcast.
 VOCABULARY_BYTES = 16 << 20
 
+#: The pattern for which single words may be cut by themselves, and by re where they are plain; any other goes to regex.
+_KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Within these characters re's classes are those of the pattern; all others go to the regex module.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 _PLAIN_PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -156,13 +160,15 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
 
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.vocabulary, self.pattern, self.known = vocabulary, regex.compile(pattern), pattern == _KNOWN
         self._words: dict[str, tuple[int, ...]] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """What the pattern cuts a text into."""
-        return self.pattern.findall(text) if _PLAIN.search(text) else _PLAIN_PIECE.findall(text)
+        if self.known and not _PLAIN.search(text):
+            return _PLAIN_PIECE.findall(text)
+        return self.pattern.findall(text) if self.known else [m.group() for m in self.pattern.finditer(text)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Fill the prefix tables of pieces, one behind the other in one line."""
@@ -188,13 +194,13 @@ class Encoder:
                 kept.clear()
 
     def encode(self, text: str | None) -> list[int]:
-        """The ids of a whole text. Words between single spaces, with the space before them, are cut each by itself."""
+        """The ids of a whole text. The known pattern cuts words between single spaces, with the space before them, each by itself."""
         if not text:
             return []
         self._forget()
         first, *rest = text.split(" ")
-        new = set(rest).difference(self._words)
-        if first == "" or first[-1:].isspace() or any(w == "" or w[0].isspace() or w[-1].isspace() for w in new):
+        new = set(rest).difference(self._words) if self.known else set()
+        if not self.known or first == "" or first[-1:].isspace() or any(w == "" or w[0].isspace() or w[-1].isspace() for w in new):
             pieces = self.pieces(text)
             self._learn(own := set(pieces))
             out = list(chain.from_iterable(map(self._pieces.__getitem__, pieces)))
@@ -250,7 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -264,13 +270,13 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
             values = [None if i is None else coder.decode(i) for i in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values, pa.binary())], names=[*names, out])
 
-    return tokens.mapInArrow(run, schema)
+    return map_batches(tokens, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, its ids decoded, and both are digested."""
     data = _vocabulary(docs, path)
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,11 @@ family, against the rest, picks the family; within it, each pair of languages ha
 with most votes (then the largest sum of margins, then the smallest name) is predicted. All of them are trained here,
 by accelerated gradient descent on the squared hinge loss.
 
-The classifiers are fitted on a bounded sample: at most ``per_language`` documents, of whole text, of each of the
-``max_languages`` commonest labels. Which rows are in it is decided by a hash of the id, so it is the same each time.
-Counting labels covers all rows, and every row is predicted, from its text alone.
+The classifiers are fitted on a bounded sample of whole texts: at most ``per_language`` documents of each label, and less
+where there are so many labels that all of them together would have more than ``most_rows``; every label that has a
+text with a letter is learned (so with more labels than ``most_rows`` there is one document of each). Which rows are in
+it is decided by a hash of the id, so it is the same each time. Counting labels covers all rows, and every row is
+predicted, from its text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing
 to learn from. Rows with a null label or id are never learned from. Repeated rows are predicted row by row.
@@ -23,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from strideframe.llm.common import BROADCAST_BYTES, map_batches
+
 DIMENSIONS = 4096
-PER_LANGUAGE, MAX_LANGUAGES = 300, 64
+PER_LANGUAGE, MOST_ROWS = 300, 19200
 
 # Families of ISO 639-1 codes; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -120,16 +124,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES,
+    per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS,
 ) -> Model:
     """Fit on a bounded sample of the rows for which learn_from holds."""
-    rows = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    # One row per label: as many as there are languages, not documents.
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return Model(np.zeros((0, DIMENSIONS)), [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_language / r["count"] + 20.0 / r["count"]))])
+    per = max(1, min(per_language, most_rows // len(counts)))
+    listed = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * per + 20.0) / r["count"])) for r in counts], "_lang string, _share double")
     u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(u < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0))).select(u.alias("u"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = rows.select(u.alias("u"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = labelled.join(F.broadcast(listed) if len(counts) * 64 <= BROADCAST_BYTES else listed, F.col("lang") == F.col("_lang")).filter("u < _share").select("u", "lang", "text")
     schema = T.StructType([T.StructField("u", T.DoubleType()), T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +146,11 @@ def fit(
             x = [features(t).astype(np.float16).tobytes() for t in own.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([own.column("u"), own.column("lang"), pa.array(x, pa.binary())], names=schema.names)
 
-    # At most about 1.5 times per_language rows of 8 KB for each of max_languages labels.
+    # About 1.5 times per + 20 rows of 8 KB for each label.
     sample: dict[str, list] = {}
     for r in sorted(drawn.mapInArrow(run, schema).collect(), key=lambda r: (r["u"], r["lang"], r["x"])):
         sample.setdefault(r["lang"], []).append(r["x"])
-    pairs = [(lang, x) for lang in sorted(sample) for x in sample[lang][:per_language]]
+    pairs = [(lang, x) for lang in sorted(sample) for x in sample[lang][:per]]
     x = np.array([np.frombuffer(x, np.float16) for _, x in pairs], np.float32).reshape(len(pairs), DIMENSIONS)
     return Model(x, [lang for lang, _ in pairs])
 
@@ -160,4 +167,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, out, score])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

@@ -232,6 +232,36 @@ def test_minhash(make, limit):
     assert minhash.near_duplicates(make().limit(0)).count() == 0
 
 
+def test_minhash_loose_group(spark):
+    """Many texts that are alike but mostly below the bound: equal to brute force, with far fewer pairs than all."""
+    rng, rows = random.Random(19), []
+    base = prose(90, 120).split()
+    for k in range(300):
+        v = base.copy()
+        for _ in range(rng.choice((0, 1, 2, 3, 5, 6, 7, 8, 9))):
+            i = rng.randrange(len(v))
+            v[i : i + 1] = rng.choice(([], [rng.choice(WORDS)], [rng.choice(WORDS), v[i]], [f"x{k}"]))
+        rows.append((k, " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tested = []
+    compare = minhash._Finder.compare
+    try:
+        minhash._Finder.compare = lambda *a: tested.append(compare(*a)) or tested[-1]
+        found = minhash.near_duplicates(docs).collect()
+    finally:
+        minhash._Finder.compare = compare
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+    assert len({c for _, _, c in brute_components(rows)}) > 50 and sum(t for t, _ in tested) < 300 * 300 / 2 / 4
+
+
+def test_keep_one_clashing_columns(spark):
+    rows = [(1, prose(1, 30)), (2, prose(1, 30)), (3, prose(2, 30)), (3, prose(3, 30)), (3, prose(3, 30))]
+    docs = spark.createDataFrame([(i, t, 1, "a", "b", "c", "d", 2) for i, t in rows], "doc_id long, text string, _gone long, gone string, `set` string, again string, _cls string, `row.x` int")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([rows[0], rows[2], rows[3]])
+
+
 def test_keep_one_decides_by_row(make):
     copied, other = prose(200, 40), prose(201, 40)
     rows = [(1, copied), (None, copied), (None, other), (None, ""), (None, None),  # a null id copies a document; other null ids stay
@@ -320,6 +350,21 @@ def test_bpe_against_tiktoken(spark, make, vocabulary):
     assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
     for r in bpe.round_trip(docs, path, pattern).collect():
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids[r["doc_id"]])).encode()).hexdigest() and r["n_tokens"] == len(ids[r["doc_id"]])
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("own", [r"\S|\s", r"\w+|[^\w]", r"(?:[a-c]+)|.", r"(a|b)+ ?|[^ab]+"])
+def test_bpe_other_patterns(make, vocabulary, own):
+    import tiktoken
+
+    with open(vocabulary[0], "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    true = tiktoken.Encoding("own", pat_str=own, mergeable_ranks=ranks, special_tokens={})
+    texts = ["abc de", "don't  stop\n\nnow ", prose(5, 200), "\u00e9t\u00e9 \u4e2d", None, ""]
+    ids = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(make(*enumerate(texts)), vocabulary[0], own).collect()}
+    assert ids == {i: true.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    for r in bpe.round_trip(make(*enumerate(texts)), vocabulary[0], own).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(true.decode_bytes(ids[r["doc_id"]])).hexdigest()
 
 
 def test_prefix_tables(vocabulary):
@@ -352,6 +397,17 @@ def test_language(spark, sf_dir):
     assert {zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in unseen} == {True}
 
 
+def test_every_label_is_learned(spark):
+    """More labels than fit at full share: the row budget is divided, no label is left out."""
+    rng = random.Random(6)
+    word = lambda k: "".join(chr(97 + (k * 7 + rng.randrange(5)) % 26) for _ in range(6)) + chr(0x430 + k % 32)
+    rows = [(100 * k + i, " ".join(word(k) for _ in range(30)), f"x{k:02d}") for k in range(90) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), most_rows=180)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert {r["lang_pred"] for r in language.predict(docs, model).collect()} <= set(model.langs)
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, sf_dir):
