@@ -48,12 +48,12 @@ def _text_key(doc_id: Column, text: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, text), F.lit(_TEXTS)).cast("int")
 
 
-def _position(doc_id: Column, line_no: Column, text_key: Column, integral: bool) -> Column:
+def _position(document: Column, doc_id: Column, line_no: Column, text_key: Column, integral: bool) -> Column:
     """One ordered value for (doc_id, line number, text key); null ids come last. A number for integral ids, else a struct."""
     if not integral:
         return F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), line_no.cast("long").alias("n"), text_key.cast("long").alias("t"))
     low = line_no.cast("long") * _TEXTS + text_key
-    return (_document(doc_id, True) + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (document + low.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def _document(doc_id: Column, integral: bool) -> Column:
@@ -130,9 +130,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(pos, line, h1, h2) of every line that has a word."""
     integral, doc_id, text = _is_integral(docs, id_col), F.col(quoted(id_col)), F.col(quoted(text_col))
-    rows = docs.select(doc_id.alias("doc_id"), _text_key(doc_id, text).alias("t"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # What is the same for all lines of a text is computed before they are listed.
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), _text_key(doc_id, text).alias("t"), _document(doc_id, integral).alias("of"))
+    rows = rows.select("doc_id", "of", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        _position(F.col("doc_id"), F.col("line_no"), F.col("t"), integral).alias("pos"), "line",
+        _position(F.col("of"), F.col("doc_id"), F.col("line_no"), F.col("t"), integral).alias("pos"), "line",
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"),
     )
 
