@@ -10,16 +10,16 @@ Texts with equal sets are one class from the start, so copies are never paired.
 
 * The diagonal tables come first: in each bucket one class, the leader, is compared with all others. The leader is the
   class whose half keys most others share, likely what the others were copied from. Most groups are connected after that.
-* Then only half keys matter that classes of different components share; their pairs give the keys of all tables. In
-  turns, each component that still meets another in a bucket has one class compared with one of the largest component
-  there, another one each turn, while that connects components: one link is enough for all their classes.
-* The classes that are left in buckets of several components would, paired off, grow with the square of a loose group
-  (texts that are alike, but not enough). An exact filter on their full sets lists only pairs that can be links: shingles
-  are ordered by the number of left classes that have them, rarest first. Two sets linked at 0.75 share a shingle among
-  the first quarter of each, and the first one they share stands early enough in both to leave room for the overlap that
-  their sizes ask for. What such texts have in common comes last, so that a loose group has few pairs to list. In
-  these lists there are turns as before; then the classes of all components but the largest, a growing number at a time,
-  meet the other classes of the list that pass the filter.
+* Then only half keys matter that classes of different components share; their pairs give the keys of all tables, and the
+  classes that stand in a bucket of several components are left.
+* Paired off by bucket, these would grow with the square of a loose group (texts that are alike, but not enough). An exact
+  filter on their full sets lists only pairs that can be links: shingles are ordered by the number of left classes that
+  have them, rarest first. Two sets linked at 0.75 share a shingle among the first quarter of each, and the first one they
+  share stands early enough in both to leave room for the overlap that their sizes ask for. What such texts have in common
+  comes last, so that a loose group has few pairs to list.
+* In each list, each component that meets another has one class compared with one of the largest component there, another
+  one each turn, while that connects components: one link is enough for all their classes. Then the classes of all
+  components but the largest, a growing number at a time, meet the other classes of the list that pass the filter.
 
 So every pair of classes with a key in common is compared, ruled out by the filter, or already connected.
 
@@ -260,9 +260,8 @@ class _Finder:
     def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch: Scratch, percent: int, broadcast_bytes: int):
         self.docs, self.reps, self.id_col, self.text_col = docs, reps, id_col, text_col
         self.scratch, self.percent, self.broadcast_bytes = scratch, percent, broadcast_bytes
-        self.links: list[DataFrame] = []
         self.seen: list[DataFrame] = []
-        self.comps = scratch.keep(docs.sparkSession.createDataFrame([], "cls binary, root binary"))
+        self.comps, self.linked = docs.sparkSession.createDataFrame([], "cls binary, root binary"), False
 
     def sets_of(self, classes: DataFrame) -> DataFrame:
         """(cls, elements) of the classes (cls)."""
@@ -291,14 +290,26 @@ class _Finder:
         if sets is None:
             scratch.drop(own)
         linked = found.count()
-        if not linked:
-            scratch.drop(found)
-        else:
-            self.links.append(found)
-            former, self.comps = self.comps, components(reduce(DataFrame.union, self.links), scratch)
-            scratch.drop(former)
+        if linked:
+            self.merge(found)
+        scratch.drop(found)
         return tested, linked
 
+    def merge(self, links: DataFrame) -> None:
+        """Components with the links (x, y) added: they connect the roots there are, few next to all links so far."""
+        scratch, former = self.scratch, self.comps
+        if not self.linked:
+            self.comps, self.linked = components(links, scratch), True
+            return
+        place = lambda c: former.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}"))
+        between = links.join(place("x"), "x", "left").join(place("y"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
+        joined = components(between, scratch)
+        moved = joined.select(F.col("cls").alias("root"), F.col("root").alias("new"))
+        self.comps = scratch.keep(
+            former.join(moved, "root", "left").select("cls", F.coalesce("new", "root").alias("root")).union(joined.join(former.select("cls"), "cls", "left_anti"))
+        )
+        scratch.drop(former, joined)
+
     def refresh(self, rows: DataFrame, former: DataFrame | None = None) -> DataFrame:
         """The rows (key, cls, ...) that stand under more than one component, with their root; the former ones are removed."""
         rooted = _rooted(rows.drop("root"), self.comps)
@@ -306,7 +317,7 @@ class _Finder:
         self.scratch.drop(former)
         return new
 
-    def take_turns(self, rows: DataFrame) -> DataFrame:
+    def take_turns(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """Compare one class of each component with one of the largest it meets, while that connects one in twenty."""
         turn = 0
         while not rows.isEmpty():
@@ -316,11 +327,11 @@ class _Finder:
             centre = parts.groupBy("key").agg(F.max(F.struct("c", "root", "x", "p")).alias("m")).select("key", F.col("m.root").alias("other"), F.col("m.x").alias("y"), F.col("m.p").alias("py"))
             met = parts.join(centre, "key").filter("root <> other")
             rank = F.struct(F.col("py") if turn == 0 else F.lit(0), F.xxhash64("key", F.lit(turn)))
-            tested, linked = self.compare(met.groupBy("root").agg(F.max_by(F.struct("x", "y"), rank).alias("m")).select(F.col("m.y").alias("x"), F.col("m.x").alias("y")))
+            tested, linked = self.compare(met.groupBy("root").agg(F.max_by(F.struct("x", "y"), rank).alias("m")).select(F.col("m.y").alias("x"), F.col("m.x").alias("y")), sets)
             if linked:
                 rows = self.refresh(rows, rows)
             turn += 1
-            if turn > 1 and linked * 20 < max(tested, 1):
+            if linked * 20 < max(tested, 1):
                 break
         return rows
 
@@ -369,22 +380,19 @@ def find_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, scra
     for side in (in_a, in_b):
         rooted = _rooted(side, finder.comps)
         left.append(rooted.join(_differing(rooted, "k"), "k", "left_semi").groupBy("cls").agg(F.collect_list("k").alias("ks")))
-    keyed = left[0].join(left[1].withColumnRenamed("ks", "kb"), "cls").select("cls", F.explode("ks").alias("ka"), "kb").select("cls", "ka", F.explode("kb").alias("kb"))
-    keyed = scratch.keep(keyed.select("cls", F.xxhash64("ka", "kb").alias("key")).join(popular, "cls"))
+    halved = left[0].join(left[1].withColumnRenamed("ks", "kb"), "cls").select("cls", F.explode("ks").alias("ka"), "kb").select("cls", "ka", F.explode("kb").alias("kb"))
+    keyed = _rooted(halved.select("cls", F.xxhash64("ka", "kb").alias("key")), finder.comps)
+    classes = scratch.keep(keyed.join(_differing(keyed, "key"), "key", "left_semi").select("cls").distinct())
     scratch.drop(in_a, in_b)
-    buckets = finder.take_turns(finder.refresh(keyed, keyed))
-
-    classes = scratch.keep(buckets.select("cls").distinct())
-    scratch.drop(buckets)
     if not classes.isEmpty():
         sets = finder.sets_of(classes)
         lists = scratch.keep(_prefixes(sets, percent).join(popular, "cls"))
         rooted = finder.refresh(lists, lists)
         reachable = scratch.keep(_reachable(rooted, percent))
         scratch.drop(rooted)
-        finder.finish(finder.take_turns(finder.refresh(reachable, reachable)), sets)
+        finder.finish(finder.take_turns(finder.refresh(reachable, reachable), sets), sets)
         scratch.drop(sets)
-    scratch.drop(classes, popular, *finder.links, *finder.seen)
+    scratch.drop(classes, popular, *finder.seen)
     return reps, finder.comps
 
 
