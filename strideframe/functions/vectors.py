@@ -141,22 +141,39 @@ def pairwise_sum(values: Sequence[float]) -> float:
     return pairwise_sum(values[:mid]) + pairwise_sum(values[mid:])
 
 
+def mirror_radii(x: Sequence) -> tuple[list[int], list[int]]:
+    """How far the sequence mirrors around each element and before each element, in linear time.
+
+    The reach of what was found farthest right is used for every centre under it: a centre starts from the radius of its
+    mirror image, as far as that lies within, and only grows beyond.
+    """
+    found = []
+    for gap in (0, 1):
+        radii, left, right = [0] * len(x), 0, -1
+        for c in range(len(x)):
+            r = 0 if c > right else min(radii[left + right - c + gap] if left + right - c + gap < len(x) else 0, right - c + 1)
+            while c - r - gap >= 0 and c + r < len(x) and x[c - r - gap] == x[c + r]:
+                r += 1
+            radii[c] = r
+            if c + r - 1 > right:
+                left, right = c - r + 1 - gap, c + r - 1
+        found.append(radii)
+    return found[0], found[1]
+
+
+def longest_palindromes(x: Sequence, least: int = 2) -> list[tuple[int, int]]:
+    """Maximal palindromes (start, length), longest first, then by start."""
+    odd, even = mirror_radii(x)
+    rows = [(c - r + 1, 2 * r - 1) for c, r in enumerate(odd)] + [(c - r, 2 * r) for c, r in enumerate(even)]
+    return sorted((p for p in rows if p[1] >= least), key=lambda p: (-p[1], p[0]))
+
+
 def palindromes(x: Column, least: int = 2) -> Column:
-    """Maximal palindromes (start, length) of an array, longest first; centres are tried one by one."""
-    n = F.size(x)
-
-    def grown(left: Column, right: Column) -> Column:
-        # How far the ends agree: the first disagreement of the two sides.
-        a = F.reverse(F.slice(x, F.lit(1), F.greatest(left, F.lit(0))))
-        b = F.slice(x, right, F.greatest(n - right + 1, F.lit(0)))
-        k = F.least(F.size(a), F.size(b))
-        same = F.zip_with(F.slice(a, F.lit(1), k), F.slice(b, F.lit(1), k), lambda p, q: p.eqNullSafe(q))
-        agree = let(F.array_position(same, False), lambda p: F.when(p == 0, k).otherwise(p - 1).cast("int"))
-        return let(agree, lambda g: F.struct((left - g).alias("start"), (right - left - 1 + 2 * g).alias("length")))
-
-    centres = F.sequence(F.lit(1), n)
-    odd = F.transform(centres, lambda i: grown(i - 1, i + 1))
-    even = F.transform(centres, lambda i: grown(i, i + 1))
-    found = F.filter(F.concat(odd, even), lambda p: p["length"] >= least)
-    ranked = F.array_sort(F.transform(found, lambda p: F.struct((-p["length"]).alias("l"), p["start"].alias("start"))))
-    return F.when(n > 0, F.transform(ranked, lambda p: F.struct(p["start"], (-p["l"]).alias("length"))))
+    """Maximal palindromes (start, length) of an array of strings, longest first; null for empty arrays. Batches of rows, linear in each."""
+    import pandas as pd
+
+    def run(rows):
+        return rows.map(lambda v: None if v is None or not len(v) else [{"start": a, "length": n} for a, n in longest_palindromes(list(v), least)])
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}  # types, not their names
+    return F.pandas_udf(run, "array<struct<start:int,length:int>>")(x)

@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strideframe.operators.order import total_before
+
 Metric = Callable[[Column, Column], Column]
 
 
@@ -59,22 +61,55 @@ def span_of(ratings: DataFrame) -> float:
     return float(r["hi"] - r["lo"])
 
 
+def _pair_sum(n: Column, c: Column, distance: Metric) -> Column:
+    """Sum over pairs of different classes of the products of their counts and their distance, as an aggregate over classes."""
+    if distance is nominal_distance:
+        return (F.sum(n) * F.sum(n) - F.sum(n * n)) / 2
+    return F.sum(n) * F.sum(n * c * c) - F.sum(n * c) * F.sum(n * c)
+
+
 def alpha(ratings: DataFrame, distance: Metric = nominal_distance, on: str = "index") -> DataFrame:
-    """One row (alpha): 1 - observed over expected disagreement, on 1-based class indices or on the values."""
+    """One row (alpha): 1 - observed over expected disagreement, on 1-based class indices or on the values.
+
+    Nominal and interval distances have sums over classes, so no pairs are made. Other metrics pair off the classes of
+    each subject, and all classes with each other: their cost grows with the square of the number of different ratings.
+    """
     valid = ratings.filter("rating IS NOT NULL")
     # Counts per subject and class keep the pairs of a subject out of the plan.
     cells = valid.groupBy("subject_id", "rating").agg(F.count("*").alias("n"))
     cells = cells.withColumn("m", F.sum("n").over(Window.partitionBy("subject_id"))).filter("m > 1")
-    classes = cells.select("rating").distinct().withColumn("_k", F.row_number().over(Window.orderBy("rating")))  # the categories, few
-    value = F.col("_k") if on == "index" else F.col("rating")
-    cells = cells.join(F.broadcast(classes.select("rating", value.cast("double").alias("c"))), "rating")
-    left, right = cells.select("subject_id", "m", F.col("c").alias("a"), F.col("n").alias("na")), cells.select("subject_id", F.col("c").alias("b"), F.col("n").alias("nb"))
-    observed = left.join(right, "subject_id").filter("a < b").agg(
-        F.coalesce(F.sum(F.col("na") * F.col("nb") / (F.col("m") - 1) * distance(F.col("a"), F.col("b"))), F.lit(0.0)).alias("do"))
+    if on == "index":
+        places = total_before(cells.select("rating").distinct(), "rating", F.lit(1)).select("rating", (F.col("before") + 1).cast("double").alias("c"))
+        cells = cells.join(places, "rating")
+    else:
+        cells = cells.withColumn("c", F.col("rating").cast("double"))
+    n, c = F.col("n").cast("double"), F.col("c")
     sums = cells.groupBy("c").agg(F.sum("n").alias("n"))
-    x, y = sums.select(F.col("c").alias("a"), F.col("n").alias("na")), sums.select(F.col("c").alias("b"), F.col("n").alias("nb"))
-    expected = x.join(F.broadcast(y), F.col("a") < F.col("b")).agg(F.coalesce(F.sum(F.col("na") * F.col("nb") * distance(F.col("a"), F.col("b"))), F.lit(0.0)).alias("de"))
-    return sums.agg(F.sum("n").alias("n")).crossJoin(observed).crossJoin(expected).select((1 - F.try_divide((F.col("n") - 1) * F.col("do"), F.col("de"))).alias("alpha"))
+    if distance in (nominal_distance, interval_distance):
+        each = cells.groupBy("subject_id", "m").agg(_pair_sum(n, c, distance).alias("d"))
+        observed = each.agg(F.coalesce(F.sum(F.col("d") / (F.col("m") - 1)), F.lit(0.0)).alias("do"))
+        expected = sums.agg(F.coalesce(_pair_sum(n, c, distance), F.lit(0.0)).alias("de"))
+    else:
+        left, right = cells.select("subject_id", "m", F.col("c").alias("a"), F.col("n").alias("na")), cells.select("subject_id", F.col("c").alias("b"), F.col("n").alias("nb"))
+        observed = left.join(right, "subject_id").filter("a < b").agg(
+            F.coalesce(F.sum(F.col("na") * F.col("nb") / (F.col("m") - 1) * distance(F.col("a"), F.col("b"))), F.lit(0.0)).alias("do"))
+        x, y = sums.select(F.col("c").alias("a"), F.col("n").alias("na")), sums.select(F.col("c").alias("b"), F.col("n").alias("nb"))
+        expected = x.join(y, F.col("a") < F.col("b")).agg(F.coalesce(F.sum(F.col("na") * F.col("nb") * distance(F.col("a"), F.col("b"))), F.lit(0.0)).alias("de"))
+    return sums.agg(F.sum("n").alias("n")).crossJoin(observed).crossJoin(expected).select((1 - F.try_divide((F.col("n") - 1) * F.col("do"), F.col("de"))).alias("alpha"))  # one row each
+
+
+METRICS: dict[str, Metric] = {"nominal": nominal_distance, "interval": interval_distance, "ratio": ratio_distance}
+
+
+def register_metric(name: str, distance: Metric) -> None:
+    """Make a distance known by name, as the command-line tools look it up."""
+    METRICS[name] = distance
+
+
+def add_rater(ratings: DataFrame, rater_id: str, own: DataFrame) -> DataFrame:
+    """ratings with those of one more rater (subject_id, rating); an error when the plan runs if the rater is there already."""
+    known = ratings.filter(F.when(F.col("rater_id") == rater_id, F.raise_error(F.lit(f"rater {rater_id} is there already")).cast("boolean")).otherwise(F.lit(True)))
+    return known.unionByName(own.select("subject_id", F.lit(rater_id).alias("rater_id"), F.col("rating").cast("double").alias("rating")))
 
 
 def basic_stats(df: DataFrame, column: str, *by: str) -> DataFrame:
@@ -89,8 +124,9 @@ def basic_stats(df: DataFrame, column: str, *by: str) -> DataFrame:
     # Over everything: counts per value and a running sum over values, not one task over rows.
     counts = rows.groupBy("_v").agg(F.count("*").alias("c"))
     total = rows.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"))
-    upto = counts.withColumn("_u", F.sum("c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    mid = upto.crossJoin(F.broadcast(total)).filter(F.col("_u") > F.floor(F.col("n") / 2)).agg(F.min("_v").alias("median"))
+    upto = total_before(counts, "_v", "c")
+    one = F.broadcast(total)  # one row
+    mid = upto.crossJoin(one).filter(F.col("before") + F.col("c") > F.floor(F.col("n") / 2)).agg(F.min("_v").alias("median"))
     return total.crossJoin(mid).select("n", "lo", "hi", "median", "mean", "sd")
 
 
@@ -112,8 +148,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     def ranks(c: str) -> DataFrame:
         # Average rank per distinct value from counts: rows before it plus the middle of its ties.
         counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        return total_before(counts, c, "n").select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     cells = rows.groupBy("a", "b").agg(F.count("*").alias("c")).join(ranks("a"), "a").join(ranks("b"), "b")
     d = F.col("ra") - F.col("rb")

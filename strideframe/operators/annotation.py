@@ -107,6 +107,18 @@ def connect(entries: DataFrame) -> DataFrame:
     return entries.withColumn("end_sample", F.coalesce(F.lead("start_sample").over(order), F.col("end_sample")))
 
 
+def disconnect(entries: DataFrame) -> DataFrame:
+    """Entries that end right before the next one starts end one sample earlier."""
+    order = Window.partitionBy("utt_id").orderBy("entry_idx")
+    touches = F.col("end_sample") == F.lead("start_sample").over(order) - 1
+    return entries.withColumn("end_sample", F.when(touches, F.col("end_sample") - 1).otherwise(F.col("end_sample")))
+
+
+def same_document(a: Column, b: Column) -> Column:
+    """Whether two utterances (structs) are written as the same document: equal text forms of all their fields."""
+    return F.to_json(a) == F.to_json(b)
+
+
 def turn_fields(line: Column) -> list[Column]:
     """name, start_ms, end_ms and text of ``name_start_end.wav text``."""
     pattern = r"^((?:\S*?)_(\d+)_(\d+)\.wav)\s*(.*)$"
@@ -116,46 +128,3 @@ def turn_fields(line: Column) -> list[Column]:
 def find_turn(turns: DataFrame, search: str) -> DataFrame:
     """The first turn whose name is at least the search string."""
     return turns.filter(F.col("name") >= search).orderBy("name").limit(1)
-
-
-def nuclei(energies: DataFrame, factor: float = 0.5, least: float = 0.0, width: int = 2, distance: int = 2) -> DataFrame:
-    """(utt_id, start, peak, end, energy): syllable nuclei of one band of (utt_id, frame_idx, e).
-
-    A peak above ``least`` counts if on both sides the energy falls below (1 - factor) of it before it rises above it.
-    Its edges are the first frames below the middle of the peak and the lower of the two minima; it needs ``width``
-    frames, and ``distance`` frames to the nucleus before it.
-    """
-    import numpy as np
-    import pandas as pd
-
-    kind = energies.schema["utt_id"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf.sort_values("frame_idx")["e"].to_numpy(float)
-        found, free = [], 0
-        for p in range(1, len(e) - 1):
-            if not (e[p] > least and e[p] > e[p - 1] and e[p] >= e[p + 1]):
-                continue
-            sides = []
-            for step in (-1, 1):
-                at, low = p + step, e[p]
-                while 0 <= at < len(e) and e[at] <= e[p] and e[at] >= (1 - factor) * e[p]:
-                    at += step
-                ok = 0 <= at < len(e) and e[at] < (1 - factor) * e[p]
-                if ok:
-                    low = e[at]
-                    while 0 <= at + step < len(e) and e[at + step] <= low:
-                        at += step
-                        low = e[at]
-                sides.append(low if ok else None)
-            if None in sides:
-                continue
-            mid = (e[p] + min(sides)) / 2
-            a = p - int(np.argmax(e[p::-1] < mid)) + 1
-            b = p + int(np.argmax(e[p:] < mid)) - 1
-            if b - a + 1 >= width and a >= free:
-                found.append((key[0], a, p, b, float(e[p])))
-                free = b + 1 + distance
-        return pd.DataFrame(found, columns=["utt_id", "start", "peak", "end", "energy"])
-
-    return energies.groupBy("utt_id").applyInPandas(run, f"utt_id {kind}, start long, peak long, end long, energy double")

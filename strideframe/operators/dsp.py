@@ -153,7 +153,7 @@ def recursive_median(size: int, repeat: bool = True) -> Callable[[np.ndarray], n
 
 
 def natural_spline(knots: Sequence[float], values: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
-    """The natural cubic spline through the knots."""
+    """The natural cubic spline through the knots; its tridiagonal system is solved in linear time and memory."""
     x, y = np.asarray(knots, float), np.asarray(values, float)
     n = len(x)
     if n < 2:
@@ -161,8 +161,15 @@ def natural_spline(knots: Sequence[float], values: Sequence[float]) -> Callable[
     h = np.diff(x)
     m = np.zeros(n)
     if n > 2:
-        system = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(system, 6 * np.diff(np.diff(y) / h))
+        right = 6 * np.diff(np.diff(y) / h)
+        # Row k: h[k] m[k] + 2 (h[k] + h[k + 1]) m[k + 1] + h[k + 1] m[k + 2]; each is freed of its first term by the row before.
+        upper, known = np.zeros(n - 2), np.zeros(n - 2)
+        for k in range(n - 2):
+            before, part = (upper[k - 1], known[k - 1]) if k else (0.0, 0.0)
+            pivot = 2 * (h[k] + h[k + 1]) - h[k] * before
+            upper[k], known[k] = h[k + 1] / pivot, (right[k] - h[k] * part) / pivot
+        for k in range(n - 3, -1, -1):
+            m[k + 1] = known[k] - upper[k] * m[k + 2]
 
     def at(t: np.ndarray) -> np.ndarray:
         k = np.clip(np.searchsorted(x, t) - 1, 0, n - 2)
@@ -178,6 +185,16 @@ def sinc_at(x: np.ndarray, t: float, taps: int = 500) -> float:
     return float(np.sum(x[k] * np.sinc(t - k)))
 
 
+def sinc_shift(part: float, taps: int = 500) -> Callable[[np.ndarray], np.ndarray]:
+    """The signal's values at all samples but the last, plus a part of one: sinc_at everywhere by one convolution."""
+    kernel = np.sinc(part + np.arange(-taps, taps + 1))
+
+    def run(x: np.ndarray) -> np.ndarray:
+        return np.convolve(x, kernel)[taps : taps + max(0, len(x) - 1)]
+
+    return run
+
+
 def refill_pitch(f0: DataFrame) -> DataFrame:
     """Frames that aren't selected, between the first and last selected one, from the spline through those that are.
 

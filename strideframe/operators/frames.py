@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strideframe.functions import vectors as V
+from strideframe.operators.order import total_before
 
 
 def to_frames(df: DataFrame, utt: str, order: Sequence[str], values: Sequence[str], *keep: str) -> DataFrame:
@@ -40,20 +41,32 @@ def merge(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def concat(frames: DataFrame, file: str = "utt_id", into: Column | None = None) -> DataFrame:
-    """Files one after another, in the order of their names, numbered anew; by prefix sums of lengths, not by one sort."""
+    """Files one after another, in the order of their names, numbered anew; by prefix sums of lengths, not by one sort.
+
+    Frames of different widths are an error when the plan runs.
+    """
     into = F.lit("all") if into is None else into
     lengths = frames.groupBy(file).agg(F.count("*").alias("n"), F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = lengths.select(file, before.alias("_before"))
-    return frames.join(starts, file).select(into.alias("utt_id"), (F.col("_before") + F.col("frame_idx")).alias("frame_idx"), "x")
+    starts = total_before(lengths.select(file, "n"), file, "n", "_before").select(file, "_before")
+    widths = lengths.agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))  # one row
+    fits = F.when(F.col("_lo") != F.col("_hi"), F.raise_error(F.lit("frames of different widths")).cast("boolean")).otherwise(F.lit(True))
+    rows = frames.join(starts, file).crossJoin(F.broadcast(widths)).filter(fits)
+    return rows.select(into.alias("utt_id"), (F.col("_before") + F.col("frame_idx")).alias("frame_idx"), "x")
+
+
+RUN_BLOCK = 4096
 
 
-def split_runs(frames: DataFrame, runs: DataFrame) -> DataFrame:
-    """Consecutive runs of each utterance to outputs. runs: (ord, out, n_frames); a range join on cumulated lengths."""
-    upto = F.sum("n_frames").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    spans = runs.select("out", (upto - F.col("n_frames")).alias("_from"), upto.alias("_to"))
+def split_runs(frames: DataFrame, runs: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
+    """Consecutive runs of each utterance to outputs. runs: (ord, out, n_frames); a range join on cumulated lengths.
+
+    Runs are listed under each block of frames that they touch, so that frames meet them by an equi-join on the block.
+    """
+    spans = total_before(runs, "ord", "n_frames", "_from").select("out", "_from", (F.col("_from") + F.col("n_frames")).alias("_to")).filter("_to > _from")
+    touched = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
     hit = (F.col("frame_idx") >= F.col("_from")) & (F.col("frame_idx") < F.col("_to"))
-    return frames.join(F.broadcast(spans), hit).select("utt_id", "out", (F.col("frame_idx") - F.col("_from")).alias("frame_idx"), "x")
+    placed = frames.withColumn("_block", F.floor(F.col("frame_idx") / block))
+    return placed.join(touched, "_block").filter(hit).select("utt_id", "out", (F.col("frame_idx") - F.col("_from")).alias("frame_idx"), "x")
 
 
 def first_n(frames: DataFrame, n: int) -> DataFrame:
@@ -75,10 +88,14 @@ def label_filter(frames: DataFrame, labels: DataFrame, ignore: Sequence) -> Data
 
 
 def vad_filter(frames: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Frames with decision 1; where decisions end early the last one holds. decisions: (utt_id, frame_idx, keep)."""
-    joined = frames.join(decisions, ["utt_id", "frame_idx"], "left")
+    """Frames with decision 1; where decisions end early the last one holds, more of them than frames are an error when the plan runs.
+
+    decisions: (utt_id, frame_idx, keep).
+    """
+    joined = frames.join(decisions, ["utt_id", "frame_idx"], "full")
+    there = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("more decisions than frames in "), F.col("utt_id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
     held = F.last("keep", ignorenulls=True).over(Window.partitionBy("utt_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("keep", held).filter("keep = 1").drop("keep")
+    return joined.filter(there).withColumn("keep", held).filter("keep = 1").drop("keep")
 
 
 def energy(x: Column) -> Column:

@@ -10,10 +10,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strideframe.errors import TrainingError
 from strideframe.functions import vectors as V
+from strideframe.operators.order import total_before
 
 LOG_FLOOR = math.log(1e-256)
 PLAIN_FLOOR, MLE_FLOOR = 1e-10, 1e-3
@@ -56,14 +58,18 @@ class Mixture:
             return np.log(self.weights) + dense
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scored(x)[1]
+
+    def scored(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors of the components and log score of each row, from one evaluation of the densities."""
         parts = self.log_parts(x)
         top = parts.max(1, keepdims=True)
-        return (top + np.log(np.exp(parts - top).sum(1, keepdims=True)))[:, 0]
+        p = np.exp(parts - top)
+        total = p.sum(1, keepdims=True)
+        return p / total, (top + np.log(total))[:, 0]
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
-        parts = self.log_parts(x)
-        p = np.exp(parts - parts.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return self.scored(x)[0]
 
     def draw(self, n: int, seed: int) -> np.ndarray:
         """n samples; the deviation is the square root of the variance."""
@@ -172,38 +178,77 @@ def gaussian(samples: DataFrame, diagonal: bool = True) -> Mixture:
     return Mixture(np.ones(1), m[None], c[None])
 
 
-def second_order(samples: DataFrame, *by: str) -> dict:
-    """n, sum of x and of x x^T, merged from one partial per Arrow batch; a dict per group where ``by`` is given."""
-    columns = [*by, "x"]
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column as one matrix, rows of equal width."""
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def vector_sums(samples: DataFrame, terms: Callable[[np.ndarray], np.ndarray], *by: str, label: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[tuple, np.ndarray]:
+    """Sums over all samples x of a group of what ``terms`` gives for some of its rows: one vector of fixed length per group.
+
+    Groups are told by the columns ``by``, or by the integers that ``label`` gives for a batch's rows (those below 0 are
+    left out). One pass: a task adds its batches up and gives one row per entry, which one small exchange sums.
+    """
+    fields = [samples.schema[c] for c in by] if label is None else [T.StructField("c", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("_i", T.IntegerType()), T.StructField("_v", T.DoubleType())])
+    names = [f.name for f in fields]
+
+    def flush(sums: dict) -> Iterator[pa.RecordBatch]:
+        for key, total in sums.items():
+            columns = [pa.repeat(pa.scalar(k, from_key.type), len(total)) for k, from_key in zip(key, keys_like, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=schema.names)
+
+    keys_like: list[pa.Array] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            groups = batch.groupby(list(by), sort=False) if by else [((), batch)]
-            rows = []
-            for key, part in groups:
-                x = np.stack(part["x"].to_numpy())
-                rows.append([*key, len(x), x.sum(0), np.ravel(x.T @ x)])
-            yield pd.DataFrame(rows, columns=[*by, "n", "s1", "s2"])
-
-    kinds = ", ".join(f"{b} {samples.schema[b].dataType.simpleString()}" for b in by)
-    parts = samples.select(*columns).mapInPandas(run, (kinds + ", " if by else "") + "n long, s1 array<double>, s2 array<double>")
-    out = {}
-    for row in _summed(parts, [*by], ["s1", "s2"]).collect():
-        d = len(row["s1"])
-        out[tuple(row[b] for b in by)] = {"n": row["n"], "s1": np.array(row["s1"]), "s2": np.array(row["s2"]).reshape(d, d)}
+            if not len(batch):
+                continue
+            x = matrix(batch.column("x"))
+            if label is not None:
+                groups = {(int(c),): np.flatnonzero(found == c) for found in [label(x)] for c in np.unique(found) if c >= 0}
+                keys_like[:] = [pa.array([], pa.int32())]
+            else:
+                keys_like[:] = [batch.column(c) for c in by]
+                rows: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(k.to_pylist() for k in keys_like), strict=True)) if by else ():
+                    rows.setdefault(key, []).append(i)
+                groups = rows or {(): slice(None)}
+            for key, mine in groups.items():
+                part = terms(x[mine])
+                sums[key] = sums[key] + part if key in sums else part
+            if len(sums) > 1024:
+                yield from flush(sums)
+                sums = {}
+        yield from flush(sums)
+
+    long = samples.select(*by, "x").mapInArrow(run, schema).groupBy(*names, "_i").agg(F.sum("_v").alias("_v"))
+    out: dict[tuple, dict[int, float]] = {}
+    for row in long.collect():
+        out.setdefault(tuple(row[: len(names)]), {})[row["_i"]] = row["_v"]
+    return {key: np.array([v for _, v in sorted(values.items())]) for key, values in out.items()}
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(0), np.ravel(x.T @ x)])
+
+
+def _unpacked(v: np.ndarray) -> dict:
+    d = round((math.sqrt(4 * len(v) - 3) - 1) / 2)  # 1 + d + d^2 entries
+    return {"n": int(v[0]), "s1": v[1 : 1 + d], "s2": v[1 + d :].reshape(d, d)}
+
+
+def second_order(samples: DataFrame, *by: str) -> dict:
+    """n, sum of x and of x x^T in one pass; a dict per group where ``by`` is given."""
+    out = {key: _unpacked(v) for key, v in vector_sums(samples, _squares, *by).items()}
     if not out:
         raise TrainingError("no samples")
     return out if by else out[()]
 
 
-def _summed(parts: DataFrame, by: list[str], arrays: list[str], scalars: Sequence[str] = ("n",)) -> DataFrame:
-    """Elementwise sums of array columns per group: exploded with their place, so partial sums combine before the shuffle."""
-    total = parts.groupBy(*by).agg(*[F.sum(s).alias(s) for s in scalars])
-    for a in arrays:
-        long = parts.select(*by, F.posexplode(a).alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
-        packed = long.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(a))
-        total = total.join(packed, by) if by else total.crossJoin(packed)
-    return total
+def _second_order_by(samples: DataFrame, label: Callable[[np.ndarray], np.ndarray]) -> dict[int, dict]:
+    return {key[0]: _unpacked(v) for key, v in vector_sums(samples, _squares, label=label).items()}
 
 
 # ---- expectation maximisation
@@ -213,20 +258,17 @@ def accumulate(samples: DataFrame, model: Mixture) -> dict:
     """Zeroth, first and second moments weighted by the posteriors, with the summed log score: one row to the driver."""
     k, d = model.means.shape
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                g = model.posteriors(x)
-                s2 = g.T @ (x * x) if model.diagonal else np.einsum("nk,ni,nj->kij", g, x, x)
-                yield pd.DataFrame([[len(x), float(model.score(x).sum()), g.sum(0), np.ravel(g.T @ x), np.ravel(s2)]], columns=["n", "llh", "occ", "s1", "s2"])
+    def terms(x: np.ndarray) -> np.ndarray:
+        g, score = model.scored(x)
+        s2 = g.T @ (x * x) if model.diagonal else np.einsum("nk,ni,nj->kij", g, x, x, optimize=True)
+        return np.concatenate([[len(x), score.sum()], g.sum(0), np.ravel(g.T @ x), np.ravel(s2)])
 
-    parts = samples.select("x").mapInPandas(run, "n long, llh double, occ array<double>, s1 array<double>, s2 array<double>")
-    row = _summed(parts, [], ["occ", "s1", "s2"], ("n", "llh")).first()
-    if row is None or not row["n"]:
+    found = vector_sums(samples, terms)
+    if not found:
         raise TrainingError("no samples")
+    v = found[()]
     shape = (k, d) if model.diagonal else (k, d, d)
-    return {"n": row["n"], "llh": row["llh"], "occ": np.array(row["occ"]), "s1": np.array(row["s1"]).reshape(k, d), "s2": np.array(row["s2"]).reshape(shape)}
+    return {"n": int(v[0]), "llh": float(v[1]), "occ": v[2 : 2 + k], "s1": v[2 + k : 2 + k + k * d].reshape(k, d), "s2": v[2 + k + k * d :].reshape(shape)}
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -301,10 +343,9 @@ def partitioned_init(samples: DataFrame, n: int, method: str = "sequential", see
 
 
 def _numbered(samples: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A global number in the order of utterances, from prefix sums of their lengths (few rows), not one global sort."""
+    """A global number in the order of utterances, from prefix sums of their lengths, not one global sort."""
     first, *rest = order
-    lengths = samples.groupBy(first).agg(F.count("*").alias("n"))
-    starts = lengths.select(first, F.coalesce(F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    starts = total_before(samples.groupBy(first).agg(F.count("*").alias("n")), first, "n", "_s").select(first, "_s")
     inside = F.row_number().over(Window.partitionBy(first).orderBy(*(rest or [first]))) - 1
     return samples.join(starts, first).withColumn("_i", F.col("_s") + inside)
 
@@ -329,22 +370,9 @@ def _closest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
 
 
 def _cluster_sums(samples: DataFrame, label: Callable[[np.ndarray], np.ndarray], d: int) -> dict[int, dict]:
-    """n, the sum of x and of its squares by label: one partial per partition and label, merged by one small exchange."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                c = label(x)
-                for k in np.unique(c):
-                    mine = x[c == k]
-                    n, s1, s2 = sums.get(k, (0, 0.0, 0.0))
-                    sums[k] = (n + len(mine), s1 + mine.sum(0), s2 + (mine * mine).sum(0))
-        yield pd.DataFrame([[int(k), n, np.concatenate([s1, s2])] for k, (n, s1, s2) in sums.items()], columns=["c", "n", "s"])
-
-    parts = samples.select("x").mapInPandas(run, "c int, n long, s array<double>")
-    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(2 * d)]).alias("s")).collect()
-    return {r["c"]: {"n": r["n"], "s1": np.array(r["s"][:d]), "s2": np.array(r["s"][d:])} for r in rows}
+    """n, the sum of x and of its squares by label, in one pass."""
+    found = vector_sums(samples, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), label=label)
+    return {key[0]: {"n": int(v[0]), "s1": v[1 : 1 + d], "s2": v[1 + d :]} for key, v in found.items()}
 
 
 def kmeans(samples: DataFrame, start: Mixture, most: int = 100, eps: float = 1e-5) -> Mixture:
@@ -434,17 +462,14 @@ def hierarchical(samples: DataFrame, most: int, ranking: str = "EV", least: int
     def stats_now() -> dict[int, dict]:
         rules = list(tree)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["x"].to_numpy())
-                    node = np.zeros(len(x), np.int32)
-                    for parent, point, axis, left, right in rules:
-                        mine = node == parent
-                        node[mine] = np.where((x[mine] - point) @ axis <= 0, left, right)
-                    yield pd.DataFrame({"c": node, "x": batch["x"]})
+        def label(x: np.ndarray) -> np.ndarray:
+            node = np.zeros(len(x), np.int32)
+            for parent, point, axis, left, right in rules:
+                mine = node == parent
+                node[mine] = np.where((x[mine] - point) @ axis <= 0, left, right)
+            return node
 
-        return {k[0]: v for k, v in second_order(samples.select("x").mapInPandas(run, "c int, x array<double>"), "c").items()}
+        return _second_order_by(samples, label)
 
     now, normality = stats_now(), {}
     while len(leaves) < most:
@@ -532,13 +557,8 @@ def gmeans(samples: DataFrame, alpha: float, most: int) -> Mixture:
     while len(model.weights) < most:
         means = model.means
 
-        def assign(batches: Iterator[pd.DataFrame], means=means) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield pd.DataFrame({"c": _closest(np.stack(batch["x"].to_numpy()), means).astype(np.int32), "x": batch["x"]})
-
-        stats = second_order(samples.select("x").mapInPandas(assign, "c int, x array<double>"), "c")
-        pairs = _two_means(samples, means, {c: _split_start(s) for (c,), s in stats.items()})
+        stats = _second_order_by(samples, lambda x, means=means: _closest(x, means))
+        pairs = _two_means(samples, means, {c: _split_start(s) for c, s in stats.items()})
         centres: list[np.ndarray] = []
         for c in range(len(means)):
             split = c in pairs and len(centres) + 2 + len(means) - c - 1 <= most

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strideframe.operators.order import total_before
 from strideframe.errors import OutOfVocabularyError
 
 OOV = 0.001
@@ -93,6 +94,17 @@ def bigram(pairs: DataFrame, ngrams: DataFrame) -> DataFrame:
     return rows.select("w1", "w2", F.coalesce("p2", F.coalesce("backoff", F.lit(1.0)) * F.coalesce("p1", F.lit(OOV))).alias("p"))
 
 
+def sorted_lexicon(lexicon: DataFrame) -> DataFrame:
+    """(place, word, tokens) in the order of words, which are distinct."""
+    return total_before(lexicon.select("word", "tokens"), "word", F.lit(1), "place").select(F.col("place").cast("long").alias("place"), "word", "tokens")
+
+
+def next_words(lexicon: DataFrame) -> DataFrame:
+    """(word, next): each word with the one behind it in the sorted lexicon, null for the last."""
+    rows = sorted_lexicon(lexicon).select("place", "word")
+    return rows.join(rows.select((F.col("place") - 1).alias("place"), F.col("word").alias("next")), "place", "left").select("word", "next")
+
+
 def estimate_ngrams(turns: DataFrame) -> DataFrame:
     """(n, words, p, backoff) of orders 1 and 2 by counts, with absolute discounting of half a count for bigrams."""
     words = F.col("words")
@@ -125,8 +137,8 @@ def lexical_tree(lexicon: DataFrame, probabilities: DataFrame) -> DataFrame:
     top = (F.size("path") == 0) & F.col("word").isNull()
     # Numbers from prefix sums over the groups of the first three tokens, which follow each other in this order.
     rows = rows.select("path", "word", F.when(top, F.lit(0.0)).otherwise(share).alias("f"), F.slice("path", 1, 3).alias("_g"))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    starts = rows.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_name", F.array_join("_g", "\x00"))
+    starts = total_before(starts, "_name", "_n", "_s").select("_g", "_s")
     inside = F.row_number().over(Window.partitionBy("_g").orderBy("path", F.col("word").isNotNull(), "word")) - 1
     token = F.when(F.col("word").isNull() & (F.size("path") > 0), F.element_at("path", -1))
     return rows.withColumn("_r", inside).join(starts, "_g").select((F.col("_s") + F.col("_r")).cast("int").alias("i"), token.alias("token"), "word", "f")

@@ -193,6 +193,20 @@ def linear_acf(window: Sequence[float] | None = None) -> Kernel:
     return run
 
 
+def display_autocorrelation(least: int = 512) -> Kernel:
+    """First half of the inverse transform of the zero-padded power spectrum, over its first value."""
+    def run(x: np.ndarray) -> np.ndarray:
+        n = fft_size(x.shape[1], least)
+        r = np.fft.irfft(np.abs(np.fft.rfft(x, n, axis=1)) ** 2, n, axis=1)[:, : n // 2]
+        return r / np.where(r[:, :1] == 0, 1.0, r[:, :1])
+    return run
+
+
+def frequency_resolution(rate: int, block: int) -> float:
+    """Hz between two bins of a transform of so many samples."""
+    return rate / block
+
+
 def f0_candidates(rate: int, n: int = 1, low: float = 50.0, high: float = 600.0) -> Kernel:
     """From an autocorrelation: the n strongest local maxima between the lags, in Hz, ascending by strength; 0 where absent."""
     def run(r: np.ndarray) -> np.ndarray:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.operators import context as cx, frames as fr
-from strideframe.plans import common, frame_queries, model_queries, signal_queries, stat_queries, stream_queries, text_queries
+from strideframe.plans import common, frame_queries, io_queries, model_queries, signal_queries, stat_queries, stream_queries, text_queries
 
-MODULES = (frame_queries, stat_queries, model_queries, signal_queries, text_queries, stream_queries)
+MODULES = (frame_queries, stat_queries, model_queries, signal_queries, text_queries, stream_queries, io_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

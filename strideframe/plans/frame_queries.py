@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from strideframe.functions import vectors as V, weights as W
-from strideframe.operators import context as cx, frames as fr
+from strideframe.operators import context as cx, features as ft, frames as fr, gaussians as gm, levels as lv
 from strideframe.plans.common import E_SQL, L_SQL, V_SQL, events, lines, vectors
 
 Q, SQL = {}, {}
@@ -330,10 +330,76 @@ def interpolate_means(spark, d):
     return rows.withColumn("v", _r(F.col("v")))
 
 
-@query()
+@query("""WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, regexp_split_to_array(lower(text), '\\s+') AS w FROM conversations),
+p AS (SELECT r, i - 1 AS start, j - i + 1 AS length FROM t, LATERAL unnest(generate_series(1, len(w))) AS a(i), LATERAL unnest(generate_series(i + 2, len(w))) AS b(j) WHERE w[i] = w[j] AND list_slice(w, i, j) = list_reverse(list_slice(w, i, j))),
+m AS (SELECT r, first(start ORDER BY length DESC, start) AS start, max(length) AS length FROM p GROUP BY r)
+SELECT conv_id, turn, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length FROM t LEFT JOIN m USING (r)""")
 def palindromes(spark, d):
     from strideframe.session import table
 
     words = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), r"\s+").alias("w"))
     found = words.select("conv_id", "turn", F.get(V.palindromes(F.col("w"), 3), F.lit(0)).alias("p"))
     return found.select("conv_id", "turn", "p.start", "p.length")
+
+
+_PEAKS = f"""p AS (SELECT utt_id, frame_idx, list_max(list_transform(x, lambda q: abs(q))) * 3 AS peak FROM vv), s AS (SELECT utt_id, frame_idx, CASE WHEN x[1] > 0.05 THEN 1 ELSE 0 END AS speech, x[1] * x[1] AS e FROM vv),
+l AS (SELECT utt_id, 10 * log10(avg(e) FILTER (speech = 1)) - 10 * log10(exp(avg(ln(e + 0.000001::DOUBLE)) FILTER (speech = 0))) AS snr FROM s GROUP BY utt_id),
+g AS (SELECT utt_id, count(*) * 0.25::DOUBLE AS duration, max(frame_idx) AS last, min(frame_idx) FILTER (speech = 1 AND frame_idx >= 4) AS a, max(frame_idx) FILTER (speech = 1 AND frame_idx >= 4) AS b, max(frame_idx) FILTER (peak > 0.999 AND frame_idx >= 4) AS z
+  FROM s JOIN p USING (utt_id, frame_idx) GROUP BY utt_id), h AS (SELECT g.*, coalesce(snr, 0) AS snr, a IS NOT NULL AND coalesce(snr, 0) >= 3 AS has FROM g LEFT JOIN l USING (utt_id))"""
+
+
+@query(f"""WITH {V_SQL}, {_PEAKS} SELECT utt_id, duration, round(snr, 5) + 0.0 AS snr, has AS has_speech, CASE WHEN has THEN (least(a, last) - 4) * 0.25::DOUBLE ELSE duration END AS initial_silence,
+CASE WHEN has THEN (last - b) * 0.25::DOUBLE ELSE duration END AS terminal_silence, z IS NOT NULL AS saturated, coalesce(z * 0.25::DOUBLE, -1) AS last_saturation FROM h""")
+def speech_report(spark, d):
+    v = vectors(spark, d)
+    first = F.col("x")[0]
+    segments = v.select("utt_id", "frame_idx", (first > 0.05).cast("int").alias("speech"), (first * first).alias("energy"))
+    rows = segments.join(lv.peaks(v.withColumn("x", F.transform("x", lambda q: q * 3))), ["utt_id", "frame_idx"])
+    report = lv.speech_report(rows, cx.speech_levels(segments), 0.25, 3.0, 1.0)
+    return report.withColumn("snr", _r(F.col("snr"), 5))
+
+
+@query(f"WITH {E_SQL} SELECT utt_id, frame_idx, round(v - avg(v) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS v FROM e")
+def running_dc(spark, d):
+    return lv.running_mean_removed(events(spark, d)).select("utt_id", "frame_idx", _r(F.col("x")[0], 5).alias("v"))
+
+
+def _threshold_sql(steps: int) -> str:
+    """Two Gaussians on either side of the mean, so many EM steps, then the first of 10000 points that the second one wins."""
+    out = f"WITH {E_SQL}, g0 AS (SELECT CASE WHEN v <= (SELECT avg(v) FROM e) THEN 0 ELSE 1 END AS k, count(*) / (SELECT count(*) FROM e) AS w, avg(v) AS mu, greatest(avg(v * v) - avg(v) * avg(v), 1e-10) AS var FROM e GROUP BY 1)"
+    lp = "ln(w) + greatest(-0.5::DOUBLE * (ln(var) + ln(2 * pi()) + ({x} - mu) * ({x} - mu) / var), ln(1e-256))"
+    for i in range(steps):
+        out += f""", p{i} AS (SELECT i, v, k, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY i) AS p FROM (SELECT *, max(lp) OVER (PARTITION BY i) AS mx FROM (SELECT i, v, k, {lp.format(x="v")} AS lp FROM (SELECT row_number() OVER () AS i, v FROM e) a, g{i}))),
+g{i + 1} AS MATERIALIZED (SELECT k, sum(p) / sum(sum(p)) OVER () AS w, sum(p * v) / sum(p) AS mu, greatest(sum(p * v * v) / sum(p) - power(sum(p * v) / sum(p), 2), 0.001::DOUBLE) AS var FROM p{i} GROUP BY k)"""
+    return out + f""", b AS (SELECT (SELECT mu FROM g{steps} WHERE k = 0) AS a, (SELECT mu FROM g{steps} WHERE k = 1) AS z), x AS (SELECT i, a + i * ((z - a) / 10000) AS x FROM b, (SELECT unnest(generate_series(0, 9999)) AS i)),
+o AS (SELECT i, x, max({lp.format(x="x")}) FILTER (k = 1) > max({lp.format(x="x")}) FILTER (k = 0) AS over FROM x, g{steps} GROUP BY i, x)
+SELECT 'EM{steps}' AS strategy, round(coalesce((SELECT x FROM o WHERE over ORDER BY i LIMIT 1), (SELECT z FROM b)), 4) AS threshold"""
+
+
+_MEAN_SQL = "SELECT 'MEAN' AS strategy, round(avg(value), 4) AS threshold FROM events"
+_CLUSTER_SQL = _threshold_sql(0).replace("'EM0'", "'CLUSTER'")
+
+
+def _threshold(strategy: str, sql: str):
+    def run(spark, d):
+        rows = events(spark, d).persist()
+        found = lv.energy_threshold(rows, strategy)
+        rows.unpersist()
+        return spark.createDataFrame([(strategy, round(found, 4))], "strategy string, threshold double")
+    run.__name__ = f"energy_threshold_{strategy.lower()}"
+    query(sql)(run)
+
+
+_threshold("MEAN", _MEAN_SQL)
+_threshold("CLUSTER", _CLUSTER_SQL)
+_threshold("EM1", _threshold_sql(1))
+_threshold("EM5", _threshold_sql(5))
+
+
+@query(f"""WITH {E_SQL}, r AS (SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY v, frame_idx) AS r, count(*) OVER (PARTITION BY utt_id) AS n, frame_idx FROM e)
+SELECT utt_id, frame_idx, CAST(0 AS INTEGER) AS dim, round(least(r, n - 1) / n, 5) AS q FROM r WHERE n > 1""")
+def gaussianize_values(spark, d):
+    """The normal values' places in the normal distribution are the ranks they come from."""
+    rows = ft.gaussianize(events(spark, d))
+    n = F.count("*").over(Window.partitionBy("utt_id"))
+    return rows.withColumn("n", n).filter("n > 1").select("utt_id", "frame_idx", "dim", F.round(gm.normal_cdf(F.col("v")), 5).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from strideframe.operators import frames as fr, gaussians as gm, hmm, transforms as tr
+from strideframe.operators import acoustic as ac, frames as fr, gaussians as gm, hmm, transforms as tr
 from strideframe.plans.common import E_SQL, L_SQL, V_SQL, events, lines, vectors
 
 Q, SQL = {}, {}
@@ -120,13 +120,14 @@ def _scored(spark, d):
     return gm.score_frames(_v3(spark, d), {"ubm": MODEL, "spk": OTHER})
 
 
-@query(f"""WITH {V_SQL}, {_SCORES} SELECT 'spk' AS model_id, utt_id, round((sum(score) FILTER (model_id = 'spk') - sum(score) FILTER (model_id = 'ubm')) / (count(*) / 2), 6) + 0.0 AS llr FROM s WHERE utt_id % 2 = 0 GROUP BY utt_id""")
+@query(f"""WITH {V_SQL}, {_SCORES} SELECT 'spk' AS model_id, utt_id, round((sum(score) FILTER (model_id = 'spk') - sum(score) FILTER (model_id = 'ubm')) / (count(*) / 2), 6) + 0.0 AS llr FROM s GROUP BY utt_id""")
 def llr_trials(spark, d):
-    trials = vectors(spark, d).select("utt_id").distinct().filter("utt_id % 2 = 0").withColumn("model_id", F.lit("spk"))
+    trials = vectors(spark, d).select("utt_id").distinct().withColumn("model_id", F.lit("spk"))
     return gm.llr_trials(trials, _scored(spark, d)).withColumn("llr", F.round("llr", 6) + F.lit(0.0))
 
 
-@query()
+@query(f"""WITH {V_SQL}, {_A}, {_parts("b", OTHER)}, t AS (SELECT a.vec_id, a.utt_id, a.lp AS u, b.lp AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY a.lp DESC, a.k) AS r FROM a JOIN b USING (vec_id, k))
+SELECT 'spk' AS model_id, utt_id, round(avg(d), 6) + 0.0 AS llr FROM (SELECT vec_id, utt_id, ln(sum(exp(s))) - ln(sum(exp(u))) AS d FROM t WHERE r <= 2 GROUP BY vec_id, utt_id) GROUP BY utt_id""")
 def llr_trials_fast(spark, d):
     trials = vectors(spark, d).select("utt_id").distinct().withColumn("model_id", F.lit("spk"))
     return gm.fast_llr(trials, _v3(spark, d), {"spk": OTHER}, MODEL, 2).withColumn("llr", F.round("llr", 6) + F.lit(0.0))
@@ -183,13 +184,42 @@ def anderson_darling_order(spark, d):
     return rows.select("vec_id", F.row_number().over(w.orderBy("v", "vec_id")).alias("i"), (F.round((F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w), 6) + F.lit(0.0)).alias("z"))
 
 
-@query()
+@query(f"""WITH {V_SQL}, z AS (SELECT dim, v, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z, count(*) OVER w AS n, row_number() OVER (PARTITION BY dim ORDER BY v) AS i FROM vl WINDOW w AS (PARTITION BY dim)),
+t AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM z),
+q AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) AS tail FROM t),
+f AS (SELECT *, greatest(least(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 1 - 1e-15), 1e-15) AS p FROM q)
+SELECT CAST(dim AS INTEGER) AS dim, n, round((-n - sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(1 - p)) / n) * (1 + 4 / n::DOUBLE - 25 / (n::DOUBLE * n)), 4) AS a2 FROM f GROUP BY dim, n""")
 def anderson_darling(spark, d):
     long = vectors(spark, d).select(F.posexplode("x").alias("dim", "v"))
     return gm.anderson_darling(long, "v", "dim").withColumn("a2", F.round("a2", 4))
 
 
-@query()
+# A start that deals vectors round to three components, then steps over all 64 dimensions.
+_START = f"""{V_SQL}, nu AS (SELECT vec_id, (row_number() OVER (ORDER BY utt_id, frame_idx) - 1) % 3 AS k FROM vv),
+g0 AS MATERIALIZED (SELECT k, dim, count(*) / sum(count(*)) OVER (PARTITION BY dim) AS w, avg(v) AS mu, greatest(avg(v * v) - avg(v) * avg(v), 1e-10) AS var FROM vl JOIN nu USING (vec_id) GROUP BY k, dim)"""
+
+
+def _em_sql(steps: int) -> str:
+    out = _START
+    for i in range(steps):
+        out += f""", l{i} AS (SELECT vec_id, k, ln(any_value(w)) + greatest(-0.5::DOUBLE * (sum(ln(var)) + 64 * ln(2 * pi()) + sum((v - mu) * (v - mu) / var)), ln(1e-256)) AS lp FROM vl JOIN g{i} USING (dim) GROUP BY vec_id, k),
+r{i} AS MATERIALIZED (SELECT vec_id, k, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY vec_id) AS p FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS mx FROM l{i})),
+g{i + 1} AS MATERIALIZED (SELECT k, dim, sum(p) / sum(sum(p)) OVER (PARTITION BY dim) AS w, sum(p * v) / sum(p) AS mu, greatest(sum(p * v * v) / sum(p) - power(sum(p * v) / sum(p), 2), 0.001::DOUBLE) AS var FROM vl JOIN r{i} USING (vec_id) GROUP BY k, dim)"""
+    return out
+
+
+def _kmeans_sql(steps: int) -> str:
+    out = _START
+    for i in range(steps):
+        out += f""", c{i} AS MATERIALIZED (SELECT vec_id, arg_min(k, s) AS k FROM (SELECT vec_id, k, sum((v - mu) * (v - mu)) AS s FROM vl JOIN g{i} USING (dim) GROUP BY vec_id, k) GROUP BY vec_id),
+g{i + 1} AS MATERIALIZED (SELECT k, dim, count(*) / sum(count(*)) OVER (PARTITION BY dim) AS w, avg(v) AS mu, greatest(avg(v * v) - avg(v) * avg(v), 1e-10) AS var FROM vl JOIN c{i} USING (vec_id) GROUP BY k, dim)"""
+    return out
+
+
+_ROWS = "SELECT CAST(k AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim, round(w, 6) AS w, round(mu, 6) + 0.0 AS mu, round(var, 6) AS var FROM g"
+
+
+@query(f"WITH {_em_sql(3)} {_ROWS}3")
 def em(spark, d):
     x = vectors(spark, d).persist()
     model, _ = gm.em(x, gm.partitioned_init(x, 3, "uniform"), 3)
@@ -207,7 +237,7 @@ def em_full(spark, d):
     return spark.createDataFrame([(c, i, j, round(float(model.covs[c, i, j]), 6)) for c in range(k) for i in range(n) for j in range(n)], "k int, i int, j int, cov double")
 
 
-@query()
+@query(f"WITH {_kmeans_sql(10)} {_ROWS}10")
 def kmeans(spark, d):
     x = vectors(spark, d).persist()
     model = gm.kmeans(x, gm.partitioned_init(x, 3, "uniform"), 10)
@@ -239,7 +269,20 @@ def gmeans(spark, d):
     return _model_rows(spark, model)
 
 
-@query()
+# The numerator of a model sums its own segments, the denominator all of them by the softmax of twice their mean scores.
+@query(f"""WITH {V_SQL}, {_A}, {_parts("b", OTHER)}, m AS (SELECT 'ubm' AS id, * FROM a UNION ALL SELECT 'spk', * FROM b),
+pm AS (SELECT 'ubm' AS id, * FROM pa UNION ALL SELECT 'spk', * FROM pb),
+q AS MATERIALIZED (SELECT id, vec_id, utt_id, k, exp(lp - mx) / sum(exp(lp - mx)) OVER w AS p, CASE WHEN k = 0 THEN mx + ln(sum(exp(lp - mx)) OVER w) END AS score
+  FROM (SELECT *, max(lp) OVER (PARTITION BY id, vec_id) AS mx FROM m) WINDOW w AS (PARTITION BY id, vec_id)),
+sc AS (SELECT id, utt_id, 2 * avg(score) AS s FROM q GROUP BY id, utt_id),
+po AS (SELECT id, utt_id, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY utt_id) AS z FROM (SELECT *, max(s) OVER (PARTITION BY utt_id) AS mx FROM sc)),
+st AS (SELECT id, k, dim, sum(CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END) AS n, sum(z * p) AS d,
+  sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v) AS s1, sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v * v) AS s2
+  FROM q JOIN po USING (id, utt_id) JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY id, k, dim),
+tr AS (SELECT st.*, w, mu, var, i, greatest(d, 1e-6) * power(1.1::DOUBLE, i) AS big FROM st JOIN pm USING (id, k, dim), (SELECT unnest(generate_series(0, 99)) AS i)),
+ok AS (SELECT id, k, min(i) AS i FROM (SELECT id, k, i FROM tr GROUP BY id, k, i HAVING bool_and(n - d + big > 0 AND (s2 + big * (var + mu * mu)) / (n - d + big) - power((s1 + big * mu) / (n - d + big), 2) > 0)) GROUP BY id, k)
+SELECT id AS model_id, CAST(k AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim, round(w, 6) AS w, round((s1 + 2 * big * mu) / (n - d + 2 * big), 6) + 0.0 AS mu,
+  round((s2 + 2 * big * (var + mu * mu)) / (n - d + 2 * big) - power((s1 + 2 * big * mu) / (n - d + 2 * big), 2), 6) AS var FROM tr JOIN ok USING (id, k, i)""")
 def mmie_step(spark, d):
     """One update of both models by all segments; segments of even labels belong to the first, of odd ones to the other."""
     models = {"ubm": MODEL, "spk": OTHER}
@@ -249,10 +292,15 @@ def mmie_step(spark, d):
     return rows[0].union(rows[1])
 
 
-@query()
+# The axes and values multiply out to the covariance, and the axes are orthonormal.
+@query(f"""WITH {V_SQL}, q AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.v, b.v) AS v FROM vl a JOIN vl b USING (vec_id) GROUP BY a.dim, b.dim)
+SELECT 'covariance' AS part, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 6) + 0.0 AS v FROM q UNION ALL SELECT 'axes', CAST(i AS INTEGER), CAST(j AS INTEGER), CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM q""")
 def pca(spark, d):
-    p = tr.pca(lines(spark, d))
-    return tr.axes_frame(spark, p).withColumn("v", F.round("v", 4) + F.lit(0.0))
+    p = tr.pca(vectors(spark, d))
+    whole, gram = (p.axes.T * p.values) @ p.axes, p.axes @ p.axes.T
+    n = len(gram)
+    rows = [(part, i, j, round(float(m[i, j]), 6) + 0.0) for part, m in (("covariance", whole), ("axes", gram)) for i in range(n) for j in range(n)]
+    return spark.createDataFrame(rows, "part string, i int, j int, v double")
 
 
 @query()
@@ -321,18 +369,63 @@ def _hmm():
     return hmm.Hmm(np.array([0.8, 0.1, 0.1]), np.array([[0.6, 0.3, 0.1], [0.2, 0.6, 0.2], [0.1, 0.2, 0.7]]), symbols=b)
 
 
-@query()
+_D_SQL = f"{E_SQL}, x AS (SELECT utt_id, frame_idx AS t, CASE event_type WHEN 'error' THEN 1 WHEN 'login' THEN 2 WHEN 'purchase' THEN 3 WHEN 'view' THEN 4 ELSE 0 END AS o, count(*) OVER (PARTITION BY utt_id) AS n FROM e)"
+
+
+def _model_sql(pi, a, b) -> str:
+    """Tables of logarithms, without what is impossible: hp (state, start), ha (from, to), hb (state, symbol)."""
+    number = lambda v: f"ln({float(v)!r}::DOUBLE)"
+    start = ", ".join(f"({j}, {number(v)})" for j, v in enumerate(pi) if v > 0)
+    moves = ", ".join(f"({i}, {j}, {number(v)})" for i, row in enumerate(a) for j, v in enumerate(row) if v > 0)
+    emit = ", ".join(f"({j}, {o}, {number(v)})" for j, row in enumerate(b) for o, v in enumerate(row))
+    return f"hp(j, lp) AS (VALUES {start}), ha(i, j, la) AS (VALUES {moves}), hb(j, o, lb) AS (VALUES {emit})"
+
+
+# Best scores forwards with the state before (the lowest of equals), then the path backwards from its end.
+_FORWARD = """vf(utt_id, t, j, s, back) AS (SELECT utt_id, t, j, lp + lb, -1 FROM x JOIN hb USING (o) JOIN hp USING (j) WHERE t = 0
+  UNION ALL SELECT x.utt_id, x.t, hb.j, m.s + hb.lb, m.back FROM (SELECT utt_id, t + 1 AS t, ha.j, max(s + la) AS s, first(vf.j ORDER BY s + la DESC, vf.j) AS back FROM vf JOIN ha ON ha.i = vf.j GROUP BY utt_id, t, ha.j) m
+  JOIN x ON x.utt_id = m.utt_id AND x.t = m.t JOIN hb ON hb.j = m.j AND hb.o = x.o)"""
+
+
+def _path_sql(end: str) -> str:
+    return f"""ve AS (SELECT vf.utt_id, vf.t, first(j ORDER BY s DESC, j) AS j, max(s) AS score FROM vf JOIN x USING (utt_id, t) WHERE t = n - 1 {end} GROUP BY vf.utt_id, vf.t),
+vb(utt_id, t, j, score) AS (SELECT * FROM ve UNION ALL SELECT vb.utt_id, vb.t - 1, vf.back, vb.score FROM vb JOIN vf USING (utt_id, t, j) WHERE vb.t > 0)"""
+
+
+_ALIGNED = "SELECT utt_id, t AS frame_idx, CAST(j AS INTEGER) AS state, round(score, 4) AS score FROM vb"
+
+
+@query(f"WITH RECURSIVE {_D_SQL}, {_model_sql(_hmm().pi, _hmm().a, _hmm().symbols)}, {_FORWARD}, {_path_sql('')} {_ALIGNED}")
 def viterbi_decode(spark, d):
     return hmm.align(_discrete(spark, d), _hmm()).withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(f"WITH RECURSIVE {_D_SQL}, {_model_sql([1, 0, 0], hmm.topology(3, 'LINEAR'), _hmm().symbols)}, {_FORWARD}, {_path_sql('AND j = 2 AND n >= 3')} {_ALIGNED}")
 def viterbi_forced(spark, d):
     m = _hmm()
     return hmm.align(_discrete(spark, d), hmm.Hmm(np.array([1.0, 0, 0]), hmm.topology(3, "LINEAR"), symbols=m.symbols), forced=True).withColumn("score", F.round("score", 4))
 
 
-@query()
+def _baum_welch_sql(m, steps: int) -> str:
+    """Scaled forward sums; the states' probabilities backwards from them; their sums over their rows' sums."""
+    start = ", ".join(f"({j}, {float(v)!r}::DOUBLE)" for j, v in enumerate(m.pi))
+    moves = ", ".join(f"({i}, {j}, {float(v)!r}::DOUBLE)" for i, row in enumerate(m.a) for j, v in enumerate(row))
+    emit = ", ".join(f"({j}, {o}, {float(v)!r}::DOUBLE)" for j, row in enumerate(m.symbols) for o, v in enumerate(row))
+    out = f"WITH RECURSIVE {_D_SQL}, p0(j, p) AS (VALUES {start}), a0(i, j, a) AS (VALUES {moves}), b0(j, o, b) AS (VALUES {emit})"
+    for k in range(steps):
+        out += f""", f{k}(utt_id, t, j, al) AS (SELECT utt_id, t, j, p * b / sum(p * b) OVER (PARTITION BY utt_id) FROM x JOIN b{k} USING (o) JOIN p{k} USING (j) WHERE t = 0
+  UNION ALL SELECT utt_id, t, j, v / sum(v) OVER (PARTITION BY utt_id) FROM (SELECT x.utt_id, x.t, a{k}.j, sum(al * a) * any_value(b) AS v FROM f{k} JOIN a{k} ON a{k}.i = f{k}.j JOIN x ON x.utt_id = f{k}.utt_id AND x.t = f{k}.t + 1 JOIN b{k} ON b{k}.j = a{k}.j AND b{k}.o = x.o GROUP BY x.utt_id, x.t, a{k}.j)),
+m{k} AS MATERIALIZED (SELECT utt_id, t, i, a{k}.j, al * a / sum(al * a) OVER (PARTITION BY utt_id, t, a{k}.j) AS q FROM f{k} JOIN a{k} ON a{k}.i = f{k}.j),
+g{k}(utt_id, t, j, g) AS (SELECT utt_id, t, j, al FROM f{k} JOIN x USING (utt_id, t) WHERE t = n - 1
+  UNION ALL SELECT m.utt_id, m.t, m.i, sum(g * q) FROM g{k} JOIN m{k} m ON m.utt_id = g{k}.utt_id AND m.t = g{k}.t - 1 AND m.j = g{k}.j GROUP BY m.utt_id, m.t, m.i),
+w{k} AS MATERIALIZED (SELECT * FROM g{k}),
+a{k + 1} AS MATERIALIZED (SELECT i, j, sum(v) / sum(sum(v)) OVER (PARTITION BY i) AS a FROM (SELECT m.i, m.j, w.g * q AS v FROM w{k} w JOIN m{k} m ON m.utt_id = w.utt_id AND m.t = w.t - 1 AND m.j = w.j) GROUP BY i, j),
+p{k + 1} AS MATERIALIZED (SELECT j, sum(g) / sum(sum(g)) OVER () AS p FROM w{k} WHERE t = 0 GROUP BY j),
+b{k + 1} AS MATERIALIZED (SELECT j, o, sum(g) / sum(sum(g)) OVER (PARTITION BY j) AS b FROM w{k} JOIN x USING (utt_id, t) GROUP BY j, o)"""
+    return out + f" SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(a, 6) AS p FROM a{steps}"
+
+
+@query(_baum_welch_sql(_hmm(), 2))
 def baum_welch(spark, d):
     x = _discrete(spark, d).persist()
     model, _ = hmm.baum_welch(x, _hmm(), 2)
@@ -340,17 +433,79 @@ def baum_welch(spark, d):
     return spark.createDataFrame([(i, j, round(float(model.a[i, j]), 6)) for i in range(3) for j in range(3)], "i int, j int, p double")
 
 
-@query()
+def _words_sql() -> str:
+    """The forward pass once for all words: states are (word, state)."""
+    names = hmm.TOPOLOGIES
+    b = _hmm().symbols
+    a = np.zeros((12, 12))
+    for k, name in enumerate(names):
+        a[3 * k : 3 * k + 3, 3 * k : 3 * k + 3] = hmm.topology(3, name)
+    words = ", ".join(f"({3 * k + 2}, '{name}')" for k, name in enumerate(names))
+    return f"""WITH RECURSIVE {_D_SQL}, {_model_sql([1, 0, 0] * 4, a, np.vstack([b] * 4))}, {_FORWARD}, vw(j, word) AS (VALUES {words}),
+r AS (SELECT utt_id, word, s, row_number() OVER (PARTITION BY utt_id ORDER BY s DESC, word) AS rank FROM vf JOIN x USING (utt_id, t) JOIN vw USING (j) WHERE t = n - 1 AND n >= 3)
+SELECT utt_id, CAST(rank AS INTEGER) AS rank, word, round(s, 4) AS score FROM r WHERE rank <= 2"""
+
+
+@query(_words_sql())
 def isolated_word(spark, d):
     m = _hmm()
     words = {k: hmm.Hmm(np.array([1.0, 0, 0]), hmm.topology(3, k), symbols=m.symbols) for k in hmm.TOPOLOGIES}
     return hmm.isolated_words(_discrete(spark, d), words, 2).withColumn("score", F.round("score", 4))
 
 
-@query()
-def meta_alignment(spark, d):
+def _token_models():
     m = _hmm()
-    models = {t: hmm.Hmm(np.array([1.0, 0, 0]), hmm.topology(3, k), symbols=np.roll(m.symbols, i, axis=1)) for i, (t, k) in enumerate((("a", "LINEAR"), ("b", "BAKIS"), ("c", "LEFT_TO_RIGHT")))}
+    return {t: hmm.Hmm(np.array([1.0, 0, 0]), hmm.topology(3, k), symbols=np.roll(m.symbols, i, axis=1)) for i, (t, k) in enumerate((("a", "LINEAR"), ("b", "BAKIS"), ("c", "LEFT_TO_RIGHT")))}
+
+
+def _chain_sql() -> str:
+    """Five tokens of three states in a row; the last state of each but the last stays or goes on with 0.5."""
+    tokens, models = "abcab", _token_models()
+    a = np.zeros((15, 15))
+    for k, t in enumerate(tokens):
+        a[3 * k : 3 * k + 3, 3 * k : 3 * k + 3] = models[t].a
+        if k < 4:
+            a[3 * k + 2] = 0
+            a[3 * k + 2, 3 * k + 2 : 3 * k + 4] = 0.5
+    b = np.vstack([models[t].symbols for t in tokens])
+    return f"""WITH RECURSIVE {_D_SQL}, {_model_sql([1] + [0] * 14, a, b)}, {_FORWARD}, {_path_sql("AND j = 14 AND n >= 15")}
+SELECT utt_id, CAST(j // 3 AS INTEGER) AS seg_idx, substr('{tokens}', CAST(j // 3 AS INTEGER) + 1, 1) AS token, min(t) AS start_frame, CAST(count(*) AS INTEGER) AS n_frames,
+  string_agg(CAST(j % 3 AS VARCHAR), ',' ORDER BY t) AS q FROM vb GROUP BY utt_id, j // 3"""
+
+
+@query(_chain_sql())
+def meta_alignment(spark, d):
+    models = _token_models()
     frames = _discrete(spark, d)
     turns = frames.select("utt_id").distinct().withColumn("words", F.array(F.lit("ab"), F.lit("cab")))
-    return hmm.meta_align(frames, turns, {"ab": ["a", "b"], "cab": ["c", "a", "b"]}, models)
+    return hmm.meta_align(frames, turns, {"ab": ["a", "b"], "cab": ["c", "a", "b"]}, models).withColumn("q", F.array_join("q", ","))
+
+
+# Token models of two states with one Gaussian each; labels say "ab" or "ba" in turn, frames are dealt evenly.
+@query(f"""WITH {V_SQL}, n AS (SELECT vl.*, count(*) OVER (PARTITION BY utt_id, dim) AS n FROM vl),
+s AS (SELECT *, CASE WHEN frame_idx >= floor(3 * n / 4 + 0.5::DOUBLE) THEN 3 WHEN frame_idx >= floor(2 * n / 4 + 0.5::DOUBLE) THEN 2 WHEN frame_idx >= floor(n / 4 + 0.5::DOUBLE) THEN 1 ELSE 0 END AS q FROM n),
+p AS (SELECT *, CASE WHEN (q >= 2) <> (utt_id % 2 = 1) THEN 'b' ELSE 'a' END AS token, q % 2 AS state FROM s)
+SELECT token, CAST(state AS INTEGER) AS state, 0 AS k, CAST(dim AS INTEGER) AS dim, 1.0::DOUBLE AS w, round(avg(v), 6) + 0.0 AS mu, round(greatest(var_pop(v), 0.001::DOUBLE), 6) AS var FROM p GROUP BY token, state, dim""")
+def token_training(spark, d):
+    x = vectors(spark, d).persist()
+    words = F.array(F.when(F.col("utt_id") % 2 == 1, "ba").otherwise("ab"))
+    turns = x.select("utt_id").distinct().withColumn("words", words)
+    book, _ = ac.train(x, turns, {"ab": ["a", "b"], "ba": ["b", "a"]}, ac.continuous({"a": 2, "b": 2}, gm.gaussian(x)), "linear")
+    x.unpersist()
+    return ac.parameters(spark, book).withColumns({"mu": F.round("mu", 6) + F.lit(0.0), "var": F.round("var", 6)})
+
+
+# The same alignment over a shared mixture: weights of a state are the means of its frames' posteriors.
+@query(f"""WITH {V_SQL}, {_A}, {_POST}, n AS (SELECT vv.vec_id, vv.utt_id, vv.frame_idx, count(*) OVER (PARTITION BY vv.utt_id) AS n FROM vv),
+s AS (SELECT *, CASE WHEN frame_idx >= floor(3 * n / 4 + 0.5::DOUBLE) THEN 3 WHEN frame_idx >= floor(2 * n / 4 + 0.5::DOUBLE) THEN 2 WHEN frame_idx >= floor(n / 4 + 0.5::DOUBLE) THEN 1 ELSE 0 END AS q FROM n),
+t AS (SELECT vec_id, CASE WHEN (q >= 2) <> (utt_id % 2 = 1) THEN 'b' ELSE 'a' END AS token, q % 2 AS state FROM s),
+sh AS (SELECT k, dim, sum(p * v) / sum(p) AS mu, greatest(sum(p * v * v) / sum(p) - power(sum(p * v) / sum(p), 2), 0.001::DOUBLE) AS var FROM g JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY k, dim),
+w AS (SELECT token, state, k, sum(p) / sum(sum(p)) OVER (PARTITION BY token, state) AS w FROM g JOIN t USING (vec_id) GROUP BY token, state, k)
+SELECT token, CAST(state AS INTEGER) AS state, w.k, CAST(dim AS INTEGER) AS dim, round(w, 6) AS w, round(mu, 6) + 0.0 AS mu, round(var, 6) AS var FROM w JOIN sh USING (k)""")
+def shared_training(spark, d):
+    x = _v3(spark, d).persist()
+    words = F.array(F.when(F.col("utt_id") % 2 == 1, "ba").otherwise("ab"))
+    turns = x.select("utt_id").distinct().withColumn("words", words)
+    book, _ = ac.train(x, turns, {"ab": ["a", "b"], "ba": ["b", "a"]}, ac.semicontinuous({"a": 2, "b": 2}, MODEL), "linear")
+    x.unpersist()
+    return ac.parameters(spark, book).withColumns({"w": F.round("w", 6), "mu": F.round("mu", 6) + F.lit(0.0), "var": F.round("var", 6)})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None, ap
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is named (tests, one machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        current = spark.sparkContext.getCheckpointDir()
+        named = current or f"file://{tempfile.mkdtemp(prefix='strideframe-')}"
+        if not current:
+            spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

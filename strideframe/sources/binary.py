@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strideframe.errors import InvalidFormatError
+from strideframe.operators.order import total_before
 
 FRAMES = "utt_id string, frame_idx long, x array<double>"
 SAMPLES = "utt_id string, frame_idx long, c short, y short, x array<double>"
@@ -86,6 +88,14 @@ def decode_labels(data: bytes) -> np.ndarray:
     return np.where((raw >= 48) & (raw <= 57), raw - 48, raw).astype(int)
 
 
+def encode_labels(labels) -> bytes:
+    """One digit character per frame, as decode_labels reads them."""
+    values = np.asarray(labels, int)
+    if len(values) and (values.min() < 0 or values.max() > 9):
+        raise InvalidFormatError("labels are digits")
+    return (values + 48).astype(np.uint8).tobytes()
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(utt_id, frame_idx, label): per-frame byte labels or 0/1 decisions."""
     return _decoded(_files(spark, path), lambda b: {"label": decode_labels(b)}, "utt_id string, frame_idx long, label int")
@@ -123,15 +133,88 @@ def write_text_frames(frames: DataFrame, path: str, separator: str = " ") -> Non
     ordered.select("utt_id", line.alias("value")).write.partitionBy("utt_id").text(path)
 
 
-def to_files(frames: DataFrame, double: bool = False) -> DataFrame:
-    """(utt_id, content): each utterance as the bytes of a frame file, for any binary sink."""
-    kind = frames.schema["utt_id"].dataType.simpleString()
+def pack_files(rows: DataFrame, columns: str | list[str], encode: Callable[..., bytes], utt: str = "utt_id", order: str = "frame_idx") -> DataFrame:
+    """(utt_id, content): the bytes that encode makes of each utterance's columns, in order."""
+    kind = rows.schema[utt].dataType.simpleString()
+    columns = [columns] if isinstance(columns, str) else columns
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("frame_idx")["x"].to_numpy())
-        return pd.DataFrame({"utt_id": [key[0]], "content": [encode_frames(x, double)]})
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({"utt_id": [key[0]], "content": [encode(*(np.stack(pdf[c].to_numpy()) for c in columns))]})
+
+    return rows.select(utt, order, *columns).groupBy(utt).applyInPandas(run, f"utt_id {kind}, content binary")
+
+
+def to_files(frames: DataFrame, double: bool = False, header: bool = True) -> DataFrame:
+    """(utt_id, content): each utterance as the bytes of a frame file, for any binary sink."""
+    return pack_files(frames, "x", lambda x: encode_frames(x, double, header))
+
+
+def to_sample_files(samples: DataFrame) -> DataFrame:
+    """(utt_id, content): each utterance of (c, y, x) as the bytes of a labelled sample file."""
+    return pack_files(samples, ["c", "y", "x"], encode_samples)
+
+
+def encode_text_frames(x: np.ndarray, separator: str = " ", head: Sequence[str] = ()) -> bytes:
+    """Rows of numbers, behind comment lines."""
+    return "".join([*(f"@{h}\n" for h in head), *(separator.join(map(repr, map(float, row))) + "\n" for row in np.atleast_2d(x))]).encode()
+
+
+def write_files(files: DataFrame, path: str, suffix: str = "") -> None:
+    """Each (utt_id, content) as a file of the path, written by the executors through Arrow's file systems.
+
+    A file appears under its name only when it is whole, and a repeated task writes the same bytes again.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("utt_id"), batch.column("content"), strict=True):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content.as_py())
+                system.move(part, f"{root}/{name.as_py()}{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    files.select("utt_id", "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def tee(df: DataFrame, *sinks: Callable[[DataFrame], object]) -> DataFrame:
+    """Give df to each sink, computed once; df itself goes on."""
+    kept = df.persist()
+    for sink in sinks:
+        sink(kept)
+    return kept
+
+
+def by_list(rows: DataFrame, entries: DataFrame, utt: str = "utt_id") -> DataFrame:
+    """rows of the files that a list (pos, utt_id, ...) names, with the list's columns: each as often as it is named.
+
+    Names that no file has are skipped.
+    """
+    return rows.join(entries.withColumnRenamed("utt_id", utt), utt)
+
+
+def list_audio(audio: DataFrame, entries: DataFrame, block: int) -> DataFrame:
+    """(block_idx, samples): the files of a list (pos, utt_id) read one after another in blocks, the last of each file filled with zeros.
+
+    audio: (utt_id, samples). Blocks are numbered through the list by prefix sums of the files' numbers of blocks.
+    """
+    named = by_list(audio, entries).select("pos", "samples", F.ceil(F.size("samples") / block).alias("n")).filter("n > 0")
+    starts = total_before(named.select("pos", "n"), "pos", "n", "first").select("pos", "first")
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.slice("samples", (k * block + 1).cast("int"), F.lit(block)))
+    rows = named.select("pos", F.posexplode(cut).alias("k", "part")).join(starts, "pos")
+    zeros = F.array_repeat(F.lit(0.0), F.lit(block) - F.size("part"))
+    return rows.select((F.col("first") + F.col("k")).alias("block_idx"), F.concat("part", zeros).alias("samples"))
+
 
-    return frames.select("utt_id", "frame_idx", "x").groupBy("utt_id").applyInPandas(run, f"utt_id {kind}, content binary")
+def audio_from_array(spark: SparkSession, samples, rate: int, utt_id: str = "memory") -> DataFrame:
+    """(utt_id, sample_rate, samples) of samples in memory."""
+    return spark.createDataFrame([(utt_id, rate, [float(v) for v in samples])], "utt_id string, sample_rate int, samples array<double>")
 
 
 # ---- audio

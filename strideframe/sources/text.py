@@ -30,6 +30,13 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     return read_lexicon(spark, path).select(F.col("word").alias("utt_id"), F.col("tokens").alias("words"))
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, utt_id, words): the lines of one list file in order, a file's name and what is said in it, if anything."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    fields = F.split(F.trim("line"), r"\s+")
+    return rows.select("pos", fields[0].alias("utt_id"), F.slice(fields, F.lit(2), F.size(fields)).alias("words"))
+
+
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, utt_id): ``model file`` lines."""
     fields = F.split(F.trim("value"), r"\s+")
@@ -96,6 +103,46 @@ def read_arpa(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, "n int, words array<string>, p double, backoff double")
 
 
+def arpa_text(ngrams) -> str:
+    """The ARPA document of rows (n, words, p, backoff): log10 values; back-off weights where there are any."""
+    import math
+
+    rows = sorted((n, list(words), p, b) for n, words, p, b in ngrams)
+    orders = sorted({r[0] for r in rows})
+    lines = ["\\data\\", *(f"ngram {n}={sum(r[0] == n for r in rows)}" for n in orders), ""]
+    for n in orders:
+        lines.append(f"\\{n}-grams:")
+        for _, words, p, b in (r for r in rows if r[0] == n):
+            lines.append(" ".join([repr(math.log10(p)), *words, *([repr(math.log10(b))] if b is not None and b > 0 else [])]))
+        lines.append("")
+    return "\n".join([*lines, "\\end\\", ""])
+
+
+def annotation_xml(rows) -> str:
+    """An annotation document of utterances: dicts with role, segment_id, track, orthography, words, boundaries and subdivisions.
+
+    A word is (graphemes, accent, syllables (position, phonemes, stress), symbols); a boundary (word, type).
+    """
+    import xml.etree.ElementTree as ET
+
+    root = ET.Element("recordingSessionAnnotation", ANNOFORMAT="XML")
+    for nr, u in enumerate(rows):
+        segment = ET.SubElement(root, "textsegment", speaker=u["role"], NR=str(nr), ID=str(u["segment_id"]), TRACK=str(u["track"]), REV="0")
+        own = ET.SubElement(segment, "utterance")
+        ET.SubElement(own, "orthography").text = u["orthography"]
+        for index, kind in u.get("boundaries", ()):
+            ET.SubElement(own, "boundary", beforeWord=str(index), type=kind)
+        for index in u.get("subdivisions", ()):
+            ET.SubElement(own, "subdivision", firstWord=str(index))
+        for graphemes, accent, syllables, symbols in u.get("words", ()):
+            word = ET.SubElement(own, "word", graphemes=graphemes, phraseAccent=accent)
+            for position, n, stress in syllables:
+                ET.SubElement(word, "syllable", position=str(position), nPhonemes=str(n), stress=stress)
+            for s in symbols:
+                ET.SubElement(word, "phoneme", symbols=s)
+    return ET.tostring(root, encoding="unicode")
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """One row per utterance of annotation XML: role, track, segment id, text, words, boundaries, subdivisions."""
     raw = spark.read.format("xml").option("rowTag", "textsegment").schema(ANNOTATION).load(path)

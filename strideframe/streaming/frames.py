@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strideframe.session import scratch_path
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -48,8 +50,12 @@ def running_mvn(stream: DataFrame) -> DataFrame:
     return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, ts timestamp, v double", "n long, s1 double, s2 double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_framing(stream: DataFrame, length: int, step: int, weights: Sequence[float]) -> DataFrame:
-    """(utt_id, frame_idx, x): whole windows as soon as their samples are there; the rest stays in state."""
+def stream_framing(stream: DataFrame, length: int, step: int, weights: Sequence[float], last: str | None = None) -> DataFrame:
+    """(utt_id, frame_idx, x): whole windows as soon as their samples are there; the rest stays in state.
+
+    ``last`` names a boolean column that marks an utterance's last event: with it the frames that are left, filled with
+    zeros, follow and the state ends, as ``frames.framing`` with a padded tail does for finished utterances.
+    """
     w = np.asarray(weights, float)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,14 +66,42 @@ def stream_framing(stream: DataFrame, length: int, step: int, weights: Sequence[
         while at + length <= len(x):
             rows.append((key[0], k, (x[at : at + length] * w).tolist()))
             k, at = k + 1, at + step
-        state.update((k, x[at:].tolist()))
+        if last is not None and pdf[last].any():
+            if len(x) - at > 0 and (step < length or k == 0 or len(x) - at > length - step):
+                rows.append((key[0], k, (np.pad(x[at:], (0, length - (len(x) - at))) * w).tolist()))
+            state.remove()
+        else:
+            state.update((k, x[at:].tolist()))
         yield pd.DataFrame(rows, columns=["utt_id", "frame_idx", "x"])
 
     return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, frame_idx long, x array<double>", "k long, rest array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain what is there into a memory table: for smoke tests and batch parity."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def mark_last(stream: DataFrame, ends: DataFrame) -> DataFrame:
+    """stream with ``last``: whether the event is the one that a static table (utt_id, event_id) names as its utterance's last."""
+    known = ends.select("utt_id", F.col("event_id").alias("_last"))
+    return stream.join(known, "utt_id", "left").withColumn("last", F.coalesce(F.col("event_id") == F.col("_last"), F.lit(False))).drop("_last")
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """What a stream gives for all that is there, from Parquet in the shared folder: each batch is written under its number.
+
+    A batch that runs again after a failure overwrites its own files. In update mode the last row of each ``keys`` counts,
+    in complete mode the last batch.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))  # one row
+        rows = rows.join(F.broadcast(last), "batch")
+    elif mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row")).select("_row.*")
+    return rows.drop("batch").select(*stream.columns)
