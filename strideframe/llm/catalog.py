@@ -39,8 +39,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    log = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
-    made = chat.render(chat.reconstruct(log)).select("conv_id", "formatted", "loss_spans")
+    made = chat.render(chat.reconstruct(chat.to_events(rows))).select("conv_id", "formatted", "loss_spans")
     read = made.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said_again = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -59,14 +58,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica in which the first byte of some records has changed and others are gone, by a rule on the id."""
+    """Audits a replica in which, by a rule on the id, records have changed in place or grown, are gone, or were added.
+
+    An added record stands first in its file, so that all offsets behind it differ. Added ones are told by negative ids.
+    """
     records = warc.to_records(table(spark, sf_dir, "pages"))
+    rule = F.coalesce(F.col("page_id") % 50, F.lit(0))
+    damaged = F.when(rule == 7, F.overlay("record", F.lit("X"), 1)).when(rule == 9, F.concat("record", F.lit("zzz"))).otherwise(F.col("record"))
+    replica = records.filter(rule != 8).withColumn("record", damaged)
+    added = records.filter(rule == 11).select("file", (-1 - F.col("page_id")).alias("page_id"), "url", F.concat(F.lit("extra "), F.col("record")).alias("record"))
     places = warc.manifest(records)
-    damaged = F.when(F.col("page_id") % 50 == 7, F.overlay("record", F.lit("X"), 1)).otherwise(F.col("record"))
-    replica = warc.catalogued(records.filter("page_id IS NULL OR page_id % 50 <> 8").withColumn("record", damaged), places)
-    found = warc.audit(places, replica)
-    joined = places.join(found, ["file", "ord"], "left")
-    return joined.select("page_id", "file", "ord", "start", "stop", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
+    found = warc.audit(places, warc.manifest(replica.union(added)))
+    columns = ["page_id", "file", "ord", "start", "stop", "digest"]
+    judged = places.join(found.filter("ord IS NOT NULL").select("file", "ord", "status"), ["file", "ord"], "left")
+    extra = found.filter("status = 'extra'").select("page_id", "file", *[F.col(f"copy_{c}").alias(c) for c in columns[2:]], "status")
+    return judged.select(*columns, F.coalesce("status", F.lit("ok")).alias("status")).union(extra)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,10 +214,15 @@ WITH r AS (
          || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
          || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages),
+c AS (SELECT page_id, url, file, CASE page_id % 50 WHEN 7 THEN 'X' || substr(record, 2) WHEN 9 THEN record || 'zzz' ELSE record END AS record FROM r WHERE page_id % 50 <> 8
+      UNION ALL SELECT -1 - page_id, url, file, 'extra ' || record FROM r WHERE page_id % 50 = 11),
 m AS (SELECT page_id, file, row_number() OVER o - 1 AS ord, CAST(sum(strlen(record)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
-             strlen(record) AS n, sha256(record) AS digest FROM r WINDOW o AS (PARTITION BY file ORDER BY page_id, url))
+             strlen(record) AS n, sha256(record) AS digest FROM r WINDOW o AS (PARTITION BY file ORDER BY page_id, url)),
+cm AS (SELECT page_id, file, row_number() OVER o - 1 AS ord, CAST(sum(strlen(record)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+              strlen(record) AS n, sha256(record) AS digest FROM c WINDOW o AS (PARTITION BY file ORDER BY page_id, url))
 SELECT page_id, file, ord, stop - n AS start, stop, digest,
-       CASE page_id % 50 WHEN 7 THEN 'corrupt' WHEN 8 THEN 'missing' ELSE 'ok' END AS status FROM m
+       CASE page_id % 50 WHEN 7 THEN 'corrupt' WHEN 9 THEN 'corrupt' WHEN 8 THEN 'missing' ELSE 'ok' END AS status FROM m
+UNION ALL SELECT page_id, file, ord, stop - n, stop, digest, 'extra' FROM cm WHERE page_id < 0
 """
 
 

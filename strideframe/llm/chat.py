@@ -11,7 +11,8 @@ inside, and reading back is exact. The mask holds the spans of assistant texts,
 
 Defined results: null texts and roles are empty; an event whose turn has no message yet opens one; other kinds are
 ignored; equal seq are ordered by kind (message, regenerate, edit, delta), role and text, and repeated message rows are
-messages of their own. A null conv_id is a conversation like any other. Extra columns are not read.
+messages of their own. A null conv_id is a conversation like any other. Extra columns of an event log are not read,
+those of conversations are kept, but for former ones with the result's names. No events: no conversations.
 
 Scale: events meet by (conv_id, turn), so that a long conversation is spread over its turns, and only the folded
 messages meet by conv_id: one output row. Everything is a built-in expression.
@@ -19,9 +20,9 @@ messages meet by conv_id: one output row. Everything is a built-in expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strideframe.llm.common import let
+from strideframe.llm.common import fresh, let, running
 
 OPEN, CLOSE = "### ", "</turn>\n"
 # Fixed order of equal seq.
@@ -60,6 +61,27 @@ def _fold(events: Column) -> Column:
     )))
 
 
+def to_events(rows: DataFrame) -> DataFrame:
+    """An event log of finished messages (conv_id, turn, role, text), as a chat service would have written it.
+
+    What an assistant says was streamed in halves after a first attempt that was given up; all else was sent unfinished
+    and edited. Rows of one turn follow each other by role and text. Folding the log gives the messages back.
+    """
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    none = F.lit(None).cast("string")
+    event = lambda kind, role, said: F.struct(F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    streamed = F.array(
+        event("message", F.col("role"), none), event("delta", none, F.lit("Let me ")), event("delta", none, F.substring(text, F.lit(1), half)), event("regenerate", none, none),
+        event("delta", none, F.substring(text, F.lit(1), half)), event("delta", none, F.substring(text, half + 1, F.length(text))),
+    )
+    sent = F.array(event("message", F.col("role"), F.concat(text, F.lit(" ..."))), event("edit", none, text))
+    log = rows.select("conv_id", "turn", nth.alias("nth"), F.when(F.col("role") == "assistant", streamed).otherwise(sent).alias("e"))
+    log = log.select("conv_id", "turn", "nth", F.posexplode("e").alias("k", "e"))
+    return log.select("conv_id", (F.col("nth") * 16 + F.col("k")).cast("long").alias("seq"), "e.kind", "turn", "e.role", "e.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, messages: array of (turn, role, text)) from an event log."""
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KINDS.items()])
@@ -77,20 +99,19 @@ def render(conversations: DataFrame) -> DataFrame:
     parts = F.transform("messages", lambda m: F.struct(
         F.concat(F.lit(OPEN), escape(m["role"], True), F.lit("\n")).alias("head"), escape(m["text"]).alias("body"), (m["role"] == "assistant").alias("loss"),
     ))
-    spans = lambda ps: F.aggregate(
-        ps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"),
-            )))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    made = let(parts, lambda ps: F.struct(
+    def spans(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)).cast("long")), lambda x, y: x + y)
+        return let(ends, lambda at: F.transform(
+            F.filter(F.transform(ps, lambda p, i: F.when(p["loss"], i)), lambda i: i.isNotNull()),
+            lambda i: F.struct((F.get(at, i) - len(CLOSE) - F.length(F.get(ps, i)["body"])).alias("start"), (F.get(at, i) - len(CLOSE)).alias("end")),
+        ))
+
+    (made,) = fresh(conversations, "made")
+    both = let(parts, lambda ps: F.struct(
         F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"), spans(ps).alias("loss_spans"),
     ))
-    return conversations.withColumn("_made", made).select("*", "_made.formatted", "_made.loss_spans").drop("_made")
+    out = conversations.drop("formatted", "loss_spans").withColumn(made, both)
+    return out.withColumns({c: F.col(made)[c] for c in ("formatted", "loss_spans")}).drop(made)
 
 
 def read_back(formatted: Column) -> Column:
@@ -103,5 +124,24 @@ def read_back(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the mask, unescaped, nothing between.
+
+    Each span is cut from the part between two closing marks in which it begins, so the whole text is read once; spans
+    are met with parts by sorting both by where they begin.
+    """
+    def read(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: (F.length(p) + len(CLOSE)).cast("long")), lambda x, y: x + y)
+        return let(ends, lambda at: let(F.array_sort(F.concat(
+            F.transform(ps, lambda p, i: F.struct((F.get(at, i) - F.length(p) - len(CLOSE)).alias("at"), i.alias("part"), F.lit(-1).cast("long").alias("end"))),
+            F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit((1 << 31) - 1).alias("part"), s["end"].alias("end"))),
+        )), lambda marks: let(
+            running(F.transform(marks, lambda m: F.when(m["end"] < 0, m["part"]).otherwise(-1)), F.greatest),
+            lambda part: F.array_join(F.transform(
+                F.filter(F.transform(marks, lambda m, k: F.struct(m["at"].alias("at"), m["end"].alias("end"), F.get(part, k).alias("part"))), lambda m: m["end"] >= 0),
+                lambda m: let(F.get(ps, m["part"]), lambda p: unescape(
+                    F.substring(p, (m["at"] - F.get(at, m["part"]) + F.length(p) + len(CLOSE) + 1).cast("int"), (m["end"] - m["at"]).cast("int"))
+                )),
+            ), ""),
+        )))
+
+    return let(F.split(formatted, CLOSE), read)

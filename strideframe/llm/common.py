@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from strideframe.session import scratch_path
+
 #: Bytes of a table that may be sent to every executor; larger ones are joined by shuffle or handled in blocks.
 BROADCAST_BYTES = 32 << 20
 
@@ -21,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is named (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        named = current or f"file://{tempfile.mkdtemp(prefix='strideframe-')}"
-        if not current:
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs one stage, not the whole plan.
 
@@ -40,7 +30,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths = spark, scratch_path(spark, name), {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -106,3 +96,22 @@ def without(column: Column, characters: str) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once per row, however often the body names it and the optimiser moves it."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Element i combines all values up to i: spans of 1, 4, 16 ... values, up to beyond the longest array there can be."""
+    def step(a: Column, k: int) -> Column:
+        def reach(x: Column, i: Column) -> Column:
+            out = F.when(i < k, x)
+            for back in (1, 2, 3):
+                x = combine(x, F.get(a, i - back * k))
+                if (back + 1) * k >= 1 << 31:
+                    return out.otherwise(x)
+                out = out.when(i < (back + 1) * k, x) if back < 3 else out.otherwise(x)
+            return out
+
+        return F.when(F.size(a) <= k, a).otherwise(F.transform(a, reach))
+
+    for power in range(16):
+        values = let(values, lambda a, k=4**power: step(a, k))
+    return values

@@ -10,8 +10,10 @@ documents are scanned each by itself; repeated item ids count once. Null item id
 are scanned whole. Extra columns are kept; of the result's own names a former column is replaced.
 
 Scale: documents never move: one pass of Arrow batches, no shuffle. The benchmark is measured first. While it is
-within ``block_bytes`` it makes one automaton, collected and broadcast; a larger one is dealt by hash into blocks, each
-within the bound, and the documents pass through the blocks one after another with their hits in a column.
+within ``block_bytes`` it makes one automaton, collected and broadcast. A larger one is dealt by hash into blocks, each
+within the bound (but for a single longer item), and a worker never holds more than one: the documents are numbered in a
+table in the shared folder, each block in turn reads their texts and writes the hits alone, and at last the hits meet
+the documents by number. So memory is that of one block, texts are written once, and read once per block.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from strideframe.llm.common import Scratch, fresh, map_batches, quoted
+
 WINDOW = 10
 #: Bytes of benchmark text for one automaton (about 50 bytes of memory for each in a worker).
 BLOCK_BYTES = 4 << 20
@@ -89,9 +94,10 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _HITS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("items", pa.list_(pa.string()))]))
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], names=[*names, name])
+_LEAK = pa.struct([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
+    ("contaminated", pa.bool_()), ("spans", _SPANS),
+])
 
 
 def _merged(hits: list) -> list[tuple[int, int]]:
@@ -120,41 +126,56 @@ def scan(
 ) -> DataFrame:
     """docs with a struct column ``out``: n_words, n_hit, n_items, items (sorted as strings), contaminated, spans."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(quoted(item_col)).cast("string").alias("i"), F.col(quoted(item_text_col)).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n_blocks = max(1, math.ceil(total * 1.5 / block_bytes)) if total > block_bytes else 1
     # Each block is within the bound (hashes spread items evenly; one item alone may be larger).
-    blocks = [
-        spark.sparkContext.broadcast(windows_of([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).toLocalIterator()]))
-        for k in range(n_blocks)
-    ]
-    fields = [f for f in docs.schema.fields if f.name != out]
-    found = docs.select(*[f"`{f.name}`" for f in fields])
-    result = T.StructType([*fields, T.StructField(out, _RESULT)])
-    for k, block in enumerate(blocks):
-        first, last = k == 0, k == n_blocks - 1
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, first=first, last=last) -> Iterator[pa.RecordBatch]:
+    block_of = lambda k: windows_of([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).toLocalIterator()])
+    own = docs.drop(out)
+    if n_blocks == 1:
+        only = spark.sparkContext.broadcast(block_of(0))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(only.value)
+            for batch in batches:
+                rows = []
+                for text in batch.column(text_col):
+                    words = normal_words(text := text.as_py())
+                    rows.append(_finish(text, words, automaton.scan(words)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _LEAK)], names=[*batch.schema.names, out])
+
+        return map_batches(own, whole, T.StructType([*own.schema.fields, T.StructField(out, _RESULT)]))
+
+    scratch = Scratch(spark, "decontaminate")
+    number, found = fresh(own, "number", "hits")
+    kept = scratch.keep(own.withColumn(number, F.monotonically_increasing_id()))
+    hits = []
+    for k in range(n_blocks):
+        block = spark.sparkContext.broadcast(block_of(k))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(block.value)
             for batch in batches:
-                texts = batch.column(text_col).to_pylist()
-                words = [normal_words(t) for t in texts]
-                hits = [automaton.scan(w) for w in words]
-                if not first:
-                    old = batch.column(out).to_pylist()
-                    hits = [[(h["first"], h["after"], h["items"]) for h in o] + n for o, n in zip(old, hits, strict=True)]
-                if last:
-                    rows = [_finish(*x) for x in zip(texts, words, hits, strict=True)]
-                    values = pa.array(rows, pa.struct([
-                        ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
-                        ("contaminated", pa.bool_()), ("spans", _SPANS),
-                    ]))
-                else:
-                    values = pa.array([[{"first": a, "after": b, "items": list(i)} for a, b, i in h] for h in hits], _HITS)
-                yield _with_column(batch, out, values)
-
-        found = found.mapInArrow(run, result if last else T.StructType([*fields, T.StructField(out, _HIT)]))
-    return found
+                rows = [automaton.scan(normal_words(t.as_py())) for t in batch.column("text")]
+                some = [i for i, h in enumerate(rows) if h]
+                values = pa.array([[{"first": a, "after": b, "items": list(i)} for a, b, i in rows[k]] for k in some], _HITS)
+                yield pa.RecordBatch.from_arrays([batch.column("number").take(pa.array(some, pa.int64())), values], names=["number", "hits"])
+
+        texts = kept.select(F.col(number).alias("number"), F.col(quoted(text_col)).alias("text"))
+        hits.append(scratch.keep(texts.mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("hits", _HIT)]))))
+        block.unpersist()
+    joined = reduce(DataFrame.union, hits).groupBy(F.col("number").alias(number)).agg(F.flatten(F.collect_list("hits")).alias(found))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, own_hits in zip(batch.column(text_col), batch.column(found), strict=True):
+                text = text.as_py()
+                rows.append(_finish(text, normal_words(text), [(h["first"], h["after"], h["items"]) for h in own_hits.as_py() or []]))
+            names = [n for n in batch.schema.names if n not in (number, found)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, _LEAK)], names=[*names, out])
+
+    return map_batches(kept.join(joined, number, "left"), finish, T.StructType([*own.schema.fields, T.StructField(out, _RESULT)]))
 
 
 def items_digest(items: list[str]) -> str:
@@ -164,4 +185,5 @@ def items_digest(items: list[str]) -> str:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a hit, with their own columns only."""
-    return scan(docs, benchmark, text_col, out="_leak").filter(~F.col("_leak.contaminated")).drop("_leak")
+    (leak,) = fresh(docs, "leak")
+    return scan(docs, benchmark, text_col, out=leak).filter(~F.col(leak)["contaminated"]).drop(leak)

@@ -1,18 +1,24 @@
 """Sharding by sampled splitters: records are dealt by size into shards of nearly equal bytes, equal texts together.
 
 A record's key is a hash of its text. A sample of keys, drawn with a chance in proportion to size, gives quantile
-boundaries; records are range-partitioned between them. Ranges that turn out overfull (a text with very many copies) are
-subdivided by a hash of the id. The sizes of these buckets are added up in order, so each bucket knows the bytes before
-it, and each record its own place in the whole order: the shard is the one in which its group of equal texts begins. A
-group larger than ``whole_share`` of a shard is cut record by record instead, so that sizes stay near equal.
+boundaries; records are range-partitioned between them. Ranges that turn out overfull, as all do in a large corpus, are
+subdivided by a hash of the text.
+
+Groups of equal texts that weigh more than ``LARGE`` of a shard are placed first, the heaviest first, each whole into
+the shard with most room left. Only a group that no shard has room for is cut: it fills
+that shard and goes on in the next one. So groups are kept whole as far as nearly equal sizes allow. All other records
+stand in one line, in the order of their buckets, and each shard takes what room it has left: the shard is the one in
+which a record's group of equal texts begins. Sizes differ from their mean by at most ``LARGE`` of a shard and two records.
 ``slot`` numbers the records of a shard from 0, in order and without gaps.
 
 Defined results: size is the text's UTF-8 bytes plus 1 (a null text: 1, and no CRC). Null ids and repeated rows are
-dealt like all others; repeated rows get a slot each. An empty table gives no rows. Other columns are not carried.
+dealt like all others; repeated rows get a slot each. An empty table gives no rows. Only the id and text columns are
+read, so other columns may have any name; they are not carried.
 
-Scale: after the text is measured, only (id, size, hashes) move: one exchange by range, with a window per bucket of
-about 1/``ranges`` of all bytes; the splitters and the bucket totals are the only driver-side data, both bounded by
-``ranges``. The sample moves boundaries of ranges only, never records between shards.
+Scale: after the text is measured, only (id, size, hashes) move: one exchange by bucket, with a window per bucket of at
+most about ``RANGE_BYTES`` of text, a large group being spread over buckets by a hash of the id. On the driver are the
+sample (bounded), the totals of ranges, of buckets (one per RANGE_BYTES) and of large groups (at most shards / LARGE).
+The sample moves boundaries of ranges only, never records between shards.
 """
 
 from __future__ import annotations
@@ -21,9 +27,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strideframe.llm.common import Scratch
+from strideframe.llm.common import Scratch, quoted
 
-SHARDS, RANGES, SAMPLE = 16, 192, 6000
+SHARDS, RANGES, SAMPLE, LARGE = 16, 192, 6000, 0.02
+#: Bytes of text whose records one window task sorts: some two million records of 2 KB.
+RANGE_BYTES = 4 << 30
+_PARTS = 1 << 24
 
 
 def _search(key: Column, splitters: list[int]) -> Column:
@@ -37,15 +46,30 @@ def _search(key: Column, splitters: list[int]) -> Column:
     return tree(0, len(splitters))
 
 
+def _pack(groups: list[tuple[int, int]], shards: int, total: int) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """Pieces (group, from, to, shard) of the groups (number, bytes), and the room left in each shard."""
+    room, pieces = [total / shards] * shards, []
+    for g, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        at = 0
+        while at < size:
+            s = max(range(shards), key=lambda k: (room[k], -k))
+            take = size - at if size - at <= room[s] else max(1, math.ceil(room[s]))
+            pieces.append((g, at, at + take, s))
+            room[s] -= take
+            at += take
+    return pieces, room
+
+
 def assign(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, ranges: int = RANGES,
-    sample: int = SAMPLE, whole_share: float = 0.02,
+    sample: int = SAMPLE, large: float = LARGE, range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every record; the law is ``bytes``."""
-    scratch = Scratch(docs.sparkSession, "sharding")
-    text = F.col(text_col)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "sharding")
+    text = F.col(quoted(text_col))
     rows = scratch.keep(docs.select(
-        F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.col(quoted(id_col)).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit("order"), text).alias("key2"),
     ))
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -55,47 +79,54 @@ def assign(
     u = F.pmod(F.xxhash64(F.lit("sample"), "key", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     keys = sorted(r[0] for r in rows.filter(u < chance).select("key").collect())
     splitters = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else [])
-    ranged = rows.withColumn("range", _search(F.col("key"), splitters))
 
-    # Totals of at most ``ranges`` ranges; the overfull ones are cut into as many parts as they have shares of a range.
-    sums = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
-    fair = max(1.0, total / ranges)
+    # Groups of copies that weigh more than ``large`` of a shard: fewer than shards / large of them.
+    heavy = rows.groupBy("key", "key2").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("b") > large * total / shards))
+    heavy = sorted(heavy.collect(), key=lambda r: (r["key"], r["key2"]))
+    pieces, room = _pack([(g, r["b"]) for g, r in enumerate(heavy)], shards, total)
+    fair = max(1.0, min(total / ranges, range_bytes))
+    known = spark.createDataFrame([(r["key"], r["key2"], g, math.ceil(r["b"] / fair)) for g, r in enumerate(heavy)], "key long, key2 long, g int, g_parts int")
+    ranged = rows.withColumn("range", _search(F.col("key"), splitters)).join(F.broadcast(known), ["key", "key2"], "left")
+
+    # Totals of at most ``ranges`` ranges; the overfull ones are cut into as many parts as they have fair shares.
+    sums = {r["range"]: r["b"] for r in ranged.filter("g IS NULL").groupBy("range").agg(F.sum("size").alias("b")).collect()}
     parts = {r: math.ceil(b / fair) for r, b in sums.items() if b > 2 * fair}
     n_parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("range")), F.lit(1)) if parts else F.lit(1)
-
-    # Groups of copies larger than ``whole_share`` of a shard, fewer than shards / whole_share, are dealt by id.
-    large = rows.groupBy("key", "key2").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter(
-        (F.col("n") > 1) & (F.col("b") > whole_share * total / shards)
-    ).select("key", "key2", F.lit(True).alias("large"))
-    spread = F.when(F.col("large"), F.xxhash64(F.lit("part"), "doc_id")).otherwise(F.xxhash64(F.lit("part"), "key", "key2"))
-    dealt = ranged.join(F.broadcast(large), ["key", "key2"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    dealt = dealt.withColumn("bucket", (F.col("range") * (1 << 20) + F.pmod(spread, n_parts)).cast("long"))
-
-    # Bytes before each bucket, in bucket order.
-    totals = dealt.groupBy("bucket").agg(F.sum("size").alias("b")).orderBy("bucket").collect()
-    before, at = {}, 0
-    for r in totals:
-        before[r["bucket"]], at = at, at + r["b"]
-    offsets = docs.sparkSession.createDataFrame([(k, v) for k, v in before.items()], "bucket long, before long")
+    small = F.col("range") * F.lit(_PARTS).cast("long") + F.pmod(F.xxhash64(F.lit("part"), "key", "key2"), n_parts)
+    spread = -1 - (F.col("g") * F.lit(_PARTS).cast("long") + F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.col("g_parts")))
+    dealt = ranged.withColumn("bucket", F.coalesce(spread, small).cast("long"))
+
+    # Bytes before each bucket in its line: that of the small records, or of its large group.
+    totals = dealt.groupBy("bucket", "g").agg(F.sum("size").alias("b")).collect()
+    before, at, line = [], 0, None
+    for r in sorted(totals, key=lambda r: (-1 if r["g"] is None else r["g"], abs(r["bucket"]))):
+        at, line = 0 if r["g"] != line else at, r["g"]
+        before.append((r["bucket"], at))
+        at += r["b"]
+    offsets = spark.createDataFrame(before, "bucket long, before long")
     inside = Window.partitionBy("bucket").orderBy("key", "key2", "doc_id")
-    placed = dealt.join(F.broadcast(offsets), "bucket")
-    placed = placed.withColumns({
-        "rn": F.row_number().over(inside), "own": F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-    }).withColumn("own", F.coalesce("own", "before"))
-    placed = placed.withColumn("start", F.when(F.col("large"), F.col("own")).otherwise(F.min("own").over(Window.partitionBy("bucket", "key", "key2"))))
-    shard = F.least(F.lit(shards - 1), F.floor(F.col("start") * shards / F.lit(max(total, 1))).cast("int"))
-    placed = scratch.keep(placed.select("doc_id", "size", "text_crc32", "bucket", "rn", shard.alias("shard")))
+    upto = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(F.broadcast(offsets), "bucket").withColumns({"rn": F.row_number().over(inside), "own": F.col("before") + upto})
+    placed = placed.withColumn("start", F.when(F.col("g").isNotNull(), F.col("own")).otherwise(F.min("own").over(Window.partitionBy("bucket", "key", "key2"))))
+    cuts, at = [], 0.0
+    for r in room:
+        at += max(0.0, r)
+        cuts.append(math.ceil(at))
+    in_line = F.least(F.lit(shards - 1), _search(F.col("start"), cuts[:-1]))
+    cut = spark.createDataFrame(pieces, "piece int, begin long, end long, own_shard int")
+    placed = placed.join(F.broadcast(cut), (F.col("g") == F.col("piece")) & (F.col("start") >= F.col("begin")) & (F.col("start") < F.col("end")), "left")
+    placed = scratch.keep(placed.select("doc_id", "size", "text_crc32", "bucket", "rn", F.coalesce("own_shard", in_line).cast("int").alias("shard")))
     scratch.drop(rows)
 
-    # Where each shard's records begin in each bucket: at most ranges + shards entries.
-    pieces = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.min("rn").alias("first")).orderBy("shard", "bucket").collect()
+    # Where each shard's records begin in each bucket: one entry per bucket, and per shard that begins inside one.
+    runs = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.min("rn").alias("first")).orderBy("shard", "bucket").collect()
     bases, at, of = [], 0, None
-    for r in pieces:
+    for r in runs:
         at = at if r["shard"] == of else 0
         of = r["shard"]
         bases.append((r["shard"], r["bucket"], at - r["first"]))
         at += r["n"]
-    base = docs.sparkSession.createDataFrame(bases, "shard int, bucket long, base long")
+    base = spark.createDataFrame(bases, "shard int, bucket long, base long")
     return placed.join(F.broadcast(base), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rn")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

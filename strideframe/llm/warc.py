@@ -1,18 +1,23 @@
 """WARC records and a Merkle fixity audit of their replicas.
 
-Pages become WARC records, ordered by id into files of ``per_file`` records; a record's offset is the bytes before it.
-The audit hashes each record; a node covers the ordered offset ranges of up to ``fanout`` nodes below it and hashes
-their positions, ranges and digests, up through files and groups of files to one root. Two replicas are compared from
-the root down: of each level only the children of mismatching nodes are joined, to the records that differ.
+Pages become WARC records, ordered by id into files of ``per_file`` ids; a record's offset is the bytes before it. Each
+replica's manifest is made from its own records: places, offset ranges and digests. The audit hashes them into a tree:
+a leaf covers the records of one slot of a file (a slot is a remainder of the id, so that a lost or added record moves
+no other to another leaf), with their ordered offset ranges, taken from the leaf's own begin, and digests; a node covers
+up to ``fanout`` nodes below it with their order, bytes and digests, up through files and groups of files to one root.
+Two replicas are compared from the root down: of each level only the children of mismatching nodes are joined, to the
+leaves that differ; there records of one id and URL are paired, equal ones first, the rest in their order.
 
 Defined results: a null URL or page is written as an empty one; a null id goes to a file chosen by its URL's hash.
-Records of the same file and place are told apart by their order of URL and digest, so repeated rows are records of
-their own. Extra columns are not read. Two empty replicas have no roots and no differences; a record that one replica
-lacks is ``missing`` there, one that only the replica has is ``extra``, one with other bytes ``corrupt``.
-
-Scale: record bytes never move, only digests of them (64 bytes a record, 1/fanout of that for each next level). Files
-are bounded, so no group is; the levels are as many as log(records) / log(fanout), the deepest joins are limited to
-what lies under damaged nodes. Levels are written to the shared folder and survive lost executors.
+Repeated ids and repeated rows are records of their own, in the order of URL and digest. Extra columns are not read.
+Two empty replicas have no roots and no differences. A record that the copy lacks is ``missing``, one that only the
+copy has is ``extra``, one with other bytes ``corrupt``; a record that only stands at another offset is not a difference.
+
+Scale: record bytes never move, only digests of them (64 bytes a record, less for each next level). Ids that repeat so
+often that a file has more than ``OVERFULL`` times its records are dealt over files of their own by a hash of URL and
+page, so that files are bounded as long as rows equal in all three are few. The levels are as many as log(records) /
+log(fanout), the deepest joins are limited to what lies under damaged nodes. Levels are written to the shared folder and
+survive lost executors.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from strideframe.llm.common import Scratch
+from strideframe.llm.common import BROADCAST_BYTES, Scratch
 
-PER_FILE, FANOUT = 256, 16
+PER_FILE, FANOUT, OVERFULL = 256, 16, 16
+_PARTS = 40  # files of overfull ids are numbered above this bit
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -37,98 +43,131 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def to_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+def to_records(pages: DataFrame, per_file: int = PER_FILE, overfull: int = OVERFULL, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(file, page_id, url, record) for every page."""
     file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url"), F.lit(1 << 20))).cast("long")
-    return pages.select(file.alias("file"), "page_id", "url", record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    rows = pages.select(file.alias("file"), "page_id", "url", "html")
+    many = rows.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > overfull * per_file)
+    many = many.select("file", F.ceil(F.col("n") / per_file).alias("parts"))
+    few = many.count() * 32 <= broadcast_bytes
+    dealt = rows.join(F.broadcast(many) if few else many, "file", "left")
+    part = F.coalesce(F.shiftleft(F.pmod(F.xxhash64("url", "html"), F.col("parts")) + 1, _PARTS), F.lit(0))
+    return dealt.select((F.col("file") + part).alias("file"), "page_id", "url", record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """(file, ord, page_id, start, stop, digest): place, offset range and SHA-256 of every record."""
+    """(file, ord, page_id, url, start, stop, digest): place, offset range and SHA-256 of every record of a replica."""
     hashed = records.select("file", "page_id", "url", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "url", "digest")
+    upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return hashed.select(
-        "file", (F.row_number().over(order) - 1).cast("long").alias("ord"), "page_id",
-        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("start"),
-        F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stop"), "digest",
+        "file", (F.row_number().over(order) - 1).cast("long").alias("ord"), "page_id", "url", (upto - F.col("length")).alias("start"), upto.alias("stop"), "digest",
     )
 
 
-def catalogued(records: DataFrame, places: DataFrame) -> DataFrame:
-    """The manifest of a replica by the places that a catalogue names: (file, ord, page_id, start, stop, digest)."""
-    hashed = records.select("file", "page_id", F.sha2("record", 256).alias("digest"))
-    return places.select("file", "ord", "page_id", "start", "stop").join(hashed, (places["file"] == hashed["file"]) & places["page_id"].eqNullSafe(hashed["page_id"])).select(
-        places["file"], "ord", places["page_id"], "start", "stop", hashed["digest"]
-    )
+def _slot(per_file: int) -> Column:
+    return F.pmod(F.coalesce(F.col("page_id"), F.xxhash64("url")), F.lit(per_file)).cast("long").alias("idx")
+
+
+def _hashed(children: Column) -> Column:
+    """The digest of ordered (order, length, digest), each with the bytes before it."""
+    text = F.array_join(F.transform(children, lambda x: F.concat_ws(":", x["at"].cast("string"), x["length"].cast("string"), x["digest"])), ",")
+    return F.sha2(text, 256).alias("digest")
 
 
-def _above(nodes: DataFrame, group: list[str], fanout: int) -> DataFrame:
-    """The next level: nodes are (*group, idx, start, stop, digest)."""
-    child = F.struct(*[c for c in ("idx", "start", "stop", "digest")])
-    packed = nodes.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).groupBy(*group, "parent").agg(F.array_sort(F.collect_list(child)).alias("c"))
-    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["idx"].cast("string"), x["start"].cast("string"), x["stop"].cast("string"), x["digest"])), ",")
-    return packed.select(*group, F.col("parent").alias("idx"), F.array_min(F.transform("c", lambda x: x["start"])).alias("start"), F.array_max(F.transform("c", lambda x: x["stop"])).alias("stop"), F.sha2(text, 256).alias("digest"))
+def _above(nodes: DataFrame, group: list[str], idx: Column) -> DataFrame:
+    """The next level: nodes (*group, idx, length, digest) of the children under each new index."""
+    packed = nodes.withColumn("parent", idx).groupBy(*group, "parent").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("at"), "length", "digest"))).alias("c"), F.sum("length").alias("length"))
+    return packed.select(*group, F.col("parent").alias("idx"), "length", _hashed(F.col("c")))
 
 
 class Tree:
-    """Levels from records up to one root. Below the file level nodes are keyed by (file, idx), above by idx alone."""
+    """Levels from leaves up to one root. Below the file level nodes are keyed by (file, idx), above by idx alone."""
 
     def __init__(self, listed: DataFrame, scratch: Scratch, per_file: int, fanout: int, depth: int | None = None):
-        self.levels = [scratch.keep(listed.select("file", F.col("ord").alias("idx"), "start", "stop", "digest"))]
+        up = F.floor(F.col("idx") / fanout).cast("long")
+        # The ordered ranges of a leaf's records, from its own begin.
+        begin = F.sum(F.col("stop") - F.col("start")).over(Window.partitionBy("file", "idx").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+        placed = listed.select("file", _slot(per_file), "ord", "start", "stop", "digest").withColumn("at", F.coalesce(begin, F.lit(0)))
+        leaves = placed.groupBy("file", "idx").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("stop") - F.col("start")).alias("length"), "digest"))).alias("c"), F.sum(F.col("stop") - F.col("start")).alias("length"))
+        self.levels = [scratch.keep(leaves.select("file", "idx", "length", _hashed(F.col("c"))))]
         width = per_file
         while width > 1:
-            self.levels.append(scratch.keep(_above(self.levels[-1], ["file"], fanout)))
+            self.levels.append(scratch.keep(_above(self.levels[-1], ["file"], up)))
             width = -(-width // fanout)
         self.in_file = len(self.levels)
-        files = self.levels[-1]
-        # A file may hold more than per_file records (repeated ids): its top nodes are hashed together.
-        tops = files.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-        level = tops.select(F.col("file").alias("idx"), "start", "stop", F.sha2(F.array_join(F.transform("c", lambda x: x["digest"]), ","), 256).alias("digest"))
-        self.levels.append(scratch.keep(level))
+        # Files are numbered from 0 on, those below zero in between, so that there is one root.
+        self.levels.append(scratch.keep(self.levels[-1].select(_numbered().alias("idx"), "length", "digest")))
         while depth is None and self.levels[-1].limit(2).count() > 1 or depth is not None and len(self.levels) < depth:
-            self.levels.append(scratch.keep(_above(self.levels[-1], [], fanout)))
-            if depth is None and len(self.levels) > self.in_file + 16:  # two sides of zero never meet
-                break
+            self.levels.append(scratch.keep(_above(self.levels[-1], [], up)))
 
     def root(self) -> list:
-        """(idx, digest) of the top level: one node, or one on each side of zero."""
-        return sorted((r["idx"], r["digest"]) for r in self.levels[-1].select("idx", "digest").collect())
+        """(idx, digest) of the top level."""
+        return sorted((r["idx"], r["digest"]) for r in self.levels[-1].select("idx", "digest").limit(2).collect())
+
+
+def _numbered() -> Column:
+    return F.when(F.col("file") >= 0, F.col("file") * 2).otherwise(-2 * F.col("file") - 1)
 
 
 def audit(kept: DataFrame, copy: DataFrame, per_file: int = PER_FILE, fanout: int = FANOUT) -> DataFrame:
-    """(file, ord, status) of the records of two manifests that differ: corrupt, missing (in the copy) or extra."""
+    """The records of two manifests that differ: (file, page_id, url, ord, start, stop, digest, copy_ord, copy_start, copy_stop, copy_digest, status).
+
+    The status is corrupt, missing (in the copy) or extra; what is missing or extra has no place on the other side.
+    """
     spark = kept.sparkSession
     scratch = Scratch(spark, "fixity")
-    a = Tree(kept, scratch, per_file, fanout)
-    b = Tree(copy, scratch, per_file, fanout, len(a.levels))
-    empty = spark.createDataFrame([], "file long, ord long, status string")
-    if a.root() == b.root():
-        return empty
+    a, b = Tree(kept, scratch, per_file, fanout), Tree(copy, scratch, per_file, fanout)
+    while len(a.levels) != len(b.levels):
+        low, high = sorted((a, b), key=lambda t: len(t.levels))
+        while len(low.levels) < len(high.levels):
+            low.levels.append(scratch.keep(_above(low.levels[-1], [], F.floor(F.col("idx") / fanout).cast("long"))))
+    same = a.root() == b.root()
     wrong = None
-    for k in range(len(a.levels) - 1, -1, -1):
-        by_file = k < a.in_file
-        keys = ["file", "idx"] if by_file else ["idx"]
+    for k in range(len(a.levels) - 1, -1, -1) if not same else ():
+        keys = ["file", "idx"] if k < a.in_file else ["idx"]
         x, y = a.levels[k], b.levels[k]
         if wrong is not None:
-            if k >= a.in_file:
-                up = wrong.select(F.col("idx").alias("up"))
-                x, y = (t.withColumn("up", F.floor(F.col("idx") / fanout).cast("long")).join(up, "up", "left_semi") for t in (x, y))
-            elif k == a.in_file - 1:
-                up = wrong.select(F.col("idx").alias("file"))
-                x, y = (t.join(up, "file", "left_semi") for t in (x, y))
+            if k == a.in_file - 1:
+                up, on = wrong.select(F.col("idx").alias("up")), ["up"]
+                x, y = (t.withColumn("up", _numbered()) for t in (x, y))
             else:
-                up = wrong.select("file", F.col("idx").alias("up"))
-                x, y = (t.withColumn("up", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file", "up"], "left_semi") for t in (x, y))
-        x = x.select(*keys, F.struct("start", "stop", "digest").alias("was"))
-        y = y.select(*keys, F.struct("start", "stop", "digest").alias("now"))
-        met = x.join(y, keys, "full_outer").filter(~F.col("was").eqNullSafe(F.col("now")))
-        wrong = scratch.keep(met.select(*keys, F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "extra").otherwise("corrupt").alias("status")))
-    return wrong.select("file", F.col("idx").alias("ord"), "status")
+                on = [*keys[:-1], "up"]
+                up = wrong.select(*keys[:-1], F.col("idx").alias("up"))
+                x, y = (t.withColumn("up", F.floor(F.col("idx") / fanout).cast("long")) for t in (x, y))
+            x, y = (t.join(up, on, "left_semi") for t in (x, y))
+        met = x.select(*keys, F.col("digest").alias("was")).join(y.select(*keys, F.col("digest").alias("now")), keys, "full_outer")
+        wrong = scratch.keep(met.filter(~F.col("was").eqNullSafe(F.col("now"))).select(*keys))
+    if wrong is None:
+        wrong = spark.createDataFrame([], "file long, idx long")
+    found = _paired(*(t.withColumn("idx", _slot(per_file)).join(wrong, ["file", "idx"], "left_semi") for t in (kept, copy)))
+    out = scratch.keep(found)
+    scratch.drop(wrong, *a.levels, *b.levels)
+    return out
+
+
+def _paired(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The records of two sides that have no equal one, met by id and URL in their order."""
+    place = ["ord", "start", "stop", "digest"]
+    # Nulls are told from empty URLs and from any id.
+    key = F.to_json(F.struct(F.col("page_id"), F.col("url"))).alias("key")
+    sides = [t.select("file", key, "page_id", "url", *place) for t in (x, y)]
+    nth = F.row_number().over(Window.partitionBy("file", "key", "digest").orderBy("ord"))
+    sides = [t.withColumn("nth", nth) for t in sides]
+    equal = ["file", "key", "digest", "nth"]
+    left = [sides[i].join(sides[1 - i].select(*equal), equal, "left_anti") for i in (0, 1)]
+    turn = F.row_number().over(Window.partitionBy("file", "key").orderBy("ord"))
+    was, now = (t.select("file", "key", turn.alias("turn"), F.struct("page_id", "url", *place).alias(name)) for t, name in zip(left, ("was", "now"), strict=True))
+    met = was.join(now, ["file", "key", "turn"], "full_outer")
+    status = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "extra").otherwise("corrupt")
+    either = lambda c: F.when(F.col("was").isNotNull(), F.col("was")[c]).otherwise(F.col("now")[c]).alias(c)
+    return met.select("file", either("page_id"), either("url"), *[F.col("was")[c].alias(c) for c in place], *[F.col("now")[c].alias(f"copy_{c}") for c in place], status.alias("status"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """One folder per file with the records in order, byte for byte, through Spark's text writer."""
-    ordered = records.repartition("file").sortWithinPartitions("file", "page_id", "url")
+    digest = F.sha2("record", 256).alias("digest")
+    ordered = records.select("file", "page_id", "url", "record", digest).repartition("file").sortWithinPartitions("file", "page_id", "url", "digest")
     # A record ends with a newline; the writer sets it as the line's end.
     ordered.select("file", F.expr("left(record, length(record) - 1)").alias("record")).write.partitionBy("file").option("lineSep", "\n").text(path)
 

@@ -133,6 +133,33 @@ def test_sharding(spark, make):
     assert sharding.assign(make().limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies,ranges,fair", [((300, 90, 40, 7), 192, 1 << 32), ((2000,), 8, 700), ((), 4, 1 << 32), ((120, 119, 118, 117), 192, 2000)])
+def test_sharding_keeps_groups(spark, copies, ranges, fair):
+    """Equal texts share a shard unless none has room; sizes are nearly equal; slots have no gaps; rows may share ids."""
+    rows = [(i, prose(i, 5 + i % 60)) for i in range(800)] + [(10_000 * (g + 1) + k // 2, prose(5000 + g, 30)) for g, n in enumerate(copies) for k in range(n)]
+    docs = spark.createDataFrame([(i, t, 0, "s") for i, t in rows], "doc_id long, text string, size int, bucket string")
+    found = sharding.assign(docs, ranges=ranges, range_bytes=fair).collect()
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, t)
+    size = lambda t: len(t.encode()) + 1
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, size(t)) for i, t in rows)
+    mean, loads, of, slots = sum(size(t) for _, t in rows) / 16, Counter(), {}, {}
+    for r in found:
+        loads[r["shard"]] += r["size"]
+        of.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(loads) == set(range(16))
+    assert max(abs(b - mean) for b in loads.values()) <= sharding.LARGE * mean + 2 * max(size(t) for _, t in rows)
+    weight = Counter()
+    for _, t in rows:
+        weight[t] += size(t)
+    assert all(len(s) == 1 for t, s in of.items() if weight[t] <= sharding.LARGE * mean)
+    assert all(len(s) <= weight[t] // mean + 2 for t, s in of.items())
+    if copies and weight[prose(5000, 30)] < mean:
+        assert len(of[prose(5000, 30)]) == 1
+
+
 # ---- decontamination
 
 def brute_leaks(text, items):
@@ -163,6 +190,20 @@ def test_decontamination(spark, make, block):
     assert rows[0][1][first["start"] : first["end"]] == " - ".join(inside[3:15]).upper()
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(make(*rows), bench).collect()} == {i for i, t in rows if not brute_leaks(t, [x for x in items if x[0] is not None])[1]}
     assert decontaminate.scan(make(*rows), bench.limit(0)).filter("leak.contaminated").count() == 0
+    assert decontaminate.scan(make().limit(0), bench, block_bytes=block).count() == 0
+    clash = make(*rows).withColumns({c: F.lit(7) for c in ("_leak", "leak", "number", "hits", "a.b")})
+    left = decontaminate.drop_contaminated(clash, bench)
+    assert left.columns == clash.columns and {(r["_leak"], r["leak"], r["number"], r["hits"], r["a.b"]) for r in left.collect()} == {(7,) * 5}
+    replaced = decontaminate.scan(clash, bench, block_bytes=block)
+    assert replaced.columns == [*(c for c in clash.columns if c != "leak"), "leak"] and replaced.filter("leak.contaminated").count() == sum(bool(brute_leaks(t, [x for x in items if x[0] is not None])[1]) for _, t in rows)
+
+
+def test_decontamination_plan_holds_one_block(spark, make):
+    """However many blocks the benchmark has, the plan that scans documents has one Python stage."""
+    bench = spark.createDataFrame([(i, prose(i, 40)) for i in range(60)], "item_id long, text string")
+    found = decontaminate.scan(make((1, prose(3, 40))), bench, block_bytes=500)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.select("leak.n_hit").first()[0] == 40
 
 
 # ---- chat
@@ -179,6 +220,49 @@ def test_chat_fold(spark):
     assert [tuple(t) for t in found[None]["back"]] == [("", "")] and found[None]["loss"] == ""
 
 
+def brute_fold(log):
+    """Messages (turn, role, text) per conversation, event by event."""
+    rank = {"message": 0, "regenerate": 1, "edit": 2, "delta": 3}
+    made = {}
+    for conv, _, kind, turn, role, text in sorted((e for e in log if e[2] in rank), key=lambda e: (e[1], rank[e[2]], e[4] is not None, e[4] or "", e[5] is not None, e[5] or "")):
+        own = made.setdefault(conv, {}).setdefault(turn, [])
+        if kind == "message" or not own:
+            own.append([None, ""])
+        m = own[-1]
+        m[0] = role if m[0] is None else m[0]
+        m[1] = m[1] + (text or "") if kind == "delta" else (text or "")
+    return {c: [(t, m[0] or "", m[1]) for t in sorted(turns) for m in turns[t]] for c, turns in made.items()}
+
+
+def test_chat_random_logs(spark):
+    rng = random.Random(8)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate", "other"]
+    log = [(c, s, rng.choice(kinds), rng.randrange(4), rng.choice(["user", "assistant", None]), rng.choice(["a", "<b#", "\\h", "", None, "</turn>\n"])) for c in range(30) for s in range(rng.randrange(1, 40))]
+    rng.shuffle(log)
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string")
+    made = chat.render(chat.reconstruct(events).withColumn("_made", F.lit("kept")).withColumn("made", F.lit(1)))
+    found = made.select("*", chat.read_back(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    expected = brute_fold(log)
+    assert {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in found} == expected
+    for r in found:
+        own = expected[r["conv_id"]]
+        assert [tuple(t) for t in r["back"]] == [m[1:] for m in own] and r["loss"] == "".join(m[2] for m in own if m[1] == "assistant")
+        assert (r["_made"], r["made"]) == ("kept", 1)
+
+
+def test_chat_log_gives_the_rows_back(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\U0001F600 x"), (1, 1, "assistant", "\U0001F600 x"), (1, 2, None, None), (2, None, "assistant", None), (None, 0, "assistant", "odd length")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.to_events(table)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    found = {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat.reconstruct(log).collect()}
+    expected = {}
+    for c, t, role, text in rows:
+        expected.setdefault(c, []).append((t, role or "", text or ""))
+    assert found == expected
+    assert chat.reconstruct(chat.to_events(table.limit(0))).count() == 0
+
+
 def test_chat_escapes(spark):
     nasty = ["\\### Assistant: </turn> ok", "\\", "\\\\h#<", "\n\n", "### x\n</turn>\n", "\\b\\l", "é😀<#", "", "a" * 50000]
     events = spark.createDataFrame([("k", i, "message", i, r, t) for i, (r, t) in enumerate(zip(["assistant", "us\ner#"] * 5, nasty))], "conv_id string, seq long, kind string, turn long, role string, text string")
@@ -310,22 +394,60 @@ def pages(spark, n=600):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
+def brute_audit(kept, copy):
+    """Multisets of (id, url): equal digests cancel out, the rest pairs off."""
+    status = Counter()
+    for key in {(f, i, u) for f, i, u, _ in kept + copy}:
+        was, now = (Counter(d for f, i, u, d in side if (f, i, u) == key) for side in (kept, copy))
+        lost, new = sum((was - now).values()), sum((now - was).values())
+        status[key, "corrupt"] += min(lost, new)
+        status[key, "missing"] += max(0, lost - new)
+        status[key, "extra"] += max(0, new - lost)
+    return +status
+
+
 def test_fixity_audit(spark):
     records = warc.to_records(pages(spark), per_file=64)
     kept = warc.manifest(records).persist()
     assert warc.audit(kept, kept, 64, 4).count() == 0
-    bad = F.when(F.col("page_id") == 77, "corrupt").when(F.col("page_id") == 300, "missing")
-    copy = kept.filter("page_id IS NULL OR page_id <> 300").withColumn("digest", F.when(F.col("page_id") == 77, F.lit("0" * 64)).otherwise(F.col("digest")))
-    found = {tuple(r) for r in warc.audit(kept, copy, 64, 4).collect()}
-    assert found == {tuple(r) for r in kept.select("file", "ord", bad.alias("status")).filter("status IS NOT NULL").collect()}
-    assert {r["status"] for r in warc.audit(copy, kept, 64, 4).collect()} == {"corrupt", "extra"}
+    rng = random.Random(12)
+    rows = [tuple(r) for r in records.select("file", "page_id", "url", "record").collect()]
+    rows += [(rows[5][0], rows[5][1], rows[5][2], f"again {k}") for k in range(4)]  # one id and URL, several texts
+    for part in range(3):
+        copy = [(f, i, u, t if rng.random() > 0.03 else t + "x" * rng.randrange(3)) for f, i, u, t in rows if rng.random() > 0.02]
+        copy += [(f, None if i is None else -i, u, t) for f, i, u, t in rows if rng.random() < 0.01] * (part + 1)
+        sides = [spark.createDataFrame(x, "file long, page_id long, url string, record string") for x in (rows, copy)]
+        found = warc.audit(*map(warc.manifest, sides), 64, 4).collect()
+        digest = lambda side: [(f, i, u, hashlib.sha256(t.encode()).hexdigest()) for f, i, u, t in side]
+        assert Counter((((r["file"], r["page_id"], r["url"]), r["status"])) for r in found) == brute_audit(digest(rows), digest(copy))
+        texts = {}
+        for f, _, _, t in sorted(copy, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", hashlib.sha256(r[3].encode()).hexdigest())):
+            texts[f] = texts.get(f, b"") + t.encode()
+        for r in found:
+            if r["copy_start"] is not None:  # the place holds the bytes that were hashed
+                assert hashlib.sha256(texts[r["file"]][r["copy_start"] : r["copy_stop"]]).hexdigest() == r["copy_digest"]
+    assert {r["status"] for r in warc.audit(kept, kept.limit(0), 64, 4).collect()} == {"missing"}
+    assert warc.audit(kept.limit(0), kept, 64, 4).filter("status = 'extra'").count() == kept.count()
     assert warc.audit(kept.limit(0), kept.limit(0), 64, 4).count() == 0
 
 
+def test_repeated_ids_fill_several_files(spark):
+    rows = [(1, f"http://x.org/{k}", "<p>") for k in range(500)] + [(2, "u", None)]
+    records = warc.to_records(spark.createDataFrame(rows, "page_id long, url string, html string"), per_file=8, overfull=4)
+    sizes = [r["count"] for r in records.groupBy("file").count().collect()]
+    assert sum(sizes) == 501 and max(sizes) < 60
+    assert warc.audit(warc.manifest(records), warc.manifest(records), 8, 4).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     records = warc.to_records(pages(spark, 20).filter("page_id IS NOT NULL AND url IS NOT NULL"))
     warc.write_warc(records, str(tmp_path / "w"))
     read = warc.read_warc(spark, str(tmp_path / "w"))
+    twice = warc.to_records(spark.createDataFrame([(1, "u", "b"), (1, "u", "a"), (1, "u", "a"), (None, None, None)], "page_id long, url string, html string"))
+    warc.write_warc(twice, str(tmp_path / "t"))
+    own = [hashlib.sha256(r["record"]).hexdigest() for r in sorted(warc.read_warc(spark, str(tmp_path / "t")).collect(), key=lambda r: (r["path"], r["start"]))]
+    assert sorted(own) == sorted(r["digest"] for r in warc.manifest(twice).collect())
+    assert [d for d in own if d in {r["digest"] for r in warc.manifest(twice).filter("page_id = 1").collect()}] == [r["digest"] for r in warc.manifest(twice).filter("page_id = 1").orderBy("ord").collect()]
     assert {(r["url"], bytes(r["record"])) for r in read.collect()} == {(r["url"], r["record"].encode()) for r in records.collect()}
     starts = warc.manifest(records).select("start", "stop").collect()
     assert {tuple(r) for r in read.select("start", "stop").collect()} == {tuple(r) for r in starts}
