@@ -359,9 +359,9 @@ def speech_report(spark, d):
     return report.withColumn("snr", _r(F.col("snr"), 5))
 
 
-@query(f"WITH {E_SQL} SELECT utt_id, frame_idx, round(v - avg(v) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS v FROM e")
+@query(f"WITH {E_SQL} SELECT utt_id, frame_idx, round(v - avg(v) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS v FROM e")
 def running_dc(spark, d):
-    return lv.running_mean_removed(events(spark, d)).select("utt_id", "frame_idx", _r(F.col("x")[0], 5).alias("v"))
+    return lv.running_mean_removed(events(spark, d)).select("utt_id", "frame_idx", _r(F.col("x")[0], 9).alias("v"))
 
 
 def _threshold_sql(steps: int) -> str:
@@ -397,9 +397,9 @@ _threshold("EM5", _threshold_sql(5))
 
 
 @query(f"""WITH {E_SQL}, r AS (SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY v, frame_idx) AS r, count(*) OVER (PARTITION BY utt_id) AS n, frame_idx FROM e)
-SELECT utt_id, frame_idx, CAST(0 AS INTEGER) AS dim, round(least(r, n - 1) / n, 5) AS q FROM r WHERE n > 1""")
+SELECT utt_id, frame_idx, CAST(0 AS INTEGER) AS dim, least(r, n - 1) AS place FROM r WHERE n > 1""")
 def gaussianize_values(spark, d):
     """The normal values' places in the normal distribution are the ranks they come from."""
     rows = ft.gaussianize(events(spark, d))
     n = F.count("*").over(Window.partitionBy("utt_id"))
-    return rows.withColumn("n", n).filter("n > 1").select("utt_id", "frame_idx", "dim", F.round(gm.normal_cdf(F.col("v")), 5).alias("q"))
+    return rows.withColumn("n", n).filter("n > 1").select("utt_id", "frame_idx", "dim", F.round(gm.normal_cdf(F.col("v")) * F.col("n")).cast("long").alias("place"))

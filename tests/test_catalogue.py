@@ -8,7 +8,7 @@ import pytest
 from strideframe.plans import catalog
 from strideframe.session import TABLES
 
-SLOW = {"lbg", "kmeans", "traps_raw"}
+SLOW: set[str] = set()
 
 
 def normal(value):
