@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def map_samples(audio: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -185,6 +185,18 @@ def sinc_at(x: np.ndarray, t: float, taps: int = 500) -> float:
     return float(np.sum(x[k] * np.sinc(t - k)))
 
 
+def value_at(samples: Column, t: Column, linear: bool = True) -> Column:
+    """The signal's value at a fractional sample: between its neighbours, or that of the sample before; null outside."""
+    k = F.floor(t).cast("int")
+    near, part = F.get(samples, k), t - k
+    return F.when(part > 0, near + part * (F.get(samples, k + 1) - near)).otherwise(near) if linear else near
+
+
+def extent(samples: Column) -> Column:
+    """(lowest, highest) sample."""
+    return F.struct(F.array_min(samples).alias("lowest"), F.array_max(samples).alias("highest"))
+
+
 def sinc_shift(part: float, taps: int = 500) -> Callable[[np.ndarray], np.ndarray]:
     """The signal's values at all samples but the last, plus a part of one: sinc_at everywhere by one convolution."""
     kernel = np.sinc(part + np.arange(-taps, taps + 1))

@@ -17,6 +17,18 @@ def to_frames(df: DataFrame, utt: str, order: Sequence[str], values: Sequence[st
     return df.select(F.col(utt).alias("utt_id"), number.cast("long").alias("frame_idx"), x.alias("x"), *keep)
 
 
+def buffered(frames: DataFrame) -> DataFrame:
+    """frames, computed once and kept for readers at any place; unpersist when done."""
+    return frames.persist()
+
+
+def frame_at(frames: DataFrame, places: Sequence[int]) -> DataFrame:
+    """The frames at given places of each utterance; negative ones count from its end."""
+    n = F.count("*").over(Window.partitionBy("utt_id"))
+    wanted = F.array(*[F.lit(p).cast("long") for p in places])
+    return frames.withColumn("_n", n).filter(F.array_contains(wanted, F.col("frame_idx")) | F.array_contains(wanted, F.col("frame_idx") - F.col("_n"))).drop("_n")
+
+
 def long_form(frames: DataFrame, *keep: str, column: str = "x", digits: int = 6) -> DataFrame:
     """(utt_id, frame_idx, dim, v): one row per element, rounded."""
     return frames.select("utt_id", "frame_idx", *keep, F.posexplode(column).alias("dim", "v")).withColumn("v", F.round("v", digits) + F.lit(0.0))

@@ -686,6 +686,15 @@ def extended_update(model: Mixture, num: dict, den: dict, e: float = 2.0, tries:
     return Mixture(model.weights, means, covs, model.name)
 
 
+def extended_weights(model: Mixture, num: dict, den: dict, iterations: int = 50, least: float = 1e-6) -> Mixture:
+    """New weights from numerator and denominator masses: w <- n + (k - d / w0) w with k the largest d / w0, normalised once, floored."""
+    n, ratio = num["occ"], den["occ"] / model.weights
+    k, w = ratio.max() - ratio, model.weights.copy()
+    for _ in range(iterations):
+        w = n + k * w
+    return Mixture(np.maximum(w / w.sum(), least), model.means, model.covs, model.name)
+
+
 # ---- scoring of trials and segments
 
 

@@ -246,14 +246,23 @@ def expand_alignment(alignment: DataFrame) -> DataFrame:
     return rows.select("utt_id", (F.col("start_frame") + F.col("k")).alias("frame_idx"), "token", "state")
 
 
-def isolated_words(frames: DataFrame, words: dict[str, Hmm], n: int = 1) -> DataFrame:
-    """(utt_id, rank, word, score): forced alignment of every word's model, the best n. The vocabulary is a parameter."""
+def isolated_words(frames: DataFrame, words: dict[str, Hmm | Sequence[Hmm]], n: int = 1) -> DataFrame:
+    """(utt_id, rank, word, score): forced alignment of every word's model, the best n. The vocabulary is a parameter.
+
+    A word may be several models in a row, as silence, the word and silence.
+    """
     kind = frames.schema["utt_id"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = _x(pdf)
-        found = sorted(((-viterbi(m.pi, m.a, m.log_emissions(x), True)[1], w) for w, m in words.items() if len(m.pi) <= len(x)))[:n]
-        return pd.DataFrame([(key[0], k + 1, w, -s) for k, (s, w) in enumerate(found)], columns=["utt_id", "rank", "word", "score"])
+        found = []
+        for word, models in words.items():
+            own = [models] if isinstance(models, Hmm) else list(models)
+            pi, a, places = chain(own)
+            if len(places) <= len(x):
+                each = [m.log_emissions(x) for m in own]
+                found.append((-viterbi(pi, a, np.column_stack([each[k][:, s] for k, s in places]), True)[1], word))
+        return pd.DataFrame([(key[0], k + 1, w, -s) for k, (s, w) in enumerate(sorted(found)[:n])], columns=["utt_id", "rank", "word", "score"])
 
     return frames.select("utt_id", "frame_idx", "x").groupBy("utt_id").applyInPandas(run, f"utt_id {kind}, rank int, word string, score double")
 

@@ -372,3 +372,49 @@ SELECT label, CAST(id AS INTEGER) AS id, CASE WHEN id >= 0 THEN substr('{ALPHABE
 def label_ids(spark, d):
     rows = table(spark, d, "events").select(F.upper(F.substring("event_type", 1, 1)).alias("label")).union(spark.createDataFrame([("?",)], "label string")).distinct()
     return rows.select("label", label_to_id(F.col("label")).alias("id")).withColumn("back", F.when(F.col("id") >= 0, id_to_label(F.col("id"))).otherwise(F.lit("")))
+
+
+@query(_LABELLED_SQL.format("CAST(CAST(v AS FLOAT) AS DOUBLE)").replace("CAST(frame_idx % 7 AS SMALLINT) AS y", "CAST(0 AS SMALLINT) AS y"))
+def converted_files(spark, d):
+    """Binary samples to labelled rows, to text, and to binary samples again; labelled rows have no second label."""
+    path, source = _stored(spark, bn.to_sample_files(_labelled(spark, d)), "samples"), "sample_b"
+    for target in ("lfv,4", "sample_a", "sample_b"):
+        path, source = _stored(spark, bn.convert_files(spark, path, source, target), "converted"), target
+    return fr.long_form(_number(bn.read_samples(spark, path)), "c", "y", digits=4)
+
+
+@query(_LONG.format("CAST(CAST(v AS FLOAT) AS DOUBLE)", 4))
+def converted_frames(spark, d):
+    """Frames through all formats without labels."""
+    path, source = _stored(spark, bn.to_files(lines(spark, d), header=False), "frames"), "ufv,4"
+    for target in ("frame_double", "ascii", "frame", "ufv,4", "frame_double"):
+        path, source = _stored(spark, bn.convert_files(spark, path, source, target), "converted"), target
+    return fr.long_form(_number(bn.read_frames(spark, path, double=True)), digits=4)
+
+
+@query(f"""WITH {E_SQL}, k AS (SELECT unnest(['byte', 'short', 'int', 'long', 'float', 'double']) AS kind, unnest([100, 30000, 2000000000, 2000000000, 1, 1]) AS top)
+SELECT utt_id, kind, big, count(*) AS n, round(sum(CASE WHEN kind = 'float' THEN CAST(CAST(v AS FLOAT) AS DOUBLE) WHEN kind = 'double' THEN v ELSE trunc(v) % 100 END), 3) AS total
+FROM e, k, (SELECT unnest([true, false]) AS big) GROUP BY utt_id, kind, big""")
+def primitive_files(spark, d):
+    """Numbers of each primitive type in both byte orders."""
+    rows = events(spark, d)
+    out = None
+    for kind in bn.PRIMITIVES:
+        for big in (True, False):
+            value = (lambda x: x[:, 0]) if kind in ("float", "double") else (lambda x: np.trunc(x[:, 0]) % 100)
+            path = _stored(spark, bn.pack_files(rows, "x", lambda x, kind=kind, big=big, value=value: bn.encode_values(value(x), kind, big)), kind)
+
+            def run(batches, kind=kind, big=big):
+                for batch in batches:
+                    read = [bn.decode_values(bytes(c), kind, big).astype(float) for c in batch["content"]]
+                    yield pd.DataFrame({"utt_id": [int(p.rsplit("/", 1)[-1]) for p in batch["path"]], "kind": kind, "big": big, "n": [len(v) for v in read], "total": [float(v.sum()) for v in read]})
+
+            own = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "utt_id long, kind string, big boolean, n long, total double")
+            out = own if out is None else out.union(own)
+    return out.withColumn("total", F.round("total", 3))
+
+
+@query(f"WITH {E_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY utt_id) AS n FROM e) SELECT utt_id, frame_idx, v FROM n WHERE frame_idx IN (0, 5) OR frame_idx = n - 1")
+def buffered_frames(spark, d):
+    rows = fr.buffered(events(spark, d))
+    return fr.frame_at(rows, [0, 5, -1]).select("utt_id", "frame_idx", F.col("x")[0].alias("v"))

@@ -270,7 +270,7 @@ def gmeans(spark, d):
 
 
 # The numerator of a model sums its own segments, the denominator all of them by the softmax of twice their mean scores.
-@query(f"""WITH {V_SQL}, {_A}, {_parts("b", OTHER)}, m AS (SELECT 'ubm' AS id, * FROM a UNION ALL SELECT 'spk', * FROM b),
+_MMIE = f"""{V_SQL}, {_A}, {_parts("b", OTHER)}, m AS (SELECT 'ubm' AS id, * FROM a UNION ALL SELECT 'spk', * FROM b),
 pm AS (SELECT 'ubm' AS id, * FROM pa UNION ALL SELECT 'spk', * FROM pb),
 q AS MATERIALIZED (SELECT id, vec_id, utt_id, k, exp(lp - mx) / sum(exp(lp - mx)) OVER w AS p, CASE WHEN k = 0 THEN mx + ln(sum(exp(lp - mx)) OVER w) END AS score
   FROM (SELECT *, max(lp) OVER (PARTITION BY id, vec_id) AS mx FROM m) WINDOW w AS (PARTITION BY id, vec_id)),
@@ -278,7 +278,10 @@ sc AS (SELECT id, utt_id, 2 * avg(score) AS s FROM q GROUP BY id, utt_id),
 po AS (SELECT id, utt_id, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY utt_id) AS z FROM (SELECT *, max(s) OVER (PARTITION BY utt_id) AS mx FROM sc)),
 st AS (SELECT id, k, dim, sum(CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END) AS n, sum(z * p) AS d,
   sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v) AS s1, sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v * v) AS s2
-  FROM q JOIN po USING (id, utt_id) JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY id, k, dim),
+  FROM q JOIN po USING (id, utt_id) JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY id, k, dim)"""
+
+
+@query(f"""WITH {_MMIE},
 tr AS (SELECT st.*, w, mu, var, i, greatest(d, 1e-6) * power(1.1::DOUBLE, i) AS big FROM st JOIN pm USING (id, k, dim), (SELECT unnest(generate_series(0, 99)) AS i)),
 ok AS (SELECT id, k, min(i) AS i FROM (SELECT id, k, i FROM tr GROUP BY id, k, i HAVING bool_and(n - d + big > 0 AND (s2 + big * (var + mu * mu)) / (n - d + big) - power((s1 + big * mu) / (n - d + big), 2) > 0)) GROUP BY id, k)
 SELECT id AS model_id, CAST(k AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim, round(w, 6) AS w, round((s1 + 2 * big * mu) / (n - d + 2 * big), 6) + 0.0 AS mu,
@@ -446,6 +449,33 @@ r AS (SELECT utt_id, word, s, row_number() OVER (PARTITION BY utt_id ORDER BY s
 SELECT utt_id, CAST(rank AS INTEGER) AS rank, word, round(s, 4) AS score FROM r WHERE rank <= 2"""
 
 
+def _between_silence_sql() -> str:
+    """Each word's three states between two of silence; a model's last state stays or goes on with 0.5."""
+    names, b = hmm.TOPOLOGIES, _hmm().symbols
+    a, emit, pi = np.zeros((20, 20)), [], []
+    for k, name in enumerate(names):
+        o = 5 * k
+        a[o + 1 : o + 4, o + 1 : o + 4] = hmm.topology(3, name)
+        a[o + 3] = 0
+        for s in (o, o + 3):
+            a[s, s] = a[s, s + 1] = 0.5
+        a[o + 4, o + 4] = 1.0
+        emit += [[0.2] * 5, *b, [0.2] * 5]
+        pi += [1, 0, 0, 0, 0]
+    words = ", ".join(f"({5 * k + 4}, '{name}')" for k, name in enumerate(names))
+    return f"""WITH RECURSIVE {_D_SQL}, {_model_sql(pi, a, emit)}, {_FORWARD}, vw(j, word) AS (VALUES {words}),
+r AS (SELECT utt_id, word, s, row_number() OVER (PARTITION BY utt_id ORDER BY s DESC, word) AS rank FROM vf JOIN x USING (utt_id, t) JOIN vw USING (j) WHERE t = n - 1 AND n >= 5)
+SELECT utt_id, CAST(rank AS INTEGER) AS rank, word, round(s, 4) AS score FROM r WHERE rank <= 2"""
+
+
+@query(_between_silence_sql())
+def isolated_word_silence(spark, d):
+    m = _hmm()
+    silence = hmm.Hmm(np.array([1.0]), np.array([[1.0]]), symbols=np.full((1, 5), 0.2))
+    words = {k: [silence, hmm.Hmm(np.array([1.0, 0, 0]), hmm.topology(3, k), symbols=m.symbols), silence] for k in hmm.TOPOLOGIES}
+    return hmm.isolated_words(_discrete(spark, d), words, 2).withColumn("score", F.round("score", 4))
+
+
 @query(_words_sql())
 def isolated_word(spark, d):
     m = _hmm()
@@ -509,3 +539,13 @@ def shared_training(spark, d):
     book, _ = ac.train(x, turns, {"ab": ["a", "b"], "ba": ["b", "a"]}, ac.semicontinuous({"a": 2, "b": 2}, MODEL), "linear")
     x.unpersist()
     return ac.parameters(spark, book).withColumns({"w": F.round("w", 6), "mu": F.round("mu", 6) + F.lit(0.0), "var": F.round("var", 6)})
+
+
+@query(f"""WITH RECURSIVE {_MMIE}, ms AS (SELECT id, k, any_value(n) AS n, any_value(d) AS d FROM st GROUP BY id, k), w0 AS (SELECT id, k, any_value(w) AS w FROM pm GROUP BY id, k),
+r AS (SELECT id, k, n, w, max(d / w) OVER (PARTITION BY id) - d / w AS f FROM ms JOIN w0 USING (id, k)), it(id, k, n, f, w, i) AS (SELECT id, k, n, f, w, 0 FROM r UNION ALL SELECT id, k, n, f, n + f * w, i + 1 FROM it WHERE i < 50)
+SELECT id AS model_id, CAST(k AS INTEGER) AS k, round(greatest(w / sum(w) OVER (PARTITION BY id), 1e-6), 6) AS w FROM it WHERE i = 50""")
+def mmie_weights(spark, d):
+    models = {"ubm": MODEL, "spk": OTHER}
+    x = _v3(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
+    new = {name: gm.extended_weights(models[name], *pair) for name, pair in gm.mmie_accumulate(x, models).items()}
+    return spark.createDataFrame([(name, k, round(float(w), 6)) for name, m in new.items() for k, w in enumerate(m.weights)], "model_id string, k int, w double")

@@ -351,3 +351,11 @@ def display_autocorrelation(spark, d):
 def frequency_bins(spark, d):
     step = sp.frequency_resolution(16000, 512)
     return spark.range(257).select(F.col("id").cast("int").alias("bin"), (F.col("id") * step).alias("hz"))
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT *, lead(v) OVER (PARTITION BY utt_id ORDER BY frame_idx) AS b, min(v) OVER (PARTITION BY utt_id) AS lowest, max(v) OVER (PARTITION BY utt_id) AS highest FROM e)
+SELECT utt_id, frame_idx, round(v + 0.25::DOUBLE * (b - v), 5) + 0.0 AS between, v AS before, lowest, highest FROM n WHERE b IS NOT NULL""")
+def buffered_audio(spark, d):
+    rows = _samples(spark, d).select("*", dsp.extent(F.col("samples")).alias("e"), F.explode(F.sequence(F.lit(0), F.size("samples") - 2)).alias("k"))
+    t = F.col("k") + F.lit(0.25)
+    return rows.select("utt_id", F.col("k").cast("long").alias("frame_idx"), (F.round(dsp.value_at(F.col("samples"), t), 5) + F.lit(0.0)).alias("between"), dsp.value_at(F.col("samples"), t, False).alias("before"), "e.lowest", "e.highest")

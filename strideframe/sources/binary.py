@@ -88,6 +88,89 @@ def decode_labels(data: bytes) -> np.ndarray:
     return np.where((raw >= 48) & (raw <= 57), raw - 48, raw).astype(int)
 
 
+# Fixed value: bytes of the label before each row of a labelled file.
+LABEL_BYTES = 12
+
+
+def encode_labelled(c, x: np.ndarray) -> bytes:
+    """Rows of a label as digits, filled with zero bytes, and float32 values; no header."""
+    x = np.asarray(x, float)
+    rows = np.zeros(len(x), np.dtype([("c", f"S{LABEL_BYTES}"), ("x", "<f4", (x.shape[1],))]))
+    rows["c"], rows["x"] = [str(int(v)).encode() for v in c], x
+    return rows.tobytes()
+
+
+def decode_labelled(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and vectors of what encode_labelled writes; labels must be numbers."""
+    kind = np.dtype([("c", f"S{LABEL_BYTES}"), ("x", "<f4", (width,))])
+    if len(data) % kind.itemsize:
+        raise InvalidFormatError(f"{len(data)} bytes aren't labelled rows of {width}")
+    rows = np.frombuffer(data, kind)
+    try:
+        return np.array([int(v.decode().strip("\x00 ")) for v in rows["c"]], int), rows["x"].astype(float)
+    except ValueError as e:
+        raise InvalidFormatError(f"labels must be numbers: {e}") from None
+
+
+def _parse_format(spec: str) -> tuple[str, int]:
+    name, _, width = spec.partition(",")
+    if name in ("ufv", "lfv") and width.isdigit() and int(width) > 0:
+        return name, int(width)
+    if name in ("frame", "frame_double", "sample_a", "sample_b", "ascii") and not width:
+        return name, 0
+    raise InvalidFormatError(f"unknown format {spec!r}")
+
+
+def convert(data: bytes, source: str, target: str) -> bytes:
+    """A file's bytes from one format to another: ufv,dim; lfv,dim; frame; frame_double; sample_a; sample_b; ascii. Without labels they are 0."""
+    (kind, width), (to, _) = _parse_format(source), _parse_format(target)
+    if kind == "lfv":
+        c, x = decode_labelled(data, width)
+        y = np.zeros(len(x), int)
+    elif kind == "sample_b":
+        c, y, x = decode_samples(data)
+    elif kind == "sample_a":
+        rows = parse_text_frames(data.decode(), True)
+        c, y, x = np.array(rows["c"]), np.array(rows["y"]), np.array(rows["x"])
+    else:
+        x = np.array(parse_text_frames(data.decode())["x"]) if kind == "ascii" else decode_frames(data, kind == "frame_double", width or None)
+        c = y = np.zeros(len(x), int)
+    if to == "lfv":
+        return encode_labelled(c, x)
+    if to == "sample_b":
+        return encode_samples(c, y, x)
+    if to == "sample_a":
+        return "".join(" ".join([str(int(a)), str(int(b)), *map(repr, map(float, row))]) + "\n" for a, b, row in zip(c, y, x, strict=True)).encode()
+    return encode_text_frames(x, "\t") if to == "ascii" else encode_frames(x, to == "frame_double", to != "ufv")
+
+
+def convert_files(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
+    """(utt_id, content): the files of a path in another format, for ``write_files``."""
+    _parse_format(source), _parse_format(target)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"utt_id": [p.rsplit("/", 1)[-1] for p in batch["path"]], "content": [convert(bytes(c), source, target) for c in batch["content"]]})
+
+    return _files(spark, path).mapInPandas(run, "utt_id string, content binary")
+
+
+# The primitive types of binary files.
+PRIMITIVES = {"byte": "i1", "short": "i2", "int": "i4", "long": "i8", "float": "f4", "double": "f8"}
+
+
+def encode_values(values, kind: str, big: bool = False) -> bytes:
+    """Numbers of one primitive type, little- or big-endian."""
+    return np.asarray(values).astype((">" if big else "<") + PRIMITIVES[kind]).tobytes()
+
+
+def decode_values(data: bytes, kind: str, big: bool = False) -> np.ndarray:
+    out = np.dtype((">" if big else "<") + PRIMITIVES[kind])
+    if len(data) % out.itemsize:
+        raise InvalidFormatError(f"{len(data)} bytes aren't whole {kind}s")
+    return np.frombuffer(data, out)
+
+
 def encode_labels(labels) -> bytes:
     """One digit character per frame, as decode_labels reads them."""
     values = np.asarray(labels, int)
