@@ -3,6 +3,8 @@
 Everything is a built-in expression of one row: no shuffle, no user function, and the rules are data. ``measures``
 gives one struct per text, ``compile_rules`` turns (measure, lowest, highest) rows into one boolean expression.
 
+The stop-word ratio fits the four languages of ``STOP_WORDS``; for others pass their words, or rules without it.
+
 Defined results: words are what stands between space, tab, newline, vertical tab, form feed and carriage return. A
 null text is judged as an empty one: no words, base_failed. Ratios with nothing to divide by are 0. Repeated rows and
 ties are judged row by row. Texts of any length are read whole; the costliest part, sorting the hashes of 8-word
@@ -15,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.llm.common import let, without
+from strideframe.llm.common import let, quoted, without
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -77,12 +79,12 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(window_hashes(words, window), covered))
 
 
-def measures(text: Column) -> Column:
-    """One struct of counts and ratios of a text."""
+def measures(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """One struct of counts and ratios of a text. stop_words: lower-case; a capital first letter counts as well."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     marks = F.regexp_replace(text, f"[^{SYMBOLS}!]+", "")
-    stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
+    stops = sorted({*stop_words, *(w.capitalize() for w in stop_words)})
 
     counts = let(words_of(text), lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"),
@@ -122,14 +124,14 @@ def compile_rules(m: Column, rules: Sequence[tuple[str, float | None, float | No
     return verdict
 
 
-def judge(docs: DataFrame, text_col: str = "text", rules: Sequence = RULES, out: str = "quality") -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", rules: Sequence = RULES, out: str = "quality", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """docs with a struct column ``out``: the measures, base_failed and kept. A column of that name is replaced."""
-    judged = docs.withColumn(out, measures(F.col(text_col)))
+    judged = docs.withColumn(out, measures(F.col(quoted(text_col)), stop_words))
     failed = base_failed(F.col(out))
     return judged.withColumn(out, F.col(out).withField("base_failed", failed).withField("kept", ~failed & compile_rules(F.col(out), rules)))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence = RULES, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    m = measures(F.col(text_col))
+    m = measures(F.col(quoted(text_col)), stop_words)
     return docs.filter(let(m, lambda x: ~base_failed(x) & compile_rules(x, rules)))

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.llm.common import BROADCAST_BYTES, ascii_lower
+from strideframe.llm.common import BROADCAST_BYTES, ascii_lower, quoted
 
 SALTS = 32
 PREFIX_HEX = 8
@@ -69,7 +69,8 @@ def filter_urls(
     n_rules = listed.count()
     listed = listed.select(F.substring("digest", 1, PREFIX_HEX).alias("prefix"), "digest", F.length("rule_host").alias("host_length"), "block")
 
-    rows = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    url = F.col(quoted(url_col))
+    rows = pages.select(F.col(quoted(id_col)).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     if not lengths:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     # The marker keeps each row once, whether or not an expression of it is listed.

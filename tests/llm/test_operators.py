@@ -532,19 +532,82 @@ def test_every_label_is_learned(spark):
 
 # ---- pipeline
 
-def test_pipeline_stages(spark, sf_dir):
+def brute_verdict(text):
+    n, chars, symbols, dup, repeated = brute_measures(text)
+    if n < 20 or 100 * repeated > 30 * n:
+        return False
+    words = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    stops = {*quality.STOP_WORDS, *(w.capitalize() for w in quality.STOP_WORDS)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return 3 <= chars / n <= 12 and symbols / n <= 0.1 and text.count("!") / n <= 0.3 and sum(w in stops for w in words) / n >= 0.01 and dup / len(lines) <= 0.5 and len(lines) / n <= 0.5
+
+
+def brute_pipeline(rows, items, vocabulary):
+    """All stages over (doc_id, text) with distinct ids: (doc_id, tokens, text) of what is left, and what each stage keeps."""
+    import tiktoken
+
+    kept = [r for r in rows if brute_verdict(r[1])]
+    after = [{i for i, _ in kept}]
+    kept = [(i, t) for (i, t), (_, old) in zip(brute_lines(kept), kept) if t is not None and t.split() or not (old or "").split()]
+    after.append({i for i, _ in kept})
+    stay = {c for _, n, c in brute_components(kept)}
+    kept = [(i, t) for i, t in kept if i in stay]
+    after.append(stay)
+    kept = [(i, t) for i, t in kept if not brute_leaks(t, items)[1]]
+    after.append({i for i, _ in kept})
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        true = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    return {i: (true.encode_ordinary(t or ""), t or "") for i, t in kept}, after
+
+
+def result_rows(found):
+    return {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found.collect()}
+
+
+def digests(left):
+    return {i: (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, (ids, t) in left.items()}
+
+
+def test_pipeline_stages(spark, sf_dir, vocabulary):
+    """The whole run, and each stage on what the one before it kept, against brute force."""
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = [n for n, _ in cp.STAGES]
-    assert len(names) == 5
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in cp.quality_rules(spark, docs, sf_dir).collect()}
-    assert all(brute_measures(texts[i])[0] >= 20 for i in good)
-    lines = cp.dedup_lines(spark, docs, sf_dir)
-    assert lines.columns == docs.columns
-    expected = {i: t for i, t in brute_lines(sorted(texts.items())) if t.split() or not texts[i].split()}
-    assert {r["doc_id"]: r["text"] for r in lines.collect()} == expected
-    assert {r["doc_id"] for r in cp.near_dedup(spark, docs, sf_dir).collect()} == {c for _, _, c in brute_components(sorted(texts.items()))}
-    out = cp.run(spark, sf_dir)
-    assert out.count() > 0 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    left, after = brute_pipeline(rows, items, vocabulary)
+    assert [n for n, _ in cp.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "benchmark decontamination", "byte-level BPE"] and after[-1] != after[0]
+    at = docs
+    for (_, stage), ids in zip(cp.STAGES[:-1], after):
+        at = stage(spark, at, sf_dir).persist()
+        assert at.columns == docs.columns and {r["doc_id"] for r in at.select("doc_id").collect()} == ids and at.count() == len(ids)
+    assert all(r["n_chars"] == len(r["text"]) for r in at.collect())
+    assert result_rows(cp.run(spark, sf_dir)) == digests(left)
+
+
+def test_pipeline_edges(spark, tmp_path, vocabulary):
+    """Nulls in every column, empty and long texts, copies, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline as cp
+
+    long = prose(300, 30) + "\n" + "\n".join(f"the line {k} of " + prose(400 + k, 12) for k in range(300))
+    leak = prose(900, 14)
+    rows = [(1, prose(301, 60)), (2, prose(301, 60)), (3, prose(301, 60).upper()), (4, None), (5, ""), (6, " \n\t"), (7, "short"), (8, long), (9, prose(302, 40) + " " + leak), (10, prose(303, 40)), (11, "the " * 50), (12, prose(304, 25) + "\n\n" + prose(303, 40))]
+    extra = "_had boolean, had string, _gone int, gone int, leak string, `a.b` string, cls string, number long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    wide = lambda rs: spark.createDataFrame([(i, t, None, None, None, None, None, 1, None, "x", "y", None, 2) for i, t in rs], schema)
+    items = [(1, leak), (2, None), (None, "the")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wide(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    left, _ = brute_pipeline(rows, [x for x in items if x[0] is not None], vocabulary)
+    assert 0 < len(left) < len(rows) and 9 not in left and 8 in left
+    assert result_rows(cp.run(spark, str(tmp_path))) == digests(left)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide(rows), str(tmp_path))
+        assert out.columns == wide(rows).columns and {(r["_gone"], r["leak"], r["a.b"], r["number"]) for r in out.collect()} == {(1, "x", "y", 2)}
+        assert stage(spark, wide([]), str(tmp_path)).count() == 0
+    # Repeated and null ids, all columns null: rows count, not ids.
+    twice = wide([(None, prose(305, 50)), (None, prose(306, 50)), (20, prose(305, 50)), (20, prose(307, 50)), (20, prose(307, 50)), (None, None)])
+    assert sorted((r["doc_id"] is None, r["text"]) for r in cp.near_dedup(spark, twice.filter("text IS NOT NULL"), str(tmp_path)).collect()) == sorted([(False, prose(305, 50)), (False, prose(307, 50)), (True, prose(306, 50))])
+    assert cp.quality_rules(spark, twice, str(tmp_path)).count() == 5 and cp.remove_benchmark(spark, twice, str(tmp_path)).count() == 6
+    assert cp.tokenize(spark, twice, str(tmp_path)).count() == 6
