@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet to the
 shared folder and reads it again for the next, so a lost executor costs at most the stage that is running. All stages
-but the last return the columns of ``documents``; n_chars follows the text.
+but the last return the columns of ``documents`` and any others that docs has; n_chars follows the text.
+
+Defined results: a null or empty text fails the quality rules; a stage that gets one all the same keeps it, and it has no
+tokens. Of copies the one with the smallest id stays, a null id only where there is no other; rows equal in id and text
+count as copies. Null ids are told apart by their texts. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
