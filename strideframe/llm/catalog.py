@@ -121,6 +121,30 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.rid = p.rid AND m.k = 1
 """
 
+# CRC-32 by its table of 256 remainders, byte by byte; large groups are packed one piece a step into the shard with most room.
+_OP3 = f"""
+WITH RECURSIVE tb AS (SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(substr(sha256(text), 1, 15), '') AS k, coalesce(substr(sha256(text), 16, 15), '') AS k2,
+             xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, tb),
+tt AS (SELECT sum(size)::BIGINT AS total FROM d),
+h0 AS (SELECT k, k2, sum(size)::BIGINT AS b FROM d GROUP BY k, k2 HAVING count(*) > 1 AND sum(size) > {sharding.LARGE}::DOUBLE * (SELECT total FROM tt) / {sharding.SHARDS}),
+h AS (SELECT *, row_number() OVER (ORDER BY k, k2) AS g FROM h0), hv AS (SELECT *, row_number() OVER (ORDER BY b DESC, g) AS o FROM h),
+pk(o, off, room, g, lo, hi, s) AS (
+  SELECT 1::BIGINT, 0::BIGINT, list_transform(range({sharding.SHARDS}), lambda i: total / {sharding.SHARDS}::DOUBLE), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM tt
+  UNION ALL SELECT CASE WHEN off + take >= b THEN o + 1 ELSE o END, CASE WHEN off + take >= b THEN 0 ELSE off + take END,
+    list_transform(room, lambda x, i: CASE WHEN i = w THEN x - take ELSE x END), g, off, off + take, w - 1
+  FROM (SELECT *, CASE WHEN b - off <= room[w] THEN b - off ELSE greatest(1, CAST(ceil(room[w]) AS BIGINT)) END AS take
+        FROM (SELECT pk.o, pk.off, pk.room, hv.g, hv.b, list_position(room, list_max(room))::BIGINT AS w FROM pk JOIN hv ON hv.o = pk.o))),
+left_room AS (SELECT room FROM pk ORDER BY o DESC, off DESC LIMIT 1),
+cu AS (SELECT i, ceil(list_sum(list_transform(list_slice(room, 1, i), lambda x: greatest(x, 0)))) AS c FROM left_room, (SELECT unnest(range(1, {sharding.SHARDS})) AS i)),
+r AS (SELECT row_number() OVER () AS rid, d.*, h.g FROM d LEFT JOIN h USING (k, k2)),
+w AS (SELECT *, sum(size) OVER (PARTITION BY g ORDER BY k, k2, doc_id NULLS FIRST, rid ROWS UNBOUNDED PRECEDING) - size AS own FROM r),
+st AS (SELECT *, CASE WHEN g IS NULL THEN min(own) OVER (PARTITION BY g, k, k2) ELSE own END AS start FROM w),
+p AS (SELECT st.*, CASE WHEN st.g IS NULL THEN (SELECT count(*) FROM cu WHERE c <= start) ELSE pk.s END AS shard FROM st LEFT JOIN pk ON pk.g = st.g AND start >= pk.lo AND start < pk.hi)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY g NULLS FIRST, k, k2, doc_id NULLS FIRST, rid) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
 _WORDS4 = r"regexp_extract_all(translate({}, %s), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % _AZ
 _OP4 = f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS4.format("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL),
@@ -227,4 +251,4 @@ UNION ALL SELECT page_id, file, ord, stop - n, stop, digest, 'extra' FROM cm WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_minhash": _OP6, "op8_warc_fixity": _OP8, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}
+    return {"op1_url_filter": _OP1, "op2_line_dedup": _OP2, "op3_sharding": _OP3, "op5_chat_format": _OP5, "op6_minhash": _OP6, "op8_warc_fixity": _OP8, "op4_decontaminate": _OP4, "op7_quality_rules": _OP7}

@@ -2,21 +2,22 @@
 
 A record's key is a hash of its text. A sample of keys, drawn with a chance in proportion to size, gives quantile
 boundaries; records are range-partitioned between them. Ranges that turn out overfull, as all do in a large corpus, are
-subdivided by a hash of the text.
+subdivided at equal steps of the key.
 
 Groups of equal texts that weigh more than ``LARGE`` of a shard are placed first, the heaviest first, each whole into
 the shard with most room left. Only a group that no shard has room for is cut: it fills
-that shard and goes on in the next one. So groups are kept whole as far as nearly equal sizes allow. All other records
-stand in one line, in the order of their buckets, and each shard takes what room it has left: the shard is the one in
-which a record's group of equal texts begins. Sizes differ from their mean by at most ``LARGE`` of a shard and two records.
-``slot`` numbers the records of a shard from 0, in order and without gaps.
+that shard and goes on in the next one, its records in the order of ids. So groups are kept whole as far as nearly equal
+sizes allow. All other records stand in one line, in the order of keys, and each shard takes what room it has left: the
+shard is the one in which a record's group of equal texts begins. Sizes differ from their mean by at most ``LARGE`` of a
+shard and two records. ``slot`` numbers the records of a shard from 0 without gaps: those of the line first, then large
+groups by key, each by id.
 
 Defined results: size is the text's UTF-8 bytes plus 1 (a null text: 1, and no CRC). Null ids and repeated rows are
 dealt like all others; repeated rows get a slot each. An empty table gives no rows. Only the id and text columns are
 read, so other columns may have any name; they are not carried.
 
 Scale: after the text is measured, only (id, size, hashes) move: one exchange by bucket, with a window per bucket of at
-most about ``RANGE_BYTES`` of text, a large group being spread over buckets by a hash of the id. On the driver are the
+most about ``RANGE_BYTES`` of text, a large group being spread over buckets by sampled splitters of its ids. On the driver are the
 sample (bounded), the totals of ranges, of buckets (one per RANGE_BYTES) and of large groups (at most shards / LARGE).
 The sample moves boundaries of ranges only, never records between shards.
 """
@@ -32,10 +33,16 @@ from strideframe.llm.common import Scratch, quoted
 SHARDS, RANGES, SAMPLE, LARGE = 16, 192, 6000, 0.02
 #: Bytes of text whose records one window task sorts: some two million records of 2 KB.
 RANGE_BYTES = 4 << 30
-_PARTS = 1 << 24
+#: Keys are the first 60 bits of a SHA-256; ranges are numbered in steps of _PARTS, those of large groups from _FIRST_LARGE on.
+_KEYS, _PARTS, _FIRST_LARGE = 1 << 60, 1 << 24, 1 << 50
 
 
-def _search(key: Column, splitters: list[int]) -> Column:
+def _key(digest: Column, start: int) -> Column:
+    """15 hexadecimal digits of a digest as a number; 0 where there is no text."""
+    return F.coalesce(F.conv(F.substring(digest, start, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def _search(key: Column, splitters: list) -> Column:
     """How many splitters are at most the key: a balanced tree of comparisons, so log2 steps a row."""
     def tree(low: int, high: int) -> Column:
         if low == high:
@@ -70,14 +77,15 @@ def assign(
     text = F.col(quoted(text_col))
     rows = scratch.keep(docs.select(
         F.col(quoted(id_col)).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit("order"), text).alias("key2"),
-    ))
+        F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"),
+    ).select("doc_id", "size", "text_crc32", _key(F.col("digest"), 1).alias("key"), _key(F.col("digest"), 16).alias("key2")))
     total = rows.agg(F.sum("size")).first()[0] or 0
 
     # A size-weighted sample of about ``sample`` keys: its length is bounded by the parameter, whatever the input.
     chance = F.col("size") * (sample / max(total, 1))
     u = F.pmod(F.xxhash64(F.lit("sample"), "key", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    keys = sorted(r[0] for r in rows.filter(u < chance).select("key").collect())
+    drawn = rows.filter(u < chance).select("key", "key2", "doc_id").collect()
+    keys = sorted(r["key"] for r in drawn)
     splitters = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else [])
 
     # Groups of copies that weigh more than ``large`` of a shard: fewer than shards / large of them.
@@ -85,21 +93,34 @@ def assign(
     heavy = sorted(heavy.collect(), key=lambda r: (r["key"], r["key2"]))
     pieces, room = _pack([(g, r["b"]) for g, r in enumerate(heavy)], shards, total)
     fair = max(1.0, min(total / ranges, range_bytes))
-    known = spark.createDataFrame([(r["key"], r["key2"], g, math.ceil(r["b"] / fair)) for g, r in enumerate(heavy)], "key long, key2 long, g int, g_parts int")
+    known = spark.createDataFrame([(r["key"], r["key2"], g) for g, r in enumerate(heavy)], "key long, key2 long, g int")
     ranged = rows.withColumn("range", _search(F.col("key"), splitters)).join(F.broadcast(known), ["key", "key2"], "left")
 
-    # Totals of at most ``ranges`` ranges; the overfull ones are cut into as many parts as they have fair shares.
+    # Totals of at most ``ranges`` ranges; the overfull ones are cut into as many equal steps as they have fair shares.
     sums = {r["range"]: r["b"] for r in ranged.filter("g IS NULL").groupBy("range").agg(F.sum("size").alias("b")).collect()}
-    parts = {r: math.ceil(b / fair) for r, b in sums.items() if b > 2 * fair}
-    n_parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("range")), F.lit(1)) if parts else F.lit(1)
-    small = F.col("range") * F.lit(_PARTS).cast("long") + F.pmod(F.xxhash64(F.lit("part"), "key", "key2"), n_parts)
-    spread = -1 - (F.col("g") * F.lit(_PARTS).cast("long") + F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.col("g_parts")))
-    dealt = ranged.withColumn("bucket", F.coalesce(spread, small).cast("long"))
+    bounds = [0, *splitters, _KEYS]
+    steps = [(r, float(bounds[r]), float(bounds[r + 1] - bounds[r]), math.ceil(b / fair)) for r, b in sums.items() if b > 2 * fair and bounds[r + 1] > bounds[r]]
+    cut_ranges = spark.createDataFrame(steps, "range int, low double, width double, parts int")
+    part = F.least(F.floor((F.col("key") - F.col("low")) / F.col("width") * F.col("parts")), F.col("parts") - 1)
+    small = F.col("range") * F.lit(_PARTS).cast("long") + F.coalesce(part, F.lit(0))
+
+    # Large groups are cut by quantiles of the sampled ids, about thirty for each part; a null id comes first.
+    ids: dict[tuple, list] = {}
+    for r in drawn:
+        ids.setdefault((r["key"], r["key2"]), []).append(r["doc_id"])
+    own_part = F.lit(0)
+    for g, r in enumerate(heavy):
+        n, known_ids = math.ceil(r["b"] / fair), sorted(i for i in ids.get((r["key"], r["key2"]), []) if i is not None)
+        if n > 1 and known_ids:
+            cuts = sorted({known_ids[len(known_ids) * k // n] for k in range(1, n)})
+            own_part = F.when(F.col("g") == g, F.when(F.col("doc_id").isNull(), 0).otherwise(_search(F.col("doc_id"), cuts))).otherwise(own_part)
+    large_bucket = F.lit(_FIRST_LARGE) + F.col("g") * F.lit(_PARTS).cast("long") + own_part
+    dealt = ranged.join(F.broadcast(cut_ranges), "range", "left").withColumn("bucket", F.coalesce(large_bucket, small).cast("long"))
 
     # Bytes before each bucket in its line: that of the small records, or of its large group.
     totals = dealt.groupBy("bucket", "g").agg(F.sum("size").alias("b")).collect()
     before, at, line = [], 0, None
-    for r in sorted(totals, key=lambda r: (-1 if r["g"] is None else r["g"], abs(r["bucket"]))):
+    for r in sorted(totals, key=lambda r: (-1 if r["g"] is None else r["g"], r["bucket"])):
         at, line = 0 if r["g"] != line else at, r["g"]
         before.append((r["bucket"], at))
         at += r["b"]
