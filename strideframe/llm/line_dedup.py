@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.llm.common import BROADCAST_BYTES, Scratch, fresh, let, quoted
+from strideframe.llm.common import BROADCAST_BYTES, Scratch, fresh, let, quoted, running
 
 MIN_WORDS = 8
 #: Powers of two that hold a line number and the hash of a text in a position: 64 bits of id, 31 and 30 bits below them.
@@ -82,12 +82,8 @@ def _half_keys(words: Column) -> Column:
 
 
 def running_xor(values: Column) -> Column:
-    """Element i is the XOR of all values up to i, by doubling; the steps reach beyond the longest array there can be."""
-    for step in range(31):
-        values = let(values, lambda a, k=1 << step: F.when(F.size(a) <= k, a).otherwise(
-            F.transform(a, lambda x, i: F.when(i < k, x).otherwise(x.bitwiseXOR(F.get(a, i - k))))
-        ))
-    return values
+    """Element i is the XOR of all values up to i."""
+    return running(values, lambda x, y: x.bitwiseXOR(y))
 
 
 def variants(words: Column) -> Column:
