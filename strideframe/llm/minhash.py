@@ -284,7 +284,9 @@ class _Finder:
             scratch.drop(sized)
             return 0, 0
         self.seen.append(sized)
-        own = sets if sets is not None else self.sets_of(sized.select(F.col("x").alias("cls")).union(sized.select("y")).distinct())
+        used = sized.select(F.col("x").alias("cls")).union(sized.select("y")).distinct()
+        # Of the sets that are there only those of a few pairs move.
+        own = self.sets_of(used) if sets is None else sets.join(F.broadcast(used) if tested * 64 <= self.broadcast_bytes else used, "cls", "left_semi")
         turned = sized.select(F.col("leader").alias("x"), F.when(F.col("x") == F.col("leader"), F.col("y")).otherwise(F.col("x")).alias("y"))
         found = scratch.keep(_confirmed(turned, own, percent))
         if sets is None:
