@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +95,39 @@ def viterbi(pi: np.ndarray, a: np.ndarray, b: np.ndarray, forced: bool = False)
     return path[::-1], float(score[end])
 
 
+def viterbi_many(pi: np.ndarray, a: np.ndarray, bs: Sequence[np.ndarray], forced: bool = False) -> list[tuple[list[int], float]]:
+    """viterbi for many utterances (of at least one frame, or as many as states if forced) that take each step together."""
+    if not bs:
+        return []
+    n = len(pi)
+    order = sorted(range(len(bs)), key=lambda u: -len(bs[u]))
+    lengths = np.array([len(bs[u]) for u in order])
+    if forced and lengths[-1] < n:
+        raise AlignmentError(f"{lengths[-1]} frames for {n} states")
+    b = np.zeros((lengths[0], len(bs), n))
+    for k, u in enumerate(order):
+        b[: len(bs[u]), k] = bs[u]
+    with np.errstate(divide="ignore"):
+        la, score = np.log(a), np.log(pi) + b[0]
+    back = np.zeros(b.shape, np.int32)
+    for i in range(1, lengths[0]):
+        on = int(np.searchsorted(-lengths, -i, side="left"))  # the longest ones are still there
+        through = score[:on, :, None] + la
+        back[i, :on] = through.argmax(1)
+        score[:on] = through.max(1) + b[i, :on]
+    state = np.full(len(bs), n - 1) if forced else score.argmax(1)
+    scores, rows = score[np.arange(len(bs)), state], np.arange(len(bs))
+    paths = np.zeros((lengths[0], len(bs)), np.int64)
+    for i in range(lengths[0] - 1, -1, -1):
+        paths[i] = state
+        inside = i < lengths
+        state = np.where(inside, back[i, rows, state], state) if i else state
+    out: list = [None] * len(bs)
+    for k, u in enumerate(order):
+        out[u] = (paths[: lengths[k], k].tolist(), float(scores[k]))
+    return out
+
+
 def linear_path(t: int, n: int) -> list[int]:
     """Frames spread evenly over states; rounding slack is carried on, the rest goes to the last state."""
     if t < n:
@@ -137,17 +170,35 @@ def _x(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf.sort_values("frame_idx")["x"].to_numpy())
 
 
+#: Utterances that take Viterbi's steps together, and frames in all that they may have.
+TOGETHER, TOGETHER_FRAMES = 64, 1 << 16
+
+
 def align(frames: DataFrame, model: Hmm, forced: bool = False) -> DataFrame:
     """(utt_id, frame_idx, state, score): Viterbi per utterance. Utterances too short for a forced end give nothing."""
     kind = frames.schema["utt_id"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if forced and len(pdf) < len(model.pi):
-            return pd.DataFrame(columns=["utt_id", "frame_idx", "state", "score"])
-        path, score = viterbi(model.pi, model.a, model.log_emissions(_x(pdf)), forced)
-        return pd.DataFrame({"utt_id": key[0], "frame_idx": np.sort(pdf["frame_idx"].to_numpy()), "state": path, "score": score})
-
-    return frames.select("utt_id", "frame_idx", "x").groupBy("utt_id").applyInPandas(run, f"utt_id {kind}, frame_idx long, state int, score double")
+    packed = frames.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))).alias("s"))
+    rows = packed.select("utt_id", F.transform("s", lambda p: p["frame_idx"]).alias("t"), F.transform("s", lambda p: p["x"]).alias("x"))
+    least = len(model.pi) if forced else 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["x"].map(len) >= least]
+            sizes = batch["x"].map(len).to_numpy()
+            at = 0
+            while at < len(batch):
+                upto = at + 1
+                while upto < len(batch) and upto - at < TOGETHER and sizes[at : upto + 1].sum() <= TOGETHER_FRAMES:
+                    upto += 1
+                own = batch.iloc[at:upto]
+                found = viterbi_many(model.pi, model.a, [model.log_emissions(np.stack(x)) for x in own["x"]], forced)
+                yield pd.DataFrame({
+                    "utt_id": np.repeat(own["utt_id"].to_numpy(), sizes[at:upto]), "frame_idx": np.concatenate(own["t"].to_list()),
+                    "state": np.concatenate([p for p, _ in found]), "score": np.repeat([v for _, v in found], sizes[at:upto]),
+                })
+                at = upto
+
+    return rows.mapInPandas(run, f"utt_id {kind}, frame_idx long, state int, score double")
 
 
 def linear_align(frames: DataFrame, states: int) -> DataFrame:

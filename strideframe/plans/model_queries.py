@@ -549,3 +549,21 @@ def mmie_weights(spark, d):
     x = _v3(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
     new = {name: gm.extended_weights(models[name], *pair) for name, pair in gm.mmie_accumulate(x, models).items()}
     return spark.createDataFrame([(name, k, round(float(w), 6)) for name, m in new.items() for k, w in enumerate(m.weights)], "model_id string, k int, w double")
+
+
+@query(f"WITH {E_SQL} SELECT CAST(frame_idx % 3 AS INTEGER) AS state, event_type AS symbol, count(*)::DOUBLE AS n FROM e GROUP BY frame_idx % 3, event_type")
+def emission_counts(spark, d):
+    paths = events(spark, d, "event_type").withColumn("state", (F.col("frame_idx") % 3).cast("int"))
+    return hmm.emission_counts(paths, "event_type")
+
+
+# Three dimensions and their sum: the covariance has no inverse, but a pseudo-inverse, between two of itself it is itself.
+@query(f"""WITH {V_SQL}, x4 AS (SELECT vec_id, dim AS i, v FROM vl WHERE dim < 3 UNION ALL SELECT vec_id, 3, sum(v) FROM vl WHERE dim < 3 GROUP BY vec_id)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS v FROM x4 a JOIN x4 b USING (vec_id) GROUP BY a.i, b.i""")
+def pseudo_inverse(spark, d):
+    x = _v3(spark, d).withColumn("x", F.concat("x", F.array(F.aggregate("x", F.lit(0.0), lambda a, v: a + v))))
+    s = gm.second_order(x)
+    m = s["s1"] / s["n"]
+    c = s["s2"] / s["n"] - np.outer(m, m)
+    back = c @ tr.pinv(c) @ c
+    return spark.createDataFrame([(i, j, round(float(back[i, j]), 6) + 0.0) for i in range(4) for j in range(4)], "i int, j int, v double")

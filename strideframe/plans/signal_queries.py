@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideframe.functions import weights as W
-from strideframe.operators import dsp, frames as fr, spectral as sp
+from strideframe.operators import dsp, features as ft, frames as fr, spectral as sp
 from strideframe.plans.common import E_SQL, V_SQL, events, vectors
+from strideframe.plans.frame_queries import _framing_sql
 
 Q, SQL = {}, {}
 
@@ -359,3 +360,30 @@ def buffered_audio(spark, d):
     rows = _samples(spark, d).select("*", dsp.extent(F.col("samples")).alias("e"), F.explode(F.sequence(F.lit(0), F.size("samples") - 2)).alias("k"))
     t = F.col("k") + F.lit(0.25)
     return rows.select("utt_id", F.col("k").cast("long").alias("frame_idx"), (F.round(dsp.value_at(F.col("samples"), t), 5) + F.lit(0.0)).alias("between"), dsp.value_at(F.col("samples"), t, False).alias("before"), "e.lowest", "e.highest")
+
+
+def _windowed_sql(weight: str) -> str:
+    """Windows of 16 samples every 10 (wx), their transform to 257 bins of 31.25 Hz (ft) and power (pw); an id per frame."""
+    raw = _framing_sql(weight).replace("round(", "(").replace(", 6) + 0.0 AS v", ") AS v")
+    return f"""wx AS ({raw}), kk AS (SELECT unnest(generate_series(0, 256)) AS k),
+ft AS (SELECT utt_id, frame_idx, k, sum(v * cos(2 * pi() * dim * k / 512)) AS re, sum(v * sin(2 * pi() * dim * k / 512)) AS im FROM wx, kk GROUP BY utt_id, frame_idx, k),
+pw AS (SELECT utt_id, frame_idx, k, CASE WHEN k = 0 THEN abs(re) ELSE re * re + im * im END AS p, sqrt(re * re + im * im) AS m FROM ft)"""
+
+
+@query(f"""WITH {_windowed_sql("1")}, l AS (SELECT utt_id, frame_idx, k, 20 * log10(greatest(m / greatest(sum(m) OVER (PARTITION BY utt_id, frame_idx), 1e-300), 1e-300)) AS v FROM pw)
+SELECT utt_id, frame_idx, CAST(k AS INTEGER) AS dim, round(power((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 0.5::DOUBLE), 4) AS v FROM l""")
+def spectrogram(spark, d):
+    return fr.long_form(ft.spectrogram(_samples(spark, d), 16000, "rect,16s,10s", 0.5), digits=4)
+
+
+@query(f"""WITH {_windowed_sql("0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 15)")}, {_mel_sql()}, lb AS (SELECT utt_id, frame_idx, i, ln(sum(p * w) + 0.000001::DOUBLE) AS y FROM pw JOIN bk USING (k) GROUP BY utt_id, frame_idx, i)
+SELECT utt_id, frame_idx, CAST(c AS INTEGER) AS dim, round(sum(y * cos(pi() * (i + 0.5::DOUBLE) * c / n)) * sqrt(CASE WHEN c = 0 THEN 1 ELSE 2 END / any_value(n)::DOUBLE), 5) + 0.0 AS v
+FROM lb, mn, (SELECT unnest(generate_series(0, 11)) AS c) GROUP BY utt_id, frame_idx, c""")
+def extraction(spark, d):
+    """Features by parameter strings: windows, spectrum, mel bank, DCT and selection in one plan."""
+    return fr.long_form(ft.extract(_samples(spark, d), 16000, "hamm,16s,10s", "", "0-11"), digits=5)
+
+
+@query(_pitch_sql("123.0"))
+def pitch_set(spark, d):
+    return dsp.correct_pitch(_pitch(spark, d), "set", 123.0).select("utt_id", "frame_idx", (F.round("f0", 5) + F.lit(0.0)).alias("f0"))

@@ -120,6 +120,21 @@ def test_training_raises_the_score(spark):
     assert np.allclose(mixed["a"].mixtures[0].means, 0.25 + 0.75 * start["a"].mixtures[0].means)
 
 
+@pytest.mark.parametrize("forced", [False, True])
+def test_viterbi_of_many(forced):
+    """Steps taken together give each utterance's own path and score."""
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 4):
+        a = rng.random((n, n)) * (rng.random((n, n)) > 0.2) + np.eye(n)
+        a /= a.sum(1, keepdims=True)
+        pi = np.full(n, 1 / n)
+        bs = [np.log(rng.choice([0.1, 0.2, 0.5], (rng.integers(n, 15), n))) for _ in range(12)]
+        assert hmm.viterbi_many(pi, a, bs, forced) == [hmm.viterbi(pi, a, b, forced) for b in bs]
+    assert hmm.viterbi_many(np.ones(1), np.ones((1, 1)), []) == []
+    with pytest.raises(Exception, match="frames"):
+        hmm.viterbi_many(np.ones(2), np.ones((2, 2)), [np.zeros((1, 2))], True)
+
+
 # ---- stored files
 
 @pytest.mark.parametrize("full", [False, True])
