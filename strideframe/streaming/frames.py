@@ -32,49 +32,71 @@ def speech_sessions(stream: DataFrame, threshold: float, gap: str = "30 minutes"
     return loud.groupBy(F.session_window("ts", gap), "utt_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "utt_id", "n")
 
 
-def running_mvn(stream: DataFrame) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _stay(state: GroupState, idle: int | None, *values) -> None:
+    """Keep the values, and give them up when no event comes for so many milliseconds."""
+    state.update(values)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
+
+
+def running_mvn(stream: DataFrame, idle: int | None = None) -> DataFrame:
     """(utt_id, ts, v): (value - mean) / deviation by all values of the utterance up to the batch's order so far.
 
-    State is (n, sum, sum of squares): constant per utterance, whatever the length of the stream.
+    State is (n, sum, sum of squares): constant per utterance, whatever the length of the stream. An utterance that is
+    idle for so many milliseconds is forgotten and starts anew with its next event.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, s1, s2 = state.get if state.exists else (0, 0.0, 0.0)
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         x = pdf["value"].to_numpy(float)
         count, c1, c2 = n + np.arange(1, len(x) + 1), s1 + np.cumsum(x), s2 + np.cumsum(x * x)
         mean = c1 / count
         sd = np.sqrt(np.maximum(c2 / count - mean**2, 0))
-        state.update((int(count[-1]), float(c1[-1]), float(c2[-1])))
+        _stay(state, idle, int(count[-1]), float(c1[-1]), float(c2[-1]))
         yield pd.DataFrame({"utt_id": key[0], "ts": pdf["ts"], "v": np.where(sd > 1e-12, (x - mean) / np.where(sd > 1e-12, sd, 1), 0.0)})
 
-    return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, ts timestamp, v double", "n long, s1 double, s2 double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, ts timestamp, v double", "n long, s1 double, s2 double", "append", _timeout(idle))
 
 
-def stream_framing(stream: DataFrame, length: int, step: int, weights: Sequence[float], last: str | None = None) -> DataFrame:
+def stream_framing(stream: DataFrame, length: int, step: int, weights: Sequence[float], last: str | None = None, idle: int | None = None) -> DataFrame:
     """(utt_id, frame_idx, x): whole windows as soon as their samples are there; the rest stays in state.
 
     ``last`` names a boolean column that marks an utterance's last event: with it the frames that are left, filled with
-    zeros, follow and the state ends, as ``frames.framing`` with a padded tail does for finished utterances.
+    zeros, follow and the state ends, as ``frames.framing`` with a padded tail does for finished utterances. With ``idle``
+    an utterance without events for so many milliseconds ends in the same way.
     """
     w = np.asarray(weights, float)
 
+    def tail(x: np.ndarray, k: int) -> list[list[float]]:
+        """The padded frame that follows k whole ones where frames overlap or samples are left."""
+        open_end = len(x) > 0 and (step < length or k == 0 or len(x) > length - step)
+        return [(np.pad(x, (0, length - len(x))) * w).tolist()] if open_end else []
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         k, rest = state.get if state.exists else (0, [])
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        x = np.concatenate([np.asarray(rest, float), pdf["value"].to_numpy(float)])
-        rows, at = [], 0
-        while at + length <= len(x):
-            rows.append((key[0], k, (x[at : at + length] * w).tolist()))
-            k, at = k + 1, at + step
-        if last is not None and pdf[last].any():
-            if len(x) - at > 0 and (step < length or k == 0 or len(x) - at > length - step):
-                rows.append((key[0], k, (np.pad(x[at:], (0, length - (len(x) - at))) * w).tolist()))
+        x, frames, ended = np.asarray(rest, float), [], state.hasTimedOut
+        if not ended:
+            pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            x = np.concatenate([x, pdf["value"].to_numpy(float)])
+            ended = last is not None and bool(pdf[last].any())
+        while len(x) >= length:
+            frames.append((x[:length] * w).tolist())
+            x = x[step:]
+        if ended:
+            frames += tail(x, k + len(frames))
             state.remove()
         else:
-            state.update((k, x[at:].tolist()))
-        yield pd.DataFrame(rows, columns=["utt_id", "frame_idx", "x"])
+            _stay(state, idle, k + len(frames), x.tolist())
+        yield pd.DataFrame([(key[0], k + i, f) for i, f in enumerate(frames)], columns=["utt_id", "frame_idx", "x"])
 
-    return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, frame_idx long, x array<double>", "k long, rest array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("utt_id").applyInPandasWithState(run, "utt_id long, frame_idx long, x array<double>", "k long, rest array<double>", "append", _timeout(idle))
 
 
 def mark_last(stream: DataFrame, ends: DataFrame) -> DataFrame:
