@@ -21,18 +21,21 @@ def query(sql: str | None = None):
     return add
 
 
-# Fixed parameters of the queries that SQL can follow: three components over the first three dimensions.
-MODEL = gm.Mixture([0.5, 0.3, 0.2], [[0.0, 0.1, -0.1], [0.1, -0.1, 0.0], [-0.1, 0.0, 0.1]], [[0.02, 0.03, 0.01], [0.01, 0.02, 0.02], [0.03, 0.01, 0.02]], "ubm")
-OTHER = gm.Mixture([0.4, 0.4, 0.2], [[0.05, 0.1, -0.05], [0.1, -0.05, 0.0], [-0.1, 0.05, 0.1]], [[0.02, 0.02, 0.02], [0.02, 0.02, 0.02], [0.02, 0.02, 0.02]], "spk")
+# Fixed parameters of the queries that SQL can follow: three components over all 64 dimensions, by rule.
+D = 64
+MODEL = gm.Mixture([0.5, 0.3, 0.2], [[0.02 * ((i + k) % 3 - 1) for i in range(D)] for k in range(3)], [[0.01 + 0.005 * ((i + 2 * k) % 3) for i in range(D)] for k in range(3)], "ubm")
+OTHER = gm.Mixture([0.4, 0.4, 0.2], [[0.01 * ((2 * i + k) % 5 - 2) for i in range(D)] for k in range(3)], [[0.016] * D] * 3, "spk")
+# Two components of half a vector each, as a mean supervector has them.
+HALVES = gm.Mixture([0.6, 0.4], np.zeros((2, D // 2)), [[0.01 + 0.002 * ((i + k) % 4) for i in range(D // 2)] for k in range(2)])
 
 
 def _values(name: str, m: gm.Mixture) -> str:
-    rows = ", ".join(f"({k}, {i}, {m.weights[k]!r}::DOUBLE, {m.means[k][i]!r}::DOUBLE, {m.covs[k][i]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for k in range(3) for i in range(3))
+    rows = ", ".join(f"({k}, {i}, {float(m.weights[k])!r}::DOUBLE, {float(m.means[k][i])!r}::DOUBLE, {float(m.covs[k][i])!r}::DOUBLE)" for k in range(len(m.weights)) for i in range(m.means.shape[1]))
     return f"{name}(k, dim, w, mu, var) AS (VALUES {rows})"
 
 
 def _parts(name: str, m: gm.Mixture) -> str:
-    return f"""{_values("p" + name, m)}, {name} AS (SELECT vec_id, utt_id, c, k, any_value(w) AS w, ln(any_value(w)) - 0.5::DOUBLE * (sum(ln(var)) + 3 * ln(2 * pi()) + sum((v - mu) * (v - mu) / var)) AS lp
+    return f"""{_values("p" + name, m)}, {name} AS (SELECT vec_id, utt_id, c, k, any_value(w) AS w, ln(any_value(w)) - 0.5::DOUBLE * (sum(ln(var)) + {D} * ln(2 * pi()) + sum((v - mu) * (v - mu) / var)) AS lp
   FROM vl JOIN p{name} USING (dim) GROUP BY vec_id, utt_id, c, k)"""
 
 
@@ -40,29 +43,25 @@ _A = _parts("a", MODEL)
 _POST = "g AS (SELECT *, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY vec_id) AS p FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS mx FROM a))"
 
 
-def _v3(spark, d):
-    return vectors(spark, d).withColumn("x", F.slice("x", 1, 3))
-
-
 @query(f"WITH {V_SQL}, {_A} SELECT vec_id, round(lp - ln(w), 6) + 0.0 AS lp FROM a WHERE k = 0")
 def gauss_logdensity(spark, d):
-    return _v3(spark, d).select("vec_id", (F.round(gm.log_density(F.col("x"), MODEL.means[0], MODEL.covs[0]), 6) + F.lit(0.0)).alias("lp"))
+    return vectors(spark, d).select("vec_id", (F.round(gm.log_density(F.col("x"), MODEL.means[0], MODEL.covs[0]), 6) + F.lit(0.0)).alias("lp"))
 
 
 @query(f"WITH {V_SQL}, {_A} SELECT vec_id, round(max(lp) + ln(sum(exp(lp - mx))), 6) + 0.0 AS score FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS mx FROM a) GROUP BY vec_id")
 def gmm_score_fixed(spark, d):
-    return _v3(spark, d).select("vec_id", (F.round(gm.log_score(F.col("x"), MODEL), 6) + F.lit(0.0)).alias("score"))
+    return vectors(spark, d).select("vec_id", (F.round(gm.log_score(F.col("x"), MODEL), 6) + F.lit(0.0)).alias("score"))
 
 
 @query(f"WITH {V_SQL}, {_A}, {_POST} SELECT vec_id, k, round(p, 6) AS p FROM g")
 def gmm_posteriors_fixed(spark, d):
-    return _v3(spark, d).select("vec_id", F.posexplode(gm.posteriors(F.col("x"), MODEL)).alias("k", "p")).withColumn("p", F.round("p", 6))
+    return vectors(spark, d).select("vec_id", F.posexplode(gm.posteriors(F.col("x"), MODEL)).alias("k", "p")).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {V_SQL}, {_A} SELECT vec_id, arg_max(k, lp) AS with_priors, arg_max(k, lp - ln(w)) AS without FROM a GROUP BY vec_id")
 def gmm_classify(spark, d):
     x = F.col("x")
-    return _v3(spark, d).select("vec_id", gm.classify(x, MODEL).alias("with_priors"), gm.classify(x, MODEL, priors=False).alias("without"))
+    return vectors(spark, d).select("vec_id", gm.classify(x, MODEL).alias("with_priors"), gm.classify(x, MODEL, priors=False).alias("without"))
 
 
 def _model_rows(spark, m: gm.Mixture):
@@ -71,44 +70,49 @@ def _model_rows(spark, m: gm.Mixture):
 
 
 _ACC = f"""{_A}, {_POST}, s AS (SELECT g.k, vl.dim, sum(p) AS occ, sum(p * v) AS s1, sum(p * v * v) AS s2, sum(sum(p)) OVER (PARTITION BY vl.dim) AS n
-  FROM g JOIN vl USING (vec_id) WHERE vl.dim < 3 GROUP BY g.k, vl.dim)"""
+  FROM g JOIN vl USING (vec_id) GROUP BY g.k, vl.dim)"""
 
 
 @query(f"WITH {V_SQL}, {_ACC} SELECT k, CAST(dim AS INTEGER) AS dim, round(occ / n, 6) AS w, round(s1 / occ, 6) + 0.0 AS mu, round(greatest(s2 / occ - (s1 / occ) * (s1 / occ), 0.001::DOUBLE), 6) AS var FROM s")
 def em_step_fixed(spark, d):
-    return _model_rows(spark, gm.mle_update(MODEL, gm.accumulate(_v3(spark, d), MODEL)))
+    return _model_rows(spark, gm.mle_update(MODEL, gm.accumulate(vectors(spark, d), MODEL)))
 
 
 @query(f"""WITH {V_SQL}, {_ACC}, t AS (SELECT s.k, s.dim, occ / (16 + occ) AS al, occ, n, s1, s2, w, mu, var FROM s JOIN pa ON pa.k = s.k AND pa.dim = s.dim),
 u AS (SELECT *, al * s1 / occ + (1 - al) * mu AS m, al * occ / n + (1 - al) * w AS ww FROM t)
 SELECT k, CAST(dim AS INTEGER) AS dim, round(ww / sum(ww) OVER (PARTITION BY dim), 6) AS w, round(m, 6) + 0.0 AS mu, round(al * s2 / occ + (1 - al) * (var + mu * mu) - m * m, 6) AS var FROM u""")
 def map_step_fixed(spark, d):
-    return _model_rows(spark, gm.map_update(MODEL, gm.accumulate(_v3(spark, d), MODEL)))
+    return _model_rows(spark, gm.map_update(MODEL, gm.accumulate(vectors(spark, d), MODEL)))
 
 
-@query(f"""WITH {V_SQL}, {_values("pa", MODEL)}, x AS (SELECT vec_id, utt_id, frame_idx, dim // 3 AS k, dim % 3 AS dim, v FROM vl WHERE dim < 9)
+@query(f"""WITH {V_SQL}, {_values("pa", HALVES)}, x AS (SELECT vec_id, utt_id, frame_idx, dim // {D // 2} AS k, dim % {D // 2} AS dim, v FROM vl)
 SELECT a.vec_id, round(sum(w * (a.v - b.v) * (a.v - b.v) / var), 5) AS akl, round(sum(w * a.v * b.v / var), 5) + 0.0 AS kernel
 FROM x a JOIN x b ON a.utt_id = b.utt_id AND a.frame_idx = b.frame_idx + 1 AND a.k = b.k AND a.dim = b.dim JOIN pa ON pa.k = a.k AND pa.dim = a.dim GROUP BY a.vec_id""")
 def akl(spark, d):
-    v = vectors(spark, d).withColumn("x", F.slice("x", 1, 9))
+    v = vectors(spark, d)
     both = v.join(v.select("utt_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("x").alias("y")), ["utt_id", "frame_idx"])
     a, b = F.col("x"), F.col("y")
-    return both.select("vec_id", F.round(gm.akl(a, b, MODEL), 5).alias("akl"), (F.round(gm.akl(a, b, MODEL, kernel=True), 5) + F.lit(0.0)).alias("kernel"))
+    return both.select("vec_id", F.round(gm.akl(a, b, HALVES), 5).alias("akl"), (F.round(gm.akl(a, b, HALVES, kernel=True), 5) + F.lit(0.0)).alias("kernel"))
 
 
-@query(f"""WITH {_values("p", MODEL)} SELECT CAST(row_number() OVER (ORDER BY k, f, dim) - 1 AS INTEGER) AS i, v FROM (
-SELECT DISTINCT k, 0 AS f, 0 AS dim, w AS v FROM p UNION ALL SELECT k, 1, dim, mu FROM p UNION ALL SELECT k, 2, dim, var FROM p)""")
+@query(f"""WITH {V_SQL}, m AS (SELECT c, dim, avg(v) AS mu, greatest(var_pop(v), 1e-10) AS var FROM vl GROUP BY c, dim)
+SELECT c, 0 AS i, 1.0::DOUBLE AS v FROM m GROUP BY c UNION ALL SELECT c, CAST(1 + dim AS INTEGER), round(mu, 6) + 0.0 FROM m UNION ALL SELECT c, CAST({D + 1} + dim AS INTEGER), round(var, 6) FROM m""")
 def supervector(spark, d):
-    v = MODEL.supervector(True, True, True)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
+    """Weights, means and variances of each label's Gaussian, as an expression over stored models."""
+    from strideframe.sources import models as md
+
+    stored = md.mixtures_frame(spark, {str(k[0]): gm._from_groups([g]) for k, g in gm.second_order(vectors(spark, d), "c").items()})
+    rows = md.supervectors(stored, True, True, True).select(F.col("model_id").cast("int").alias("c"), F.posexplode("x").alias("i", "v"))
+    return rows.withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
-@query(f"""WITH {V_SQL}, {_values("pa", MODEL)}, a AS (SELECT vec_id, k, ln(any_value(w)) - 0.5::DOUBLE * (sum(ln(var)) + 2 * ln(2 * pi()) + sum((v - mu) * (v - mu) / var)) AS lp
+@query(f"""WITH {V_SQL}, {_values("pa", MODEL)}, a AS (SELECT vec_id, k, ln(any_value(w)) - 0.5::DOUBLE * (sum(ln(var)) + {D - 1} * ln(2 * pi()) + sum((v - mu) * (v - mu) / var)) AS lp
   FROM vl JOIN pa USING (dim) WHERE dim <> 1 GROUP BY vec_id, k)
 SELECT vec_id, round(max(lp) + ln(sum(exp(lp - mx))), 6) + 0.0 AS score FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS mx FROM a) GROUP BY vec_id""")
 def marginalise(spark, d):
-    x = F.array(F.col("x")[0], F.col("x")[2])
-    return _v3(spark, d).select("vec_id", (F.round(gm.log_score(x, MODEL.marginalize([0, 2])), 6) + F.lit(0.0)).alias("score"))
+    kept = [i for i in range(D) if i != 1]
+    x = F.concat(F.slice("x", 1, 1), F.slice("x", 3, D))
+    return vectors(spark, d).select("vec_id", (F.round(gm.log_score(x, MODEL.marginalize(kept)), 6) + F.lit(0.0)).alias("score"))
 
 
 _SCORES = f"""{_A}, {_parts("b", OTHER)}, s AS (
@@ -117,7 +121,7 @@ _SCORES = f"""{_A}, {_parts("b", OTHER)}, s AS (
 
 
 def _scored(spark, d):
-    return gm.score_frames(_v3(spark, d), {"ubm": MODEL, "spk": OTHER})
+    return gm.score_frames(vectors(spark, d), {"ubm": MODEL, "spk": OTHER})
 
 
 @query(f"""WITH {V_SQL}, {_SCORES} SELECT 'spk' AS model_id, utt_id, round((sum(score) FILTER (model_id = 'spk') - sum(score) FILTER (model_id = 'ubm')) / (count(*) / 2), 6) + 0.0 AS llr FROM s GROUP BY utt_id""")
@@ -130,7 +134,7 @@ def llr_trials(spark, d):
 SELECT 'spk' AS model_id, utt_id, round(avg(d), 6) + 0.0 AS llr FROM (SELECT vec_id, utt_id, ln(sum(exp(s))) - ln(sum(exp(u))) AS d FROM t WHERE r <= 2 GROUP BY vec_id, utt_id) GROUP BY utt_id""")
 def llr_trials_fast(spark, d):
     trials = vectors(spark, d).select("utt_id").distinct().withColumn("model_id", F.lit("spk"))
-    return gm.fast_llr(trials, _v3(spark, d), {"spk": OTHER}, MODEL, 2).withColumn("llr", F.round("llr", 6) + F.lit(0.0))
+    return gm.fast_llr(trials, vectors(spark, d), {"spk": OTHER}, MODEL, 2).withColumn("llr", F.round("llr", 6) + F.lit(0.0))
 
 
 @query(f"""WITH {V_SQL}, {_SCORES}, m AS (SELECT utt_id, model_id, avg(score) AS mean FROM s GROUP BY utt_id, model_id)
@@ -150,38 +154,37 @@ def ml_gaussian_full(spark, d):
     return gm.covariances(lines(spark, d), 4, "c").withColumn("cov", F.round("cov", 3) + F.lit(0.0))
 
 
-@query(f"""WITH {V_SQL}, q AS (SELECT vec_id, c, i, j, a.v AS p, b.v AS r FROM (SELECT vec_id, c, dim AS i, v FROM vl WHERE dim < 4) a JOIN (SELECT vec_id, dim AS j, v FROM vl WHERE dim < 4) b USING (vec_id)),
-k AS (SELECT c, i, j, count(*) AS n, covar_pop(p, r) AS w, avg(p) AS mp, avg(r) AS mr FROM q GROUP BY c, i, j), t AS (SELECT i, j, avg(p) AS gp, avg(r) AS gr, count(*) AS nn FROM q GROUP BY i, j)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(n * w) / any_value(nn), 6) + 0.0 AS within, round(sum(n * (mp - gp) * (mr - gr)) / any_value(nn), 6) + 0.0 AS between FROM k JOIN t USING (i, j) GROUP BY i, j""".replace("a.v AS p, b.v AS r", "a.v AS p, b.v AS r"))
+@query(f"""WITH {V_SQL}, k AS (SELECT a.c, a.dim AS i, b.dim AS j, count(*) AS n, covar_pop(a.v, b.v) AS w, avg(a.v) AS mp, avg(b.v) AS mr FROM vl a JOIN vl b USING (vec_id) GROUP BY a.c, a.dim, b.dim),
+g AS (SELECT dim, avg(v) AS m, count(*) AS nn FROM vl GROUP BY dim)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(n * w) / any_value(p.nn), 6) + 0.0 AS within, round(sum(n * (mp - p.m) * (mr - q.m)) / any_value(p.nn), 6) + 0.0 AS between
+FROM k JOIN g p ON p.dim = i JOIN g q ON q.dim = j GROUP BY i, j""")
 def scatter_within_between(spark, d):
-    _, within, between, _ = tr.scatter(vectors(spark, d).withColumn("x", F.slice("x", 1, 4)))
-    return spark.createDataFrame([(i, j, round(float(within[i, j]), 6) + 0.0, round(float(between[i, j]), 6) + 0.0) for i in range(4) for j in range(4)], "i int, j int, within double, between double")
+    _, within, between, _ = tr.scatter(vectors(spark, d))
+    return spark.createDataFrame([(i, j, round(float(within[i, j]), 6) + 0.0, round(float(between[i, j]), 6) + 0.0) for i in range(D) for j in range(D)], "i int, j int, within double, between double")
 
 
-@query(f"""WITH {V_SQL}, y AS (SELECT vec_id, sum(v - 0.01::DOUBLE) AS a, sum((v - 0.01::DOUBLE) * (dim % 2 * 2 - 1)) AS b FROM vl WHERE dim < 8 GROUP BY vec_id)
+@query(f"""WITH {V_SQL}, y AS (SELECT vec_id, sum(v - 0.01::DOUBLE) AS a, sum((v - 0.01::DOUBLE) * (dim % 2 * 2 - 1)) AS b FROM vl GROUP BY vec_id)
 SELECT vec_id, CAST(k AS INTEGER) AS dim, round(CASE WHEN k = 0 THEN a ELSE b END, 6) + 0.0 AS v FROM y, LATERAL unnest(generate_series(0, 1)) AS t(k)""")
 def projection(spark, d):
-    p = tr.Projection(np.full(8, 0.01), np.array([[1.0] * 8, [i % 2 * 2.0 - 1 for i in range(8)]]))
-    rows = p.apply(vectors(spark, d).withColumn("x", F.slice("x", 1, 8)))
-    return fr.long_form(rows, "vec_id").select("vec_id", "dim", "v")
+    p = tr.Projection(np.full(D, 0.01), np.array([[1.0] * D, [i % 2 * 2.0 - 1 for i in range(D)]]))
+    return fr.long_form(p.apply(vectors(spark, d)), "vec_id").select("vec_id", "dim", "v")
 
 
-_MEANS = [[0.1, 0.1, 0.1], [-0.1, 0.0, 0.1], [0.0, -0.1, -0.1]]
+_MEANS = [[0.1 * ((i + k) % 3 - 1) for i in range(D)] for k in range(3)]
 
 
 @query(f"""WITH {V_SQL}, m(k, dim, mu) AS (VALUES {", ".join(f"({k}, {i}, {v!r}::DOUBLE)" for k, m in enumerate(_MEANS) for i, v in enumerate(m))}),
 s AS (SELECT vec_id, k, sum((v - mu) * (v - mu)) AS s FROM vl JOIN m USING (dim) GROUP BY vec_id, k) SELECT vec_id, arg_min(k, s) AS k FROM s GROUP BY vec_id""")
 def kmeans_assign_fixed(spark, d):
-    return _v3(spark, d).select("vec_id", gm.nearest(F.col("x"), _MEANS).alias("k"))
+    return vectors(spark, d).select("vec_id", gm.nearest(F.col("x"), _MEANS).alias("k"))
 
 
-@query(f"""WITH {V_SQL} SELECT vec_id, CAST(row_number() OVER (ORDER BY v, vec_id) AS INTEGER) AS i, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) + 0.0 AS z FROM vl WHERE dim = 0""")
+@query(f"""WITH {V_SQL} SELECT vec_id, CAST(dim AS INTEGER) AS dim, CAST(row_number() OVER (PARTITION BY dim ORDER BY v, vec_id) AS INTEGER) AS i, round((v - avg(v) OVER (PARTITION BY dim)) / stddev_pop(v) OVER (PARTITION BY dim), 6) + 0.0 AS z FROM vl""")
 def anderson_darling_order(spark, d):
-    from pyspark.sql import Window
-
-    rows = vectors(spark, d).select(F.lit(0).alias("g"), "vec_id", F.col("x")[0].alias("v"))
-    w = Window.partitionBy("g")
-    return rows.select("vec_id", F.row_number().over(w.orderBy("v", "vec_id")).alias("i"), (F.round((F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w), 6) + F.lit(0.0)).alias("z"))
+    rows = vectors(spark, d).select("vec_id", F.posexplode("x").alias("dim", "v"))
+    w = hmm.Window.partitionBy("dim")
+    z = (F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w)
+    return rows.select("vec_id", "dim", F.row_number().over(w.orderBy("v", "vec_id")).alias("i"), (F.round(z, 6) + F.lit(0.0)).alias("z"))
 
 
 @query(f"""WITH {V_SQL}, z AS (SELECT dim, v, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z, count(*) OVER w AS n, row_number() OVER (PARTITION BY dim ORDER BY v) AS i FROM vl WINDOW w AS (PARTITION BY dim)),
@@ -278,7 +281,7 @@ sc AS (SELECT id, utt_id, 2 * avg(score) AS s FROM q GROUP BY id, utt_id),
 po AS (SELECT id, utt_id, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY utt_id) AS z FROM (SELECT *, max(s) OVER (PARTITION BY utt_id) AS mx FROM sc)),
 st AS (SELECT id, k, dim, sum(CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END) AS n, sum(z * p) AS d,
   sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v) AS s1, sum((CASE WHEN id = CASE WHEN utt_id % 2 = 0 THEN 'ubm' ELSE 'spk' END THEN p ELSE 0 END - z * p) * v * v) AS s2
-  FROM q JOIN po USING (id, utt_id) JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY id, k, dim)"""
+  FROM q JOIN po USING (id, utt_id) JOIN (SELECT vec_id, dim, v FROM vl) x USING (vec_id) GROUP BY id, k, dim)"""
 
 
 @query(f"""WITH {_MMIE},
@@ -289,7 +292,7 @@ SELECT id AS model_id, CAST(k AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim, rou
 def mmie_step(spark, d):
     """One update of both models by all segments; segments of even labels belong to the first, of odd ones to the other."""
     models = {"ubm": MODEL, "spk": OTHER}
-    x = _v3(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
+    x = vectors(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
     stats = gm.mmie_accumulate(x, models)
     rows = [_model_rows(spark, gm.extended_update(m, *stats[name])).select(F.lit(name).alias("model_id"), "*") for name, m in models.items()]
     return rows[0].union(rows[1])
@@ -529,11 +532,11 @@ def token_training(spark, d):
 @query(f"""WITH {V_SQL}, {_A}, {_POST}, n AS (SELECT vv.vec_id, vv.utt_id, vv.frame_idx, count(*) OVER (PARTITION BY vv.utt_id) AS n FROM vv),
 s AS (SELECT *, CASE WHEN frame_idx >= floor(3 * n / 4 + 0.5::DOUBLE) THEN 3 WHEN frame_idx >= floor(2 * n / 4 + 0.5::DOUBLE) THEN 2 WHEN frame_idx >= floor(n / 4 + 0.5::DOUBLE) THEN 1 ELSE 0 END AS q FROM n),
 t AS (SELECT vec_id, CASE WHEN (q >= 2) <> (utt_id % 2 = 1) THEN 'b' ELSE 'a' END AS token, q % 2 AS state FROM s),
-sh AS (SELECT k, dim, sum(p * v) / sum(p) AS mu, greatest(sum(p * v * v) / sum(p) - power(sum(p * v) / sum(p), 2), 0.001::DOUBLE) AS var FROM g JOIN (SELECT vec_id, dim, v FROM vl WHERE dim < 3) x USING (vec_id) GROUP BY k, dim),
+sh AS (SELECT k, dim, sum(p * v) / sum(p) AS mu, greatest(sum(p * v * v) / sum(p) - power(sum(p * v) / sum(p), 2), 0.001::DOUBLE) AS var FROM g JOIN (SELECT vec_id, dim, v FROM vl) x USING (vec_id) GROUP BY k, dim),
 w AS (SELECT token, state, k, sum(p) / sum(sum(p)) OVER (PARTITION BY token, state) AS w FROM g JOIN t USING (vec_id) GROUP BY token, state, k)
 SELECT token, CAST(state AS INTEGER) AS state, w.k, CAST(dim AS INTEGER) AS dim, round(w, 6) AS w, round(mu, 6) + 0.0 AS mu, round(var, 6) AS var FROM w JOIN sh USING (k)""")
 def shared_training(spark, d):
-    x = _v3(spark, d).persist()
+    x = vectors(spark, d).persist()
     words = F.array(F.when(F.col("utt_id") % 2 == 1, "ba").otherwise("ab"))
     turns = x.select("utt_id").distinct().withColumn("words", words)
     book, _ = ac.train(x, turns, {"ab": ["a", "b"], "ba": ["b", "a"]}, ac.semicontinuous({"a": 2, "b": 2}, MODEL), "linear")
@@ -546,7 +549,7 @@ r AS (SELECT id, k, n, w, max(d / w) OVER (PARTITION BY id) - d / w AS f FROM ms
 SELECT id AS model_id, CAST(k AS INTEGER) AS k, round(greatest(w / sum(w) OVER (PARTITION BY id), 1e-6), 6) AS w FROM it WHERE i = 50""")
 def mmie_weights(spark, d):
     models = {"ubm": MODEL, "spk": OTHER}
-    x = _v3(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
+    x = vectors(spark, d).withColumn("c", F.when(F.col("utt_id") % 2 == 0, "ubm").otherwise("spk"))
     new = {name: gm.extended_weights(models[name], *pair) for name, pair in gm.mmie_accumulate(x, models).items()}
     return spark.createDataFrame([(name, k, round(float(w), 6)) for name, m in new.items() for k, w in enumerate(m.weights)], "model_id string, k int, w double")
 
@@ -557,13 +560,13 @@ def emission_counts(spark, d):
     return hmm.emission_counts(paths, "event_type")
 
 
-# Three dimensions and their sum: the covariance has no inverse, but a pseudo-inverse, between two of itself it is itself.
-@query(f"""WITH {V_SQL}, x4 AS (SELECT vec_id, dim AS i, v FROM vl WHERE dim < 3 UNION ALL SELECT vec_id, 3, sum(v) FROM vl WHERE dim < 3 GROUP BY vec_id)
-SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS v FROM x4 a JOIN x4 b USING (vec_id) GROUP BY a.i, b.i""")
+# All dimensions and their sum: the covariance has no inverse, but a pseudo-inverse, between two of itself it is itself.
+@query(f"""WITH {V_SQL}, x5 AS (SELECT vec_id, dim AS i, v FROM vl UNION ALL SELECT vec_id, {D}, sum(v) FROM vl GROUP BY vec_id)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS v FROM x5 a JOIN x5 b USING (vec_id) GROUP BY a.i, b.i""")
 def pseudo_inverse(spark, d):
-    x = _v3(spark, d).withColumn("x", F.concat("x", F.array(F.aggregate("x", F.lit(0.0), lambda a, v: a + v))))
+    x = vectors(spark, d).withColumn("x", F.concat("x", F.array(F.aggregate("x", F.lit(0.0), lambda a, v: a + v))))
     s = gm.second_order(x)
     m = s["s1"] / s["n"]
     c = s["s2"] / s["n"] - np.outer(m, m)
     back = c @ tr.pinv(c) @ c
-    return spark.createDataFrame([(i, j, round(float(back[i, j]), 6) + 0.0) for i in range(4) for j in range(4)], "i int, j int, v double")
+    return spark.createDataFrame([(i, j, round(float(back[i, j]), 6) + 0.0) for i in range(D + 1) for j in range(D + 1)], "i int, j int, v double")
