@@ -519,6 +519,48 @@ def test_language(spark, sf_dir):
     assert {zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in unseen} == {True}
 
 
+def slow_features(text):
+    """The same counts, one n-gram at a time."""
+    raw = []
+    for c in text.encode():
+        if 65 <= c <= 90:
+            c += 32
+        elif not (97 <= c <= 122 or c >= 128):
+            c = 32
+        raw.append(c)
+    upper = [i > 0 and raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E for i in range(len(raw))]
+    raw = [c + 32 if u else c for c, u in zip(raw, upper)]
+    line = [32, *(c for i, c in enumerate(raw) if i == 0 or c != 32 or raw[i - 1] != 32), 32]
+    counts = [0] * language.DIMENSIONS
+    for n in range(1, 5):
+        for i in range(len(line) - n + 1):
+            h = line[i]
+            for c in line[i + 1 : i + n]:
+                h = h * 16777619 % 2**32 ^ c
+            counts[(h * 2654435761 % 2**32) >> 20] += 1
+    length = sum(counts) ** 0.5
+    return [c**0.5 / length for c in counts]
+
+
+def test_language_by_hand():
+    """Features and votes written out, without arrays."""
+    texts = ["the river and the house by the light", "der Fluss und das Haus am Licht", "le fleuve et la maison", "el río y la casa Ñandú", "ÀÉ une forêt  d'été!", "x"]
+    for t in texts:
+        assert all(abs(a - b) < 1e-5 for a, b in zip(language.features(t).tolist(), slow_features(t), strict=True))
+    x = language.np.array([language.features(t + " " + w) for t in texts[:4] for w in ("one", "two", "six")])
+    model = language.Model(x, [k for k in ("en", "de", "fr", "es") for _ in range(3)])
+    chance = lambda m: 1 / (1 + 2.718281828459045 ** (-2 * m))
+    for t in texts:
+        f = [*slow_features(t), 1.0]
+        margin = lambda w: sum(a * b for a, b in zip(w.tolist(), f))
+        families = {k: margin(w) for k, w in model.by_family.items()}
+        family = max(sorted(families), key=families.get)
+        (a, b), w = next((k, w) for k, w in model.by_pair.items() if k[0] in model.members[family])
+        best, own = (a, margin(w)) if margin(w) > 0 else (b, -margin(w))
+        found, score = model.predict(t)
+        assert found == best and abs(score - chance(families[family]) * chance(own)) < 1e-4
+
+
 def test_every_label_is_learned(spark):
     """More labels than fit at full share: the row budget is divided, no label is left out."""
     rng = random.Random(6)
