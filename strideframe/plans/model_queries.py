@@ -248,7 +248,25 @@ def kmeans(spark, d):
     return _model_rows(spark, model)
 
 
-@query()
+def _lbg_sql(size: int, steps: int = 20, eps: float = 0.05, conv: float = 1e-3) -> str:
+    """The heaviest cell gives way to m (1 + eps) and m (1 - eps) behind the others; then k-means until the means move no further than ``conv``."""
+    stats = "count(*) / sum(count(*)) OVER (PARTITION BY dim) AS w, avg(v) AS mu, greatest(avg(v * v) - avg(v) * avg(v), 1e-10) AS var"
+    out = f"{V_SQL}, r1 AS MATERIALIZED (SELECT 0 AS k, dim, {stats} FROM vl GROUP BY dim)"
+    for n in range(1, size):
+        out += f""", h{n} AS (SELECT first(k ORDER BY w DESC, k) AS h FROM r{n} WHERE dim = 0),
+z{n}x0 AS MATERIALIZED (SELECT CASE WHEN k > h THEN k - 1 ELSE k END AS k, dim, w, mu, var FROM r{n}, h{n} WHERE k <> h UNION ALL SELECT {n - 1}, dim, w, mu * (1 + {eps}::DOUBLE), var FROM r{n}, h{n} WHERE k = h
+  UNION ALL SELECT {n}, dim, w, mu * (1 - {eps}::DOUBLE), var FROM r{n}, h{n} WHERE k = h), d{n}x0 AS (SELECT false AS done)"""
+        for i in range(steps):
+            g, new = f"z{n}x{i}", f"z{n}x{i + 1}"
+            out += f""", c{n}x{i} AS MATERIALIZED (SELECT vec_id, arg_min(k, s) AS k FROM (SELECT vec_id, k, sum((v - mu) * (v - mu)) AS s FROM vl JOIN {g} USING (dim) GROUP BY vec_id, k) GROUP BY vec_id),
+n{n}x{i} AS MATERIALIZED (SELECT k, dim, {stats} FROM vl JOIN c{n}x{i} USING (vec_id) GROUP BY k, dim),
+{new} AS MATERIALIZED (SELECT a.k, a.dim, CASE WHEN done THEN b.w ELSE a.w END AS w, CASE WHEN done THEN b.mu ELSE a.mu END AS mu, CASE WHEN done THEN b.var ELSE a.var END AS var FROM n{n}x{i} a JOIN {g} b USING (k, dim), d{n}x{i}),
+d{n}x{i + 1} AS MATERIALIZED (SELECT any_value(done) OR sum(s) <= {conv} AS done FROM d{n}x{i}, (SELECT sqrt(sum((a.mu - b.mu) * (a.mu - b.mu))) AS s FROM {new} a JOIN {g} b USING (k, dim) GROUP BY k))"""
+        out += f", r{n + 1} AS MATERIALIZED (SELECT * FROM z{n}x{steps})"
+    return out
+
+
+@query(f"WITH {_lbg_sql(4)} {_ROWS.replace('FROM g', 'FROM r4')}")
 def lbg(spark, d):
     x = vectors(spark, d).persist()
     model = gm.lbg(x, 4)
