@@ -27,14 +27,24 @@ class Scratch:
 
     ``keep(df)`` writes Parquet and reads it back with the schema it was written with; ``drop(df)`` removes a table
     that nothing will read again. What a returned DataFrame still reads stays until the session's owner clears the folder.
+
+    The shuffle files behind a written table are of no more use; Spark is asked to remove them when the table stands
+    (by default it waits for the driver's collector), so that finished steps don't fill the executors' disks.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, scratch_path(spark, name), {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back

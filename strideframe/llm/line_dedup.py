@@ -145,9 +145,10 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
     found = scratch.keep(found.dropDuplicates(["pos", "h1", "h2"]))
     emitted = scratch.keep(found.select("pos", "h1", "h2", F.explode(variants(F.col("words"))).alias("v")).select("pos", "h1", "h2", "v.key", "v.kind"))
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("pos")))
-    groups = emitted.groupBy("key").agg(
+    # Few keys have a group, so they stand by themselves before the variants meet them.
+    groups = scratch.keep(emitted.groupBy("key").agg(
         least(0).alias("whole"), least(1).alias("less"), least(2).alias("place"), F.max(F.when(F.col("kind") == 2, F.col("pos"))).alias("last"),
-    ).filter("(whole IS NOT NULL AND less IS NOT NULL) OR place < last")
+    ).filter("(whole IS NOT NULL AND less IS NOT NULL) OR place < last"))
     earlier = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("place"))
     pairs = emitted.join(groups, "key").select("pos", "h1", "h2", earlier.alias("partner")).filter("partner < pos").distinct()
     # A place has two lines only where texts of one id have equal keys; then any of them that is near counts.
@@ -155,7 +156,7 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
     theirs = found.select(F.col("pos").alias("partner"), F.col("words").alias("their_words"))
     checked = pairs.join(own, ["pos", "h1", "h2"]).join(theirs, "partner")
     near = scratch.keep(checked.filter(within_one_edit(F.col("own_words"), F.col("their_words"))).select("pos", "h1", "h2").distinct())
-    scratch.drop(chosen, found, emitted)
+    scratch.drop(chosen, found, emitted, groups)
     return near
 
 
