@@ -63,6 +63,7 @@ class Vocabulary:
             self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
         self.ends.make_automaton()
         self.longest = max(map(len, ranks), default=1)
+        self.names = [str(i) for i in range(len(self.token))]
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
 
@@ -281,12 +282,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(data.value, pattern)
+        names = coder.vocabulary.names.__getitem__
         for batch in batches:
             counts, digests, decoded = [], [], []
             for text in batch.column("text"):
                 ids = coder.encode(text.as_py())
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                digests.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
