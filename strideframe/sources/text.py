@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strideframe.errors import InvalidFormatError, LanguageModelError
@@ -85,35 +86,121 @@ def parse_arpa(text: str) -> list[tuple[int, list[str], float, float | None]]:
             fields = line.split()
             if len(fields) not in (n + 1, n + 2):
                 raise LanguageModelError(f"bad n-gram {line!r}")
-            out.append((n, fields[1 : n + 1], 10 ** float(fields[0]), 10 ** float(fields[n + 1]) if len(fields) == n + 2 else None))
+            out.append((n, fields[1 : n + 1], _power(fields[0]), _power(fields[n + 1]) if len(fields) == n + 2 else None))
     if not order:
         raise LanguageModelError("no counts")
     return out
 
 
+def _power(log: str) -> float:
+    """10 to a written logarithm, and below the logarithm in digits enough that the same number comes back."""
+    import numpy as np
+
+    return float(np.longdouble(10) ** np.longdouble(log))
+
+
+def _log10(p: float) -> str:
+    import numpy as np
+
+    if not p > 0:
+        raise LanguageModelError(f"no logarithm of {p!r}")
+    return np.format_float_positional(np.log10(np.longdouble(p)), trim="-")
+
+
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
-    """(n, words, p, backoff) of an ARPA file. A file is parsed in one task; models of the size of a vocabulary squared are tables instead."""
+    """(n, words, p, backoff) of an ARPA file, or of its parts in the order of their names, as ``write_arpa`` leaves them.
+
+    Lines are parsed where they are read. The few lines that begin sections are on the driver, with their places, so that
+    each n-gram knows its section. Fields are told apart by spaces and tabs.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.btrim("value", F.lit(" \t\r")).alias("value"))
+    heads = sorted(tuple(r) for r in rows.filter("startswith(value, 'ngram') OR startswith(value, '\\\\')").collect())
+    places, sections, counts, order, section = [], [], 0, 0, None
+    for *place, line in heads:
+        if line.startswith("\\"):
+            if line.endswith("-grams:") and int(line[1:].split("-")[0]) > 2:
+                raise LanguageModelError("n-grams above 2 aren't supported")
+            section, order = line, 0
+            places.append(tuple(place))
+            sections.append(line)
+        elif section == "\\data\\":
+            counts, order = counts + 1, order + 1
+            if order > 2:
+                raise LanguageModelError("n-grams above 2 aren't supported")
+    if not counts:
+        raise LanguageModelError("no counts")
+
     def run(batches):
+        from bisect import bisect_right
+
         import pandas as pd
 
+        known: dict[str, float] = {}
+
+        def value(log: str) -> float:
+            if log not in known:
+                if len(known) >= 1 << 16:
+                    known.clear()
+                known[log] = _power(log)
+            return known[log]
+
         for batch in batches:
-            for text in batch["value"]:
-                yield pd.DataFrame(parse_arpa(text), columns=["n", "words", "p", "backoff"])
+            out = []
+            for *place, line in batch.itertuples(index=False, name=None):
+                if not line or line.startswith("\\"):
+                    continue
+                at = bisect_right(places, tuple(place)) - 1
+                if at < 0 or not sections[at].endswith("-grams:"):
+                    if at >= 0 and sections[at] == "\\end\\" and places[at][0] != place[0]:
+                        raise LanguageModelError("no counts")
+                    continue
+                n, fields = int(sections[at][1:].split("-")[0]), line.replace("\t", " ").split(" ")
+                fields = [x for x in fields if x]
+                if len(fields) not in (n + 1, n + 2):
+                    raise LanguageModelError(f"bad n-gram {line!r}")
+                out.append((n, fields[1 : n + 1], value(fields[0]), value(fields[n + 1]) if len(fields) == n + 2 else None))
+            if out:
+                yield pd.DataFrame(out, columns=["n", "words", "p", "backoff"])
+
+    return rows.mapInPandas(run, "n int, words array<string>, p double, backoff double")
+
+
+def write_arpa(ngrams: DataFrame, path: str) -> None:
+    """The ARPA document of (n, words, p, backoff) as text files whose concatenation in the order of their names it is: sorted by ranges, no task holds it whole."""
+    def run(batches):
+        known: dict[float, str] = {}
+
+        def log(p: float) -> str:
+            if p not in known:
+                if len(known) >= 1 << 16:
+                    known.clear()
+                known[p] = _log10(p)
+            return known[p]
+
+        for batch in batches:
+            text = [" ".join([log(p), *w, *([log(b)] if b > 0 else [])]) for w, p, b in zip(batch["words"], batch["p"], batch["backoff"], strict=True)]
+            yield batch[["n", "words"]].assign(value=text)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "n int, words array<string>, p double, backoff double")
+    lines = ngrams.select(F.col("n").cast("int").alias("n"), "words", "p", "backoff").mapInPandas(run, "n int, words array<string>, value string").persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = [tuple(r) for r in lines.groupBy("n").count().orderBy("n").collect()]
+        frame = [(0, [], "\n".join(["\\data\\", *(f"ngram {n}={c}" for n, c in counts), ""])), *((n, [], f"{chr(10) if k else ''}\\{n}-grams:") for k, (n, _) in enumerate(counts)), (1 << 30, [], "\n\\end\\")]
+        whole = lines.union(lines.sparkSession.createDataFrame(frame, lines.schema))
+        whole.repartitionByRange("n", "words").sortWithinPartitions("n", "words").select("value").write.text(path)
+    finally:
+        lines.unpersist()
 
 
 def arpa_text(ngrams) -> str:
     """The ARPA document of rows (n, words, p, backoff): log10 values; back-off weights where there are any."""
-    import math
-
     rows = sorted((n, list(words), p, b) for n, words, p, b in ngrams)
     orders = sorted({r[0] for r in rows})
     lines = ["\\data\\", *(f"ngram {n}={sum(r[0] == n for r in rows)}" for n in orders), ""]
     for n in orders:
         lines.append(f"\\{n}-grams:")
         for _, words, p, b in (r for r in rows if r[0] == n):
-            lines.append(" ".join([repr(math.log10(p)), *words, *([repr(math.log10(b))] if b is not None and b > 0 else [])]))
+            lines.append(" ".join([_log10(p), *words, *([_log10(b)] if b is not None and b > 0 else [])]))
         lines.append("")
     return "\n".join([*lines, "\\end\\", ""])
 

@@ -141,3 +141,30 @@ def test_entry_points_import():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_arpa_in_parts(spark, tmp_path):
+    """Written and read by many tasks, with the same numbers, also words like numbers and like heads; whole files read the same."""
+    import random
+
+    from strideframe.errors import LanguageModelError
+
+    rng = random.Random(4)
+    p = [0.009765625, 1 / 3, *(rng.random() for _ in range(300))]
+    rows = [(1, [f"w{i}"], v, rng.choice([None, rng.random()])) for i, v in enumerate(p)] + [(2, [f"w{i}", rng.choice(["7", "ngram", "\\data\\", "é"])], v, None) for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "n int, words array<string>, p double, backoff double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_arpa(df, f"{tmp_path}/parts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(tmp_path.glob("parts/part-*"))
+    whole = "".join(q.read_text() for q in parts)
+    expected = sorted(rows)
+    assert len(parts) > 1 and sorted(text.parse_arpa(whole)) == expected and whole == text.arpa_text(rows)
+    (tmp_path / "whole").write_text(whole)
+    for name in ("parts", "whole"):
+        assert sorted(map(tuple, text.read_arpa(spark, f"{tmp_path}/{name}").collect())) == expected
+    (tmp_path / "bad").write_text("-1 a\n")
+    with pytest.raises(LanguageModelError):
+        text.read_arpa(spark, f"{tmp_path}/bad").collect()
