@@ -145,18 +145,22 @@ def near_duplicates(first: DataFrame, lines: DataFrame, scratch: Scratch, broadc
     found = scratch.keep(found.dropDuplicates(["pos", "h1", "h2"]))
     emitted = scratch.keep(found.select("pos", "h1", "h2", F.explode(variants(F.col("words"))).alias("v")).select("pos", "h1", "h2", "v.key", "v.kind"))
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("pos")))
-    # Few keys have a group, so they stand by themselves before the variants meet them.
-    groups = scratch.keep(emitted.groupBy("key").agg(
+    # Few keys occur twice: they are counted by themselves, and only their variants move on with their places.
+    twice = scratch.keep(emitted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    few = twice.count() * 32 <= broadcast_bytes
+    met = scratch.keep(emitted.join(F.broadcast(twice) if few else twice, "key", "left_semi"))
+    scratch.drop(chosen, emitted, twice)
+    groups = scratch.keep(met.groupBy("key").agg(
         least(0).alias("whole"), least(1).alias("less"), least(2).alias("place"), F.max(F.when(F.col("kind") == 2, F.col("pos"))).alias("last"),
     ).filter("(whole IS NOT NULL AND less IS NOT NULL) OR place < last"))
     earlier = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("place"))
-    pairs = emitted.join(groups, "key").select("pos", "h1", "h2", earlier.alias("partner")).filter("partner < pos").distinct()
+    pairs = met.join(groups, "key").select("pos", "h1", "h2", earlier.alias("partner")).filter("partner < pos").distinct()
     # A place has two lines only where texts of one id have equal keys; then any of them that is near counts.
     own = found.select("pos", "h1", "h2", F.col("words").alias("own_words"))
     theirs = found.select(F.col("pos").alias("partner"), F.col("words").alias("their_words"))
     checked = pairs.join(own, ["pos", "h1", "h2"]).join(theirs, "partner")
     near = scratch.keep(checked.filter(within_one_edit(F.col("own_words"), F.col("their_words"))).select("pos", "h1", "h2").distinct())
-    scratch.drop(chosen, found, emitted, groups)
+    scratch.drop(found, met, groups)
     return near
 
 
@@ -175,7 +179,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of, which, stay, line, number = fresh(docs, "of", "which", "stay", "h1", "n")
     document, n, t = _parts(F.col("pos"), integral)
     kept = F.struct(n.cast("int").alias(number), F.col("h1").alias(line))
-    numbers = stays.select(document.alias(of), t.cast("int").alias(which), kept.alias(stay)).groupBy(of, which).agg(F.array_sort(F.collect_set(stay)).alias(stay))
+    numbers = scratch.keep(stays.select(document.alias(of), t.cast("int").alias(which), kept.alias(stay)).groupBy(of, which).agg(F.array_sort(F.collect_set(stay)).alias(stay)))
+    # The lists stand by themselves, so that the lines' table is gone before the texts move.
+    scratch.drop(first, near)
 
     left = let(F.split(text, "\n"), lambda ps: let(
         F.array_sort(F.concat(

@@ -653,3 +653,19 @@ def test_pipeline_edges(spark, tmp_path, vocabulary):
     assert sorted((r["doc_id"] is None, r["text"]) for r in cp.near_dedup(spark, twice.filter("text IS NOT NULL"), str(tmp_path)).collect()) == sorted([(False, prose(305, 50)), (False, prose(307, 50)), (True, prose(306, 50))])
     assert cp.quality_rules(spark, twice, str(tmp_path)).count() == 5 and cp.remove_benchmark(spark, twice, str(tmp_path)).count() == 6
     assert cp.tokenize(spark, twice, str(tmp_path)).count() == 6
+
+
+def test_line_dedup_leaves_only_the_lists(spark, monkeypatch):
+    """The tables of lines are gone before the texts move; what is left is the list of each document's lines."""
+    made = []
+
+    class Kept(line_dedup.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(line_dedup, "Scratch", Kept)
+    docs = spark.createDataFrame([(1, "a b c d e f g h\nx"), (2, "a b c d e f g i\ny"), (3, "x\nz")], "doc_id long, text string")
+    left = line_dedup.dedup_lines(docs)
+    assert [len(s.paths) for s in made] == [1]
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, "a b c d e f g h\nx"), (2, "y"), (3, "z")]
